@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunk_dedup, embedding_forest, mixing, near_dup, packing, token_counts, warc
+from . import chunk_dedup, embedding_forest, licenses, mixing, near_dup, packing, quality, secrets, token_counts, warc
 
 #: Folder of the public tokenizer files; None: that of the installed package.
 TOKENIZERS: str | None = None
@@ -46,6 +46,18 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(table(spark, sf_dir, "pages"))
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"))
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents")).drop("live", "text_key")
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source")
     return mixing.mix(docs, TARGETS, period=100, block=8)
@@ -56,7 +68,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = [op1_token_counts, op2_substring_dedup, op3_embedding_near_dup, op4_minhash_near_dup, op5_warc, op8_mixing, op10_packing]
+    found = [op1_token_counts, op2_substring_dedup, op3_embedding_near_dup, op4_minhash_near_dup, op5_warc, op6_quality_rules, op7_license_scan, op8_mixing, op9_secret_scan, op10_packing]
     return {f.__name__: f for f in found}
 
 

@@ -17,6 +17,8 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .quality import let
+
 SHINGLE = 3
 #: Notices in their usual wording, by license.
 TEMPLATES = {
@@ -99,20 +101,26 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, least:
     # the templates' shingles go into the scan as a literal set
     marks = [x for row in known.select("shingles").collect() for x in row[0]]
     widths = sorted({window_of(len(template_words(t))) for texts in templates.values() for t in texts})
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), doc_words(F.col("text").cast("string")).alias("words")).where(F.size("words") >= SHINGLE)
-    hit = lambda i: F.xxhash64(*[F.get(F.col("words"), i + k) for k in range(SHINGLE)]).isin(marks)
-    rows = rows.withColumn("hits", F.filter(F.sequence(F.lit(0), F.size("words") - SHINGLE), hit)).where(F.size("hits") > 0)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
-    def windows(width: int) -> Column:
-        step = width // 2
-        at = F.array_distinct(F.flatten(F.transform("hits", lambda p: F.filter(F.array(F.floor(p / step) - 1, F.floor(p / step)), lambda j: j >= 0))))
-        return F.transform(at, lambda j: F.struct(F.lit(width).alias("width"), (j * step).alias("first_word"), F.slice("words", (j * step + 1).cast("int"), width).alias("words")))
+    # values are bound once by let: a filter on them would be pushed down and split the text for every word
+    def hits(words: Column) -> Column:
+        at = F.sequence(F.lit(0), F.greatest(F.size(words) - SHINGLE, F.lit(0)))
+        return F.filter(at, lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(SHINGLE)]).isin(marks))
 
-    wins = rows.select("doc_id", F.explode(F.concat(*[windows(w) for w in widths])).alias("w")).select("doc_id", "w.width", "w.first_word", shingles(F.col("w.words")).alias("found")).where(F.size("found") > 0)
-    keyed = wins.withColumn("bands", signature(F.col("found"), bands))
+    def windows(words: Column, places: Column, width: int) -> Column:
+        step = width // 2
+        both = F.transform(places, lambda p: F.filter(F.array(F.floor(p / step) - 1, F.floor(p / step)), lambda j: j >= 0))
+        cut = lambda j: F.struct(F.lit(width).alias("width"), (j * step).alias("first_word"), F.slice(words, (j * step + 1).cast("int"), F.lit(width)).alias("words"))
+        return F.transform(F.array_distinct(F.flatten(both)), cut)
+
+    around = let(doc_words(F.col("text")), lambda w: let(hits(w), lambda h: F.concat(*[windows(w, h, k) for k in widths])))
+    wins = rows.select("doc_id", F.explode(around).alias("w")).select("doc_id", "w.width", "w.first_word", "w.words")
+    keyed = wins.withColumn("s", let(shingles(F.col("words")), lambda f: F.struct(f.alias("found"), signature(f, bands).alias("bands"))))
+    keyed = keyed.select("doc_id", "width", "first_word", F.col("s.found").alias("found"), F.posexplode("s.bands").alias("band", "value"))
     # one row for each band of each template
     sought = known.withColumn("bands", signature(F.col("shingles"), bands)).select("license", "template", "width", "shingles", F.posexplode("bands").alias("band", "value"))
-    cand = keyed.select("doc_id", "width", "first_word", "found", F.posexplode("bands").alias("band", "value")).join(F.broadcast(sought), ["width", "band", "value"])
+    cand = keyed.join(F.broadcast(sought), ["width", "band", "value"])
     share = F.size(F.array_intersect("shingles", "found")) / F.size("shingles")
     match = cand.withColumn("share", share).where(F.col("share") >= least)
     return match.groupBy("doc_id", "license").agg(

@@ -10,8 +10,8 @@ the full sets.
 Buckets are never expanded into pairs. Equal sets are one node from the start. In a
 first round each bucket's members are compared with its smallest one; what this links
 becomes a component. In a second round only buckets with several components count,
-and there only the members outside the largest component are compared with the
-others, in blocks of bounded size. So each candidate pair is compared unless its two
+and there the members outside the largest component are compared with all that meet
+the same component, in blocks of bounded size. So each candidate pair is compared unless its two
 ends are known to be connected, and components lose no link between candidates.
 """
 
@@ -32,7 +32,7 @@ MEMO_WORDS = 400_000
 #: Shingles hashed at a time: what fits a core's cache.
 CACHE = 1 << 15
 #: Members of a bucket that are compared with one block of others at a time.
-BLOCK = 256
+BLOCK = 512
 MANTISSA = 10
 SIGNATURE = "doc_id long, n_shingles long, digest binary, bands array<long>"
 SETS = "doc_id long, digest binary, hashes binary, registers binary"
@@ -238,9 +238,14 @@ def compare_blocks(rows: DataFrame, percent: int, slack: float) -> DataFrame:
             open_ = (100 * np.minimum(n, sizes) >= percent * np.maximum(n, sizes)) & (estimate(equal, regs.shape[1], n, n) >= percent / 100 - slack)
             if not open_.any():
                 continue
-            at = np.searchsorted(mine, every)
-            at[at == n] = 0
-            common = np.bincount(owner[mine[at] == every], minlength=len(sets))
+            common = np.zeros(len(sets), np.int64)
+            some = np.flatnonzero(open_)
+            if len(some) < 0.3 * len(sets):
+                common[some] = [overlap(mine, sets[k]) for k in some]
+            else:
+                at = np.searchsorted(mine, every)
+                at[at == n] = 0
+                common = np.bincount(owner[mine[at] == every], minlength=len(sets))
             for k in np.flatnonzero(open_ & (100 * common >= percent * (n + sizes - common))):
                 if roots.union(ids[d], ids[names[k]]):
                     out.append((d, names[k]))
@@ -288,9 +293,10 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, rows: in
     shared = ws.save(banded.groupBy("key").agg(F.min("doc_id").alias("lead"), F.max("doc_id").alias("last")).where("lead < last").select("key", "lead"), "buckets")
     member = ws.save(banded.join(shared, "key"), "members")
 
+    # what has a partner grows with the corpus, so its ids are never broadcast
     pairs = ws.save(member.where("doc_id <> lead").select(F.col("doc_id").alias("a"), F.col("lead").alias("b")).distinct(), "pairs")
     needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = ws.save(full_sets(texts.join(needed, "doc_id", "left_semi"), signer).dropDuplicates(["doc_id", "digest"]), "sets")
+    sets = ws.save(full_sets(texts.join(needed.hint("merge"), "doc_id", "left_semi"), signer).dropDuplicates(["doc_id", "digest"]), "sets")
     left = sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("ha"), F.col("registers").alias("ra"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("hb"), F.col("registers").alias("rb"))
     first = ws.save(linked_pairs(pairs.join(left, "a").join(right, "b"), percent, slack).distinct(), "links")
@@ -299,13 +305,13 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, rows: in
     placed = member.select("key", "doc_id").distinct().join(known.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     placed = ws.save(placed.select("key", "doc_id", F.coalesce("component", "doc_id").alias("comp")), "placed")
     per = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
-    mixed = per.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("major"), F.count(F.lit(1)).alias("comps"), F.sum("n").alias("n"), F.max("n").alias("most")).where("comps > 1")
-    rest = placed.join(mixed, "key").withColumns({
-        "nm": F.ceil((F.col("n") - F.col("most")) / BLOCK).cast("int"),
-        "no": F.ceil(F.col("n") / BLOCK).cast("int"),
-    })
+    mixed = per.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("major"), F.count(F.lit(1)).alias("comps")).where("comps > 1").drop("comps")
+    # a member travels once for each largest component that it meets, not for each bucket
+    met = ws.save(placed.join(mixed, "key").select("major", "doc_id", "comp").distinct(), "met")
+    sizes = met.groupBy("major").agg(F.ceil(F.count_if(F.col("comp") != F.col("major")) / BLOCK).cast("int").alias("nm"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("no"))
+    rest = met.join(sizes, "major").withColumnRenamed("major", "key")
     spot = F.xxhash64("doc_id")
-    minor = rest.where("comp <> major").select("key", "doc_id", "comp", F.lit(True).alias("minor"), F.pmod(spot, "nm").cast("int").alias("mb"), F.explode(F.sequence(F.lit(0), F.col("no") - 1)).alias("ob"))
+    minor = rest.where("comp <> key").select("key", "doc_id", "comp", F.lit(True).alias("minor"), F.pmod(spot, "nm").cast("int").alias("mb"), F.explode(F.sequence(F.lit(0), F.col("no") - 1)).alias("ob"))
     other = rest.select("key", "doc_id", "comp", F.lit(False).alias("minor"), F.explode(F.sequence(F.lit(0), F.col("nm") - 1)).alias("mb"), F.pmod(spot, "no").cast("int").alias("ob"))
     blocks = minor.unionByName(other).join(sets.drop("digest"), "doc_id")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -317,3 +323,11 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, rows: in
     out = sig.select("doc_id", "n_shingles", "digest").join(of, "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def without_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rows: int = 5) -> DataFrame:
+    """One row of ``docs`` for each component: that of its smallest doc_id. Rows with a null id stay."""
+    kept = near_duplicates(docs, width, percent, rows).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__id")).distinct()
+    known = docs.where("doc_id IS NOT NULL").withColumn("__id", F.col("doc_id").cast("long"))
+    one = known.join(kept, "__id", "left_semi").dropDuplicates(["__id"]).drop("__id")
+    return one.unionByName(docs.where("doc_id IS NULL"))

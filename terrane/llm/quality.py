@@ -75,10 +75,11 @@ def count_of(text: Column, pattern: str) -> Column:
     return F.char_length(text) - F.char_length(F.regexp_replace(text, pattern, ""))
 
 
-def measures(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, the base columns, and the counts of character classes and common words."""
+def measures(docs: DataFrame, carry: Column | None = None) -> DataFrame:
+    """doc_id, lang, the base columns, and the counts of character classes and common words; ``carry`` as __row."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), text.alias("text"))
+    own = [] if carry is None else [carry.alias("__row")]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), text.alias("text"), *own)
     rows = rows.withColumn("words", words_of(F.col("text")))
     lines = F.filter(F.split("text", "\n"), lambda x: F.btrim(x, F.lit(EDGES)) != "")
     common = F.filter(F.transform("words", lambda w: F.lower(w)), lambda w: w.isin(WORDS))
@@ -87,6 +88,7 @@ def measures(docs: DataFrame) -> DataFrame:
     return rows.select(
         "doc_id",
         "lang",
+        *(["__row"] if own else []),
         F.size("words").cast("long").alias("n_words"),
         F.char_length(F.array_join("words", "")).cast("long").alias("word_chars"),
         count_of(F.col("text"), "[#*$%&|<>]").cast("long").alias("n_symbols"),
@@ -119,34 +121,53 @@ def divergence(counts: Column, reference: Column, size: int) -> Column:
     return let(sums, lambda t: F.when((t["p"] > 0) & (t["q"] > 0), distance(t)))
 
 
-def judge(
-    docs: DataFrame, least_chars: int = 250, least_words: int = 60, most_class: float = 0.3, most_common: float = 0.6, least_reference: int = 5000
-) -> DataFrame:
+NC, NW = len(CLASSES) + 2, len(WORDS) + 1
+
+
+def references(rows: DataFrame, least: int) -> DataFrame:
+    """The histograms of the languages that have ``least`` words at least, summed over all of ``rows``."""
+    sums = rows.groupBy("lang").agg(
+        F.sum("n_words").alias("__size"),
+        F.array(*[F.sum(F.col("classes")[k]) for k in range(NC)]).alias("__classes"),
+        F.array(*[F.sum(F.col("common")[k]) for k in range(NW)]).alias("__common"),
+    )
+    return sums.where(F.col("__size") >= least)
+
+
+def verdicts(rows: DataFrame, refs: DataFrame, least_chars: int, least_words: int, most_class: float, most_common: float) -> DataFrame:
+    both = rows.join(refs, "lang", "left").withColumns({
+        "class_distance": divergence(F.col("classes"), F.col("__classes"), NC),
+        "word_distance": divergence(F.col("common"), F.col("__common"), NW),
+        "base_failed": (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")),
+    })
+    far = ((F.col("n_chars") >= least_chars) & (F.col("class_distance") > most_class)) | ((F.col("n_words") >= least_words) & (F.col("word_distance") > most_common))
+    return both.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(far, F.lit(False)))
+
+
+LIMITS = {"least_chars": 250, "least_words": 60, "most_class": 0.3, "most_common": 0.6}
+
+
+def judge(docs: DataFrame, least_reference: int = 5000, **limits: float) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, class_distance, word_distance.
 
     docs: doc_id, text, lang. A null text has no words; a null language is one of its
     own. Rejected are texts that fail the base rules, texts of at least
     ``least_chars`` characters whose character classes lie further than ``most_class``
     from their language's, and texts of at least ``least_words`` words whose common
-    words lie further than ``most_common``. A language counts as a reference from
-    ``least_reference`` words on; below it no text is rejected for its distance. One
-    row out per row in, whatever ids repeat; other columns are ignored.
+    words lie further than ``most_common`` (LIMITS). A language counts as a reference
+    from ``least_reference`` words on; below it no text is rejected for its distance.
+    One row out per row in, whatever ids repeat; other columns are ignored.
     """
-    spark = docs.sparkSession
-    ws = Workspace(spark, "quality")
+    ws = Workspace(docs.sparkSession, "quality")
     rows = ws.save(measures(docs), "measures")
-    nc, nw = len(CLASSES) + 2, len(WORDS) + 1
-    sums = rows.groupBy("lang").agg(
-        F.sum("n_words").alias("__size"),
-        F.array(*[F.sum(F.col("classes")[k]) for k in range(nc)]).alias("__classes"),
-        F.array(*[F.sum(F.col("common")[k]) for k in range(nw)]).alias("__common"),
-    )
-    both = rows.join(sums.where(F.col("__size") >= least_reference), "lang", "left")
-    both = both.withColumns({
-        "class_distance": divergence(F.col("classes"), F.col("__classes"), nc),
-        "word_distance": divergence(F.col("common"), F.col("__common"), nw),
-        "base_failed": (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")),
-    })
-    far = ((F.col("n_chars") >= least_chars) & (F.col("class_distance") > most_class)) | ((F.col("n_words") >= least_words) & (F.col("word_distance") > most_common))
-    kept = ~F.col("base_failed") & ~F.coalesce(far, F.lit(False))
-    return both.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), F.round("class_distance", 6).alias("class_distance"), F.round("word_distance", 6).alias("word_distance"))
+    refs = ws.save(references(rows, least_reference), "references")
+    out = verdicts(rows, refs, **(LIMITS | limits))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("class_distance", 6).alias("class_distance"), F.round("word_distance", 6).alias("word_distance"))
+
+
+def passed(docs: DataFrame, least_reference: int = 5000, **limits: float) -> DataFrame:
+    """The rows of ``docs`` that ``judge`` keeps, as they are. Texts are measured twice and never shuffled."""
+    ws = Workspace(docs.sparkSession, "quality")
+    refs = ws.save(references(measures(docs), least_reference), "references")
+    rows = measures(docs, F.struct(*[F.col(c) for c in docs.columns]))
+    return verdicts(rows, refs, **(LIMITS | limits)).where("kept").select("__row.*")

@@ -134,3 +134,17 @@ def redact(text: Column, live: Column, mark: str = "[SECRET]") -> Column:
         return F.struct(F.greatest(s["at"], x["stop"]).alias("at"), F.concat(s["done"], more).alias("done"))
 
     return F.aggregate(live, empty, step, lambda s: F.concat(s["done"], F.substring(text, s["at"].cast("int") + 1, F.char_length(text))))
+
+
+def redacted(docs: DataFrame, owner: str = "source", repository: str = "doc_id", most_owners: int = 2) -> DataFrame:
+    """``docs`` with live secrets replaced in ``text``, and ``n_chars``, if there is one, counted anew for them."""
+    ws = Workspace(docs.sparkSession, "redact")
+    found = scan(docs, owner, repository, most_owners).where("n_live > 0").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), "live").distinct()
+    places = ws.save(found.withColumnRenamed("live", "__live"), "live")
+    key = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    both = docs.join(places, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (key == F.col("__key")), "left")
+    new = {"text": F.when(F.col("__live").isNotNull(), redact(F.col("text"), F.col("__live"))).otherwise(F.col("text"))}
+    out = both.withColumns(new)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("__live").isNotNull(), F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)

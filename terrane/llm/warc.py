@@ -241,5 +241,5 @@ def archive_round_trip(pages: DataFrame, least: int = 100) -> DataFrame:
     revisits = narrow.join(first, "digest").where("page_id > refers_to").distinct()
     archives = ws.save(write_archives(rows.join(revisits, ["page_id", "digest"], "left"), f"{ws.root}/raw"), "archives")
     n = max(1, archives.count())
-    index = ws.save(normalise(archives.repartition(n, "path"), f"{ws.root}/warc"), "index")
-    return read_by_offset(index.select("archive").distinct().repartition(n, "archive"))
+    index = ws.save(normalise(archives.repartition(2 * n, "path"), f"{ws.root}/warc"), "index")
+    return read_by_offset(index.select("archive").repartition(2 * n, "archive").distinct())

@@ -271,7 +271,7 @@ def compare_blocks(rows: DataFrame, percent: int, slack: float) -> DataFrame:
     return rows.mapInPandas(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, rows: int = 6, miss: float = 1e-4) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, rows: int = 5, miss: float = 1e-6) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of ``docs`` (doc_id, text).
 
     Links sets of ``width``-word shingles with 100 * intersection >= percent * union.
@@ -284,7 +284,7 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, rows: in
     spark = docs.sparkSession
     ws = Workspace(spark, "neardup")
     signer = Signer(width, rows, bands_for(percent / 100, rows, miss))
-    slack = 4.5 * math.sqrt(percent / 100 * (1 - percent / 100) / (rows * signer.bands))
+    slack = 6 * math.sqrt(percent / 100 * (1 - percent / 100) / (rows * signer.bands))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sig = ws.save(signatures(texts, signer), "signatures")
     full = sig.where("n_shingles > 0 AND doc_id IS NOT NULL")
@@ -325,9 +325,9 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, rows: in
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def without_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rows: int = 5) -> DataFrame:
+def without_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rows: int = 5, miss: float = 1e-5) -> DataFrame:
     """One row of ``docs`` for each component: that of its smallest doc_id. Rows with a null id stay."""
-    kept = near_duplicates(docs, width, percent, rows).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__id")).distinct()
+    kept = near_duplicates(docs, width, percent, rows, miss).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__id")).distinct()
     known = docs.where("doc_id IS NOT NULL").withColumn("__id", F.col("doc_id").cast("long"))
     one = known.join(kept, "__id", "left_semi").dropDuplicates(["__id"]).drop("__id")
     return one.unionByName(docs.where("doc_id IS NULL"))

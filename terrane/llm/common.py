@@ -77,7 +77,7 @@ def connected_components(ws: Workspace, edges: DataFrame) -> DataFrame:
         parent = ws.save(best.select(F.col("a").alias("node"), F.least(prio("a"), F.col("m"))["v"].alias("up")), "parents")
         rounds.append(parent)
         p, q = parent.select(F.col("node").alias("a"), F.col("up").alias("pa")), parent.select(F.col("node").alias("b"), F.col("up").alias("pb"))
-        moved = live.join(p, "a").select("pa", "b").where("pa <> b").distinct().join(q, "b").where("pa <> pb")
+        moved = live.join(p, "a").select("pa", "b").distinct().join(q, "b").where("pa <> pb")
         live = ws.save(moved.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), "edges")
     if not rounds:
         return ws.spark.createDataFrame([], "node long, component long")

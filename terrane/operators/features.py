@@ -102,7 +102,7 @@ ROLLUP = {
 }
 
 
-def field_rollup(pixels: DataFrame, features: list[str], border: Column, field: str = "field_id", stats: tuple[str, ...] = ("avg", "med", "std", "10", "25", "75", "90"), digits: int = 6) -> DataFrame:
+def field_rollup(pixels: DataFrame, features: list[str], border: Column, field: str = "field_id", stats: tuple[str, ...] = ("avg", "med", "std", "10", "25", "75", "90"), digits: int = 4) -> DataFrame:
     """One row for each field with border and interior pixels: b_ and i_ statistics of each feature, and imgcount_avg.
 
     Fields that lack either kind of pixel are dropped. A condition selects the

@@ -108,9 +108,9 @@ def rollup_sql() -> str:
         for side, flag in (("b", "border"), ("i", "NOT border")):
             for s, e in ROLL_STATS.items():
                 c = f"CASE WHEN {flag} THEN CAST(\"{f}\" AS DOUBLE) END"
-                parts.append(f'round({e.format(c=c)}, 6) AS "{side}_{f}_{s}"')
+                parts.append(f'round({e.format(c=c)}, 4) AS "{side}_{f}_{s}"')
     return f"""WITH px AS ({pixel_sql(ROLL)}), f AS (SELECT px.*, p_size <= 15 AS border FROM px JOIN part ON p_partkey = pix)
-SELECT field_id, round(avg("imgCount"), 6) AS imgcount_avg, count(*) FILTER (border) AS b_pixels, count(*) FILTER (NOT border) AS i_pixels, {', '.join(parts)} FROM f GROUP BY field_id HAVING count(*) FILTER (border) > 0 AND count(*) FILTER (NOT border) > 0"""
+SELECT field_id, round(avg("imgCount"), 4) AS imgcount_avg, count(*) FILTER (border) AS b_pixels, count(*) FILTER (NOT border) AS i_pixels, {', '.join(parts)} FROM f GROUP BY field_id HAVING count(*) FILTER (border) > 0 AND count(*) FILTER (NOT border) > 0"""
 
 
 @query(rollup_sql())

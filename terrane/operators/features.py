@@ -47,7 +47,7 @@ def whole(name: str) -> bool:
     return m in WHOLE and not (m == "nir" and s.isdigit()) and not s.startswith(("Drop", "Spike"))
 
 
-def pixel_features(df: DataFrame, features: list[str], keys: list[str], order: list[str], min_obs: int = 4, count_on: str = "blue", digits: int = 6) -> DataFrame:
+def pixel_features(df: DataFrame, features: list[str], keys: list[str], order: list[str], min_obs: int = 4, count_on: str = "blue", digits: int | None = 6) -> DataFrame:
     """keys, imgCount and the features of each pixel; null features below ``min_obs`` observations.
 
     Measures are computed once per row. Windows and aggregation share one shuffle on
@@ -59,7 +59,7 @@ def pixel_features(df: DataFrame, features: list[str], keys: list[str], order: l
     base = list(dict.fromkeys([*keys, *(order if changes else [])]))
     rows = df.select(*[F.col(c) for c in base], F.col(count_on).alias("__count"), *[measure(m).alias(f"m_{m}") for m in used])
     for m in sorted({m for m, _ in changes.values()}):
-        rows = rows.withColumn(f"t_{m}", F.round(F.avg(f"m_{m}").over(W.partitionBy(*keys)), digits))
+        rows = rows.withColumn(f"t_{m}", F.round(F.avg(f"m_{m}").over(W.partitionBy(*keys)), 6))
     for f, (m, s) in changes.items():
         # a null value takes no place in the series: it sorts into a group of its own
         own = [*keys, f"n_{m}"]
@@ -79,7 +79,7 @@ def pixel_features(df: DataFrame, features: list[str], keys: list[str], order: l
             aggs.append(simple[s](f"m_{m}").alias(f"f_{f}"))
         elif s == "Rng":
             hi, lo = F.max(f"m_{m}"), F.min(f"m_{m}")
-            cut = lambda c: F.round(c, digits).cast("int")
+            cut = lambda c: F.round(c, 6).cast("int")
             aggs.append((cut(hi) - cut(lo) if m in WHOLE else hi - lo).alias(f"f_{f}"))
         elif not s.isdigit():
             aggs.append(best("drop" if s.startswith("Drop") else "spike", F.col(f"s_{f}"), F.col(f"a_{f}")).alias(f"f_{f}"))
@@ -88,8 +88,7 @@ def pixel_features(df: DataFrame, features: list[str], keys: list[str], order: l
     def value(f: str, m: str, s: str) -> Column:
         v = F.col(f"p_{m}")[points[m].index(int(s))] if s.isdigit() else F.col(f"f_{f}")
         # rounded first, so that the noise of the last bits cannot move a whole number
-        v = F.round(v, digits)
-        v = v.cast("int") if whole(f) else v
+        v = F.round(v, 6).cast("int") if whole(f) else v if digits is None else F.round(v, digits)
         return F.when(F.col("imgCount") >= min_obs, v).alias(f)
 
     return grouped.select(*keys, "imgCount", *[value(f, m, s) for f, (m, s) in wanted.items()])

@@ -14,7 +14,7 @@ def i(expr: str) -> str:
     return f"CAST(trunc(round({expr}, 6)) AS INTEGER)"
 
 
-def sql_feature(name: str, least: int = 4) -> str:
+def sql_feature(name: str, least: int = 4, whole_only: bool = False) -> str:
     m, s = features.parse(name)
     c = f'"v_{m}"'
     p = lambda q: f"quantile_cont({c}, {int(q) / 100})"
@@ -22,14 +22,14 @@ def sql_feature(name: str, least: int = 4) -> str:
         e = f"{i(f'max({c})')} - {i(f'min({c})')}" if m in features.WHOLE else f"round(max({c}) - min({c}), 6)"
     else:
         e = {"Avg": f"avg({c})", "Max": f"max({c})", "Min": f"min({c})", "Stdv": f"stddev_samp({c})", "Med": f"median({c})"}.get(s) or p(s)
-        e = i(e) if features.whole(name) else f"round({e}, 6)"
+        e = i(e) if features.whole(name) else e if whole_only else f"round({e}, 6)"
     return f'CASE WHEN count(blue) >= {least} THEN {e} END AS "{name}"'
 
 
-def pixel_sql(names: list[str], least: int = 4) -> str:
+def pixel_sql(names: list[str], least: int = 4, unrounded: bool = False) -> str:
     used = sorted({features.parse(n)[0] for n in names})
     cols = ", ".join(f'{INDEX_SQL.get(m, chr(34) + m + chr(34))} AS "v_{m}"' for m in used)
-    return f"WITH {BAND_OBS}, m AS (SELECT field_id, pix, blue, {cols} FROM band_obs) SELECT field_id, pix, count(blue) AS \"imgCount\", {', '.join(sql_feature(n, least) for n in names)} FROM m GROUP BY field_id, pix"
+    return f"WITH {BAND_OBS}, m AS (SELECT field_id, pix, blue, {cols} FROM band_obs) SELECT field_id, pix, count(blue) AS \"imgCount\", {', '.join(sql_feature(n, least, unrounded) for n in names)} FROM m GROUP BY field_id, pix"
 
 
 def stats(measures: list[str], suffixes: list[str]) -> list[str]:
@@ -109,13 +109,13 @@ def rollup_sql() -> str:
             for s, e in ROLL_STATS.items():
                 c = f"CASE WHEN {flag} THEN CAST(\"{f}\" AS DOUBLE) END"
                 parts.append(f'round({e.format(c=c)}, 4) AS "{side}_{f}_{s}"')
-    return f"""WITH px AS ({pixel_sql(ROLL)}), f AS (SELECT px.*, p_size <= 15 AS border FROM px JOIN part ON p_partkey = pix)
+    return f"""WITH px AS ({pixel_sql(ROLL, unrounded=True)}), f AS (SELECT px.*, p_size <= 15 AS border FROM px JOIN part ON p_partkey = pix)
 SELECT field_id, round(avg("imgCount"), 4) AS imgcount_avg, count(*) FILTER (border) AS b_pixels, count(*) FILTER (NOT border) AS i_pixels, {', '.join(parts)} FROM f GROUP BY field_id HAVING count(*) FILTER (border) > 0 AND count(*) FILTER (NOT border) > 0"""
 
 
 @query(rollup_sql())
 def field_rollup(spark, d):
-    px = features.pixel_features(band_obs(spark, d), ROLL, KEYS, ORDER)
+    px = features.pixel_features(band_obs(spark, d), ROLL, KEYS, ORDER, digits=None)
     sized = px.join(table(spark, d, "part").select(F.col("p_partkey").alias("pix"), "p_size"), "pix")
     return features.field_rollup(sized, ROLL, F.col("p_size") <= 15, stats=tuple(ROLL_STATS))
 

@@ -126,5 +126,76 @@ FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN c ON c.a = d.doc_i
 """
 
 
+def op6_sql() -> str:
+    classes = [*quality.CLASSES.values(), "[#*$%&|<>]"]
+    without = lambda p: f"length(text) - length(regexp_replace(text, '{p.replace(chr(39), chr(39) * 2)}', '', 'g'))"
+    counts = ", ".join(without(p) for p in classes)
+    nc, nw = quality.NC, quality.NW
+    words = ", ".join(f"'{w}'" for w in quality.WORDS)
+
+    def distance(h: str, n: int) -> str:
+        p, q = f"({h}[i] / list_sum({h}))", f"(r_{h}[i] / list_sum(r_{h}))"
+        part = lambda x: f"CASE WHEN {x} > 0 THEN {x} * log2({x} / (({p} + {q}) / 2)) ELSE 0 END"
+        return f"CASE WHEN list_sum({h}) > 0 AND list_sum(r_{h}) > 0 THEN sqrt(greatest(list_sum([{part(p)} + {part(q)} for i in generate_series(1, {n})]) / 2, 0)) END"
+
+    limits = quality.LIMITS
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS words, [{counts}] AS c0 FROM d),
+g AS (SELECT doc_id, unnest(generate_series(1, len(words) - 4)) AS i, words FROM w WHERE len(words) > 5),
+k AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, words[i : i + 4]) AS n FROM g),
+c AS (SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM (SELECT doc_id, unnest([i, i + 1, i + 2, i + 3, i + 4]) AS p FROM k WHERE n > 1) GROUP BY 1),
+f AS (SELECT w.*, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars, {without("[#*$%&|<>]")} AS n_symbols,
+  len([x for x in string_split(text, chr(10)) if regexp_matches(x, '[^\\x20\\x09-\\x0D]')]) AS n_lines,
+  len(list_distinct([x for x in string_split(text, chr(10)) if regexp_matches(x, '[^\\x20\\x09-\\x0D]')])) AS n_own, coalesce(n_repeat_words, 0) AS n_repeat_words,
+  list_concat(c0, [greatest(length(text) - list_sum(c0), 0)]) AS cls, [x for x in list_transform(words, lambda x: lower(x)) if x IN ({words})] AS known FROM w LEFT JOIN c USING (doc_id)),
+h AS (SELECT *, list_concat([len([x for x in known if x = v]) for v in [{words}]], [n_words - len(known)]) AS com FROM f),
+r AS (SELECT lang, {"[" + ", ".join(f"sum(cls[{i}])" for i in range(1, nc + 1)) + "]"} AS r_cls, {"[" + ", ".join(f"sum(com[{i}])" for i in range(1, nw + 1)) + "]"} AS r_com FROM h GROUP BY 1 HAVING sum(n_words) >= 5000),
+j AS (SELECT h.*, {distance("cls", nc)} AS cd, {distance("com", nw)} AS wd, (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed FROM h LEFT JOIN r USING (lang))
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_lines - n_own AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
+  NOT base_failed AND NOT coalesce((length(text) >= {limits["least_chars"]} AND cd > {limits["most_class"]}) OR (n_words >= {limits["least_words"]} AND wd > {limits["most_common"]}), FALSE) AS kept, round(cd, 6) AS class_distance, round(wd, 6) AS word_distance FROM j
+"""
+
+
+def op9_sql() -> str:
+    quote = lambda p: p.replace("'", "''")
+    parts = []
+    for rank, (kind, pattern, group, _) in enumerate([*secrets.BASE, *secrets.ADDED]):
+        value = f"regexp_extract(m, '{quote(pattern)}', {group})"
+        holds = {"assign": f"length({value}) >= 6", "access": "length(m) >= 20"}.get(kind, "TRUE")
+        parts.append(f"""SELECT doc_id, source, '{kind}' AS kind, {rank} AS rank, b + length(p) AS start, b + length(p) + length(m) AS stop, md5({value}) AS digest FROM (
+  SELECT doc_id, source, m, p, coalesce(sum(length(m) + length(p)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM (
+    SELECT doc_id, source, unnest(ms) AS m, unnest(ps[1 : len(ms)]) AS p, unnest(generate_series(1, len(ms))) AS i FROM (
+      SELECT doc_id, source, regexp_extract_all(text, '{quote(pattern)}') AS ms, regexp_split_to_array(text, '{quote(pattern)}') AS ps FROM documents WHERE text IS NOT NULL) WHERE len(ms) > 0)) WHERE {holds}""")
+    return f"""
+WITH s AS ({" UNION ALL ".join(parts)}),
+o AS (SELECT digest, count(DISTINCT coalesce(source, '')) AS n_owners FROM s GROUP BY 1),
+a AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+  sha256(coalesce(string_agg(kind || ':' || CAST(start AS BIGINT) || ':' || CAST(stop AS BIGINT), ',' ORDER BY start, rank) FILTER (rank < 3), '')) AS base_sha256,
+  coalesce(string_agg(kind || ':' || CAST(start AS BIGINT) || ':' || CAST(stop AS BIGINT), ',' ORDER BY start, rank) FILTER (rank < 3 OR n_owners <= 2), '') AS spans,
+  count(*) FILTER (n_owners <= 2) AS n_live, count(*) FILTER (n_owners > 2) AS n_examples, max(n_owners) AS most_owners FROM s JOIN o USING (digest) GROUP BY 1)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, coalesce(base_sha256, sha256('')) AS base_sha256, coalesce(spans, '') AS spans,
+  coalesce(n_live, 0) AS n_live, coalesce(n_examples, 0) AS n_examples, coalesce(most_owners, 0) AS most_owners FROM documents d LEFT JOIN a USING (doc_id)
+"""
+
+
+def op7_sql() -> str:
+    rows, widths = [], set()
+    for name, many in sorted(licenses.TEMPLATES.items()):
+        for text in many:
+            w = licenses.template_words(text)
+            widths.add(licenses.window_of(len(w)))
+            rows.append(f"('{name}', {licenses.window_of(len(w))}, {w})")
+    grams = lambda w: f"list_distinct([[{w}[i], {w}[i + 1], {w}[i + 2]] for i in generate_series(1, len({w}) - 2)])"
+    return f"""
+WITH t(license, width, words) AS (VALUES {", ".join(rows)}), tt AS (SELECT license, width, {grams("words")} AS sh FROM t),
+d AS (SELECT doc_id, [x for x in regexp_split_to_array(lower(text), '[^a-z0-9]+') if x <> ''] AS words FROM documents WHERE text IS NOT NULL),
+v AS (SELECT doc_id, width, step * (width // 2) AS first_word, words[step * (width // 2) + 1 : step * (width // 2) + width] AS win FROM (
+  SELECT doc_id, words, width, unnest(generate_series(0, len(words) // (width // 2))) AS step FROM d, (SELECT unnest({sorted(widths)}) AS width))),
+m AS (SELECT doc_id, license, first_word, v.width, len(list_intersect(sh, {grams("win")})) / len(sh) AS share FROM v JOIN tt USING (width) WHERE len(win) > 2)
+SELECT doc_id, license, round(max(share), 6) AS containment, min(first_word) AS first_word, count(DISTINCT (width, first_word)) AS n_windows FROM m WHERE share >= 0.8 GROUP BY 1, 2
+"""
+
+
 def oracle_sql() -> dict:
-    return {"op3_embedding_near_dup": OP3_SQL, "op4_minhash_near_dup": OP4_SQL, "op5_warc": OP5_SQL, "op8_mixing": op8_sql()}
+    return {"op6_quality_rules": op6_sql(), "op7_license_scan": op7_sql(), "op9_secret_scan": op9_sql(), "op3_embedding_near_dup": OP3_SQL, "op4_minhash_near_dup": OP4_SQL, "op5_warc": OP5_SQL, "op8_mixing": op8_sql()}

@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import Workspace
+
 CHUNKS = "doc_id long, digest long, start int, stop int, words int"
 SPACES = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
 
@@ -96,8 +98,10 @@ def repeated_passages(docs: DataFrame, least: int = 15, mean: int = 14, gap: int
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL AND text <> ''")
     chunks = chunk_rows(texts, Gear(mean, gap, seed))
-    firsts = chunks.groupBy("digest").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last")).where("first_doc_id < last")
-    again = chunks.join(firsts.drop("last"), "digest").where("first_doc_id < doc_id")
+    firsts = chunks.groupBy("digest").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last")).where("first_doc_id < last").drop("last")
+    # a table of its own, so that the join deals both sides anew and the rows of a common digest can be split
+    firsts = Workspace(docs.sparkSession, "chunks").save(firsts, "firsts")
+    again = chunks.join(firsts.hint("merge"), "digest").where("first_doc_id < doc_id")
     by = W.partitionBy("doc_id").orderBy("start", "stop", "first_doc_id")
     new = (F.lag("stop").over(by) != F.col("start")) | (F.lag("first_doc_id").over(by) != F.col("first_doc_id"))
     runs = again.withColumn("run", F.sum(F.when(F.coalesce(new, F.lit(True)), 1).otherwise(0)).over(by))

@@ -306,6 +306,7 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, rows: in
     placed = ws.save(placed.select("key", "doc_id", F.coalesce("component", "doc_id").alias("comp")), "placed")
     per = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
     mixed = per.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("major"), F.count(F.lit(1)).alias("comps")).where("comps > 1").drop("comps")
+    mixed = ws.save(mixed, "mixed")
     # a member travels once for each largest component that it meets, not for each bucket
     met = ws.save(placed.join(mixed, "key").select("major", "doc_id", "comp").distinct(), "met")
     sizes = met.groupBy("major").agg(F.ceil(F.count_if(F.col("comp") != F.col("major")) / BLOCK).cast("int").alias("nm"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("no"))

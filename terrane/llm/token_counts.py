@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import functools
 import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -31,6 +32,9 @@ from pyspark.sql import functions as F
 MEMO_WORDS, MEMO_STATES, MEMO_PAIRS = 400_000, 300_000, 1_000_000
 #: Code points that a worker splits at a time.
 FLUSH_CHARS = 2_000_000
+#: Signs outside these (ASCII, composed Latin letters, punctuation) are left to the library's normaliser; for
+#: the others it only lowers letters, apart from white space, which the splitter treats alike.
+UNUSUAL = re.compile("[^\x00-\u012f\u0131-\u024f\u2010-\u2027\u2030-\u203a\u20ac]").search
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 
 
@@ -322,7 +326,7 @@ class Counter:
         if not held:
             return
         norm = self.library.normalizer.normalize_str
-        parts = [norm(texts[i]) + "\n" for i in held]
+        parts = [(t.lower() if t.isascii() or not UNUSUAL(t) else norm(t)) + "\n" for t in (texts[i] for i in held)]
         bounds = np.cumsum([0] + [len(p) for p in parts])
         text = "".join(parts)
         begins, ends = self.split.tokens(text)

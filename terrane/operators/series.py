@@ -35,10 +35,15 @@ def align(obs: DataFrame, events: DataFrame, field: str = "field_id", date: str
 
 
 def spine(aligned: DataFrame, reach: int = 50, field: str = "field_id", value: str = "value") -> DataFrame:
-    """Every relative day from -reach to reach of each field, null where nothing was seen; one value a day (the last date's)."""
-    seen = aligned.where(F.col("rel_day").between(-reach, reach)).groupBy(field, "rel_day").agg(F.max_by(value, "obs_date").alias(value))
-    days = aligned.select(field).distinct().select(field, F.explode(F.sequence(F.lit(-reach), F.lit(reach))).alias("rel_day"))
-    return days.join(seen, [field, "rel_day"], "left")
+    """Every relative day from -reach to reach of each field, null where nothing was seen; one value a day (the last date's).
+
+    A field's series is at most a value for each date of the window, so it is gathered
+    in one aggregation and spread again without a join.
+    """
+    near = F.when(F.col("rel_day").between(-reach, reach), F.struct("rel_day", "obs_date", F.col(value).alias("v")))
+    held = aligned.groupBy(field).agg(F.collect_list(near).alias("seen"))
+    day = lambda d: F.struct(d.alias("rel_day"), F.array_max(F.filter("seen", lambda x: x["rel_day"] == d))["v"].alias(value))
+    return held.select(field, F.inline(F.transform(F.sequence(F.lit(-reach), F.lit(reach)), day)))
 
 
 def pre_post_unmatched(aligned: DataFrame, days: int, exact: bool = False) -> DataFrame:
@@ -89,9 +94,13 @@ def burn_signal(aligned: DataFrame, max_pre: int, max_post: int, field: str = "f
 
 
 def false_signal_rate(diffs: DataFrame, signals: DataFrame, field: str = "field_id") -> DataFrame:
-    """n, rate: the share of fields with a day whose change exceeds the signal. Fields are one row each before they meet the few signals."""
-    most = diffs.groupBy(field).agg(F.max("diff").alias("most"))
-    return most.join(F.broadcast(signals)).groupBy("n", "signal").agg(F.round(F.avg(F.coalesce((F.col("most") > F.col("signal")).cast("int"), F.lit(0))), 6).alias("rate"))
+    """period, n, signal, rate: the share of fields with a day, before or after the event, whose change exceeds the signal.
+
+    Fields are reduced to one row with both largest changes before they meet the few signals.
+    """
+    most = diffs.groupBy(field).agg(F.max(F.when(F.col("rel_day") < 0, F.col("diff"))).alias("pre"), F.max(F.when(F.col("rel_day") > 0, F.col("diff"))).alias("post"))
+    long = most.unpivot([field], ["pre", "post"], "period", "most")
+    return long.join(F.broadcast(signals)).groupBy("period", "n", "signal").agg(F.round(F.avg(F.coalesce((F.col("most") > F.col("signal")).cast("int"), F.lit(0))), 6).alias("rate"))
 
 
 def separability(p: Column, q: Column) -> Column:

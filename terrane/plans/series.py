@@ -88,9 +88,7 @@ NOISE = "SELECT '{0}' AS period, n, signal, round(avg(CASE WHEN most > signal TH
 @query(f"WITH {SPINED}, {SIGNAL} {NOISE.format('pre', '<')} UNION ALL {NOISE.format('post', '>')}")
 def noise_vs_signal(spark, d):
     a = aligned(spark, d)
-    signals, diffs = S.burn_signal(a, 8, 14), S.image_diff(S.spine(a))
-    parts = {"pre": diffs.where("rel_day < 0"), "post": diffs.where("rel_day > 0")}
-    return S.union_tagged({k: S.false_signal_rate(p, signals) for k, p in parts.items()}, "period")
+    return S.false_signal_rate(S.image_diff(S.spine(a)), S.burn_signal(a, 8, 14))
 
 
 SEP = "round(abs(avg(p) - avg(q)) / nullif(stddev_pop(p) + stddev_pop(q), 0), 6)"

@@ -169,13 +169,13 @@ def op9_sql() -> str:
       SELECT doc_id, source, regexp_extract_all(text, '{quote(pattern)}') AS ms, regexp_split_to_array(text, '{quote(pattern)}') AS ps FROM documents WHERE text IS NOT NULL) WHERE len(ms) > 0)) WHERE {holds}""")
     return f"""
 WITH s AS ({" UNION ALL ".join(parts)}),
-o AS (SELECT digest, count(DISTINCT coalesce(source, '')) AS n_owners FROM s GROUP BY 1),
+o AS (SELECT digest, count(DISTINCT coalesce(source, '')) AS n_owners, count(DISTINCT (coalesce(source, ''), doc_id)) AS n_repositories FROM s GROUP BY 1),
 a AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
   sha256(coalesce(string_agg(kind || ':' || CAST(start AS BIGINT) || ':' || CAST(stop AS BIGINT), ',' ORDER BY start, rank) FILTER (rank < 3), '')) AS base_sha256,
   coalesce(string_agg(kind || ':' || CAST(start AS BIGINT) || ':' || CAST(stop AS BIGINT), ',' ORDER BY start, rank) FILTER (rank < 3 OR n_owners <= 2), '') AS spans,
-  count(*) FILTER (n_owners <= 2) AS n_live, count(*) FILTER (n_owners > 2) AS n_examples, max(n_owners) AS most_owners FROM s JOIN o USING (digest) GROUP BY 1)
+  count(*) FILTER (n_owners <= 2) AS n_live, count(*) FILTER (n_owners > 2) AS n_examples, max(n_owners) AS most_owners, max(n_repositories) AS most_repositories FROM s JOIN o USING (digest) GROUP BY 1)
 SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, coalesce(base_sha256, sha256('')) AS base_sha256, coalesce(spans, '') AS spans,
-  coalesce(n_live, 0) AS n_live, coalesce(n_examples, 0) AS n_examples, coalesce(most_owners, 0) AS most_owners FROM documents d LEFT JOIN a USING (doc_id)
+  coalesce(n_live, 0) AS n_live, coalesce(n_examples, 0) AS n_examples, coalesce(most_owners, 0) AS most_owners, coalesce(most_repositories, 0) AS most_repositories FROM documents d LEFT JOIN a USING (doc_id)
 """
 
 

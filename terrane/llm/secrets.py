@@ -89,11 +89,14 @@ def candidates(docs: DataFrame, owner: str, repository: str) -> DataFrame:
 
 
 def scan(docs: DataFrame, owner: str = "source", repository: str = "doc_id", most_owners: int = 2) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_examples, live, text_key for each row of ``docs``.
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_examples, most_owners, most_repositories, live, text_key.
+
+    One row out per row of ``docs``.
 
     spans: kind:start:end of all, in code points, by start and then kind. A candidate
     that at most ``most_owners`` distinct owners have is live, others are examples; a
-    null owner counts as one. Base spans are all listed, added ones where they are
+    null owner counts as one; most_owners and most_repositories are the largest counts of
+    a document's candidates. Base spans are all listed, added ones where they are
     live. live: the live places, an array of (start, stop). A null text is empty; a
     document without candidates has empty spans; rows that repeat stay rows. Other
     columns are ignored.
@@ -107,9 +110,9 @@ def scan(docs: DataFrame, owner: str = "source", repository: str = "doc_id", mos
     known = each.select("doc_id", "text_key", F.col("s").alias("span"), F.col("s.digest").alias("digest")).distinct().join(owners, "digest")
     is_live = F.col("n_owners") <= most_owners
     per = known.groupBy("doc_id", "text_key").agg(
-        F.collect_list(F.when(is_live, F.col("span"))).alias("live"), F.count_if(~is_live).alias("n_examples"), F.max("n_owners").alias("most_owners")
+        F.collect_list(F.when(is_live, F.col("span"))).alias("live"), F.count_if(~is_live).alias("n_examples"), F.max("n_owners").alias("most_owners"), F.max("n_repositories").alias("most_repositories")
     )
-    mine = per.select(F.col("doc_id").alias("d"), F.col("text_key").alias("t"), "live", "n_examples", "most_owners")
+    mine = per.select(F.col("doc_id").alias("d"), F.col("text_key").alias("t"), "live", "n_examples", "most_owners", "most_repositories")
     out = rows.join(mine, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("t")), "left")
     none = F.array().cast(SPAN)
     base = F.filter("found", lambda s: s["rank"] < n)
@@ -120,6 +123,7 @@ def scan(docs: DataFrame, owner: str = "source", repository: str = "doc_id", mos
         "doc_id", of("assign").alias("n_assign"), of("access").alias("n_access"), of("hex").alias("n_hex"),
         F.sha2(written(base).cast("binary"), 256).alias("base_sha256"), written(every).alias("spans"),
         F.size(live).cast("long").alias("n_live"), F.coalesce("n_examples", F.lit(0)).cast("long").alias("n_examples"), F.coalesce("most_owners", F.lit(0)).cast("long").alias("most_owners"),
+        F.coalesce("most_repositories", F.lit(0)).cast("long").alias("most_repositories"),
         F.array_sort(F.transform(live, lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop")))).alias("live"), "text_key",
     )
 

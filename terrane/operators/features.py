@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.indices import INDICES, measure
 from ..sources.adapters import BANDS
-from .change import best, change_columns
+from .change import best
 
 MEASURES = sorted([*BANDS, *INDICES], key=len, reverse=True)
 #: Measures whose statistics are cut to whole numbers.
@@ -58,15 +58,8 @@ def pixel_features(df: DataFrame, features: list[str], keys: list[str], order: l
     changes = {f: (m, s) for f, (m, s) in wanted.items() if s[:-1] in ("Drop", "Spike")}
     base = list(dict.fromkeys([*keys, *(order if changes else [])]))
     rows = df.select(*[F.col(c) for c in base], F.col(count_on).alias("__count"), *[measure(m).alias(f"m_{m}") for m in used])
-    for m in sorted({m for m, _ in changes.values()}):
-        rows = rows.withColumn(f"t_{m}", F.round(F.avg(f"m_{m}").over(W.partitionBy(*keys)), 6))
-    for f, (m, s) in changes.items():
-        # a null value takes no place in the series: it sorts into a group of its own
-        own = [*keys, f"n_{m}"]
-        if f"n_{m}" not in rows.columns:
-            rows = rows.withColumn(f"n_{m}", F.col(f"m_{m}").isNull())
-        a, b = change_columns(f"m_{m}", F.col(f"t_{m}"), int(s[-1]), "drop" if s.startswith("Drop") else "spike", own, order)
-        rows = rows.withColumns({f"s_{f}": a, f"a_{f}": b})
+    if changes:
+        rows = _with_changes(rows, changes, keys, order)
     points: dict[str, list[int]] = {}
     for m, s in wanted.values():
         if s.isdigit():
@@ -94,6 +87,36 @@ def pixel_features(df: DataFrame, features: list[str], keys: list[str], order: l
     return grouped.select(*keys, "imgCount", *[value(f, m, s) for f, (m, s) in wanted.items()])
 
 
+def _with_changes(rows: DataFrame, changes: dict[str, tuple[str, str]], keys: list[str], order: list[str]) -> DataFrame:
+    """Adds s_ and a_ (sustained and any candidate differences) of each change feature.
+
+    Nulls take no place in a series. They are skipped inside the windows, so that all
+    measures share one order of the rows, and one sort.
+    """
+    by, at = ", ".join(f"`{k}`" for k in keys), ", ".join(f"`{o}`" for o in order)
+    over = f"OVER (PARTITION BY {by} ORDER BY {at})"
+    reach: dict[str, int] = {}
+    for m, s in changes.values():
+        reach[m] = max(reach.get(m, 0), int(s[-1]))
+    ahead = {f"l{k}_{m}": F.expr(f"lead(`m_{m}`, {k}) IGNORE NULLS {over}") for m, buf in reach.items() for k in range(1, 2 + buf)}
+    place = {f"i_{m}": F.expr(f"count(`m_{m}`) OVER (PARTITION BY {by} ORDER BY {at} ROWS UNBOUNDED PRECEDING) - 1") for m in reach}
+    whole = W.partitionBy(*keys)
+    rows = rows.select("*", *[c.alias(k) for k, c in (ahead | place).items()])
+    rows = rows.select("*", *[F.round(F.avg(f"m_{m}").over(whole), 6).alias(f"t_{m}") for m in reach], *[F.count(f"m_{m}").over(whole).alias(f"n_{m}") for m in reach])
+    out = {}
+    for f, (m, s) in changes.items():
+        drop, buf = s.startswith("Drop"), int(s[-1])
+        window = F.col(f"n_{m}") - (buf + 1 if drop else buf)
+        candidate = F.col(f"m_{m}").isNotNull() & (F.col(f"i_{m}") <= window - 2) & (window >= 2)
+        diff = F.col(f"l1_{m}") - F.col(f"m_{m}")
+        sustained = F.lit(True)
+        for k in range(2, 2 + buf):
+            later = F.col(f"l{k}_{m}")
+            sustained = sustained & (later < F.col(f"t_{m}") if drop else later > F.col(f"t_{m}"))
+        out |= {f"s_{f}": F.when(candidate & sustained, diff), f"a_{f}": F.when(candidate, diff)}
+    return rows.withColumns(out)
+
+
 #: Roll-up statistics by the prefix of their names.
 ROLLUP = {
     "avg": lambda c: F.avg(c), "med": lambda c: F.median(c), "min": lambda c: F.min(c), "max": lambda c: F.max(c), "std": lambda c: F.stddev_samp(c), "sum": lambda c: F.sum(c),

@@ -200,7 +200,7 @@ def plan_sequences(counts: np.ndarray, capacity: int, groups: int = 128) -> list
     x = configuration_lp(classes, capacity)
     least = -(-int((counts * np.arange(len(counts))).sum()) // capacity)
     best = None
-    for share in (1.0, 0.5, 0.25, 0.1, 0.0):
+    for share in (1.0, 0.5, 0.25, 0.1):
         got = rounded(x, classes, counts, capacity, share)
         if best is None or sum(n for _, n in got) < sum(n for _, n in best):
             best = got

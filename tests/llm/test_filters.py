@@ -1,5 +1,6 @@
 import hashlib
 import math
+import random
 import re
 from collections import Counter
 
@@ -56,6 +57,23 @@ def test_distances_and_verdict(spark):
     assert {r.doc_id for r in quality.passed(df, 1000).collect()} == {k for k, r in out.items() if r.kept}
 
 
+def test_each_half_rejects_by_itself(spark):
+    r = random.Random(3)
+
+    def text(lang, n):
+        return " ".join(r.choice(quality.COMMON[lang]) if r.random() < 0.2 else r.choice(data.VOCAB) for _ in range(n)) + "."
+
+    good = [(100 * i + k, text(lang, 120 + 20 * k), lang) for i, lang in enumerate(("en", "de")) for k in range(30)]
+    salad = [(901, text("en", 150).translate(str.maketrans({c: "#" for c in "aeiou"})), "en"), (902, " ".join(r.choice([w for w in data.VOCAB if w not in quality.WORDS]) for _ in range(150)), "en"), (903, text("de", 400), "en"), (904, text("en", 100), "de")]
+    df = spark.createDataFrame(good + salad, "doc_id long, text string, lang string")
+    out = {x.doc_id: x for x in quality.judge(df, least_reference=1000).collect()}
+    assert all(out[k].kept for k, _, _ in good)
+    assert not out[901].kept and out[901].class_distance > 0.3
+    for k in (902, 903):
+        assert not out[k].kept and not out[k].base_failed and out[k].class_distance < 0.3
+    assert out[904].kept  # too short to tell
+
+
 def test_licenses_equal_brute_force(spark):
     t = licenses.TEMPLATES
     full = t["apache-2.0"][1]

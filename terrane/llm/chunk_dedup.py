@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import Workspace
 
-CHUNKS = "doc_id long, digest long, start int, stop int, words int"
+CHUNKS = "doc_id long, row long, digest long, start int, stop int, words int"
 SPACES = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
 
 
@@ -53,14 +53,14 @@ def chunk_rows(docs: DataFrame, gear: Gear) -> DataFrame:
         from xxhash import xxh3_64_intdigest
 
         for pdf in batches:
-            ids, digests, starts, stops, words = [], [], [], [], []
+            ids, keys, digests, starts, stops, words = [], [], [], [], [], []
 
             def out() -> pd.DataFrame:
                 got = pd.DataFrame({
-                    "doc_id": np.concatenate(ids), "digest": np.array(digests, np.uint64).view(np.int64),
+                    "doc_id": np.concatenate(ids), "row": np.concatenate(keys), "digest": np.array(digests, np.uint64).view(np.int64),
                     "start": np.concatenate(starts), "stop": np.concatenate(stops), "words": np.concatenate(words),
                 })
-                for part in (ids, digests, starts, stops, words):
+                for part in (ids, keys, digests, starts, stops, words):
                     part.clear()
                 return got
 
@@ -74,6 +74,7 @@ def chunk_rows(docs: DataFrame, gear: Gear) -> DataFrame:
                 blank = SPACES[data]
                 begins = np.concatenate([[0], np.cumsum(~blank & np.concatenate([[True], blank[:-1]]))])
                 ids.append(np.full(len(stop), doc, np.int64))
+                keys.append(np.full(len(stop), xxh3_64_intdigest(raw), np.uint64).view(np.int64))
                 digests += [xxh3_64_intdigest(raw[a:b]) for a, b in zip(start.tolist(), stop.tolist())]
                 starts.append(start)
                 stops.append(stop)
@@ -91,8 +92,9 @@ def repeated_passages(docs: DataFrame, least: int = 15, mean: int = 14, gap: int
 
     Documents (doc_id, text) are ordered by doc_id; each passage names the first one
     that holds its chunks. Repeats within a document only, null ids, and null or empty
-    texts give no rows; rows that repeat a doc_id count as one document. Other columns
-    are ignored. Bytes are of the UTF-8 text; words start at a sign that follows white
+    texts give no rows. Rows that repeat a doc_id count as one document: equal texts
+    give their passages once, another text under the id has passages of its own. Other
+    columns are ignored. Bytes are of the UTF-8 text; words start at a sign that follows white
     space. Passages of over 50 words are found but for those cut unluckily (about one
     in two hundred at 50 words, and ever fewer beyond).
     """
@@ -102,13 +104,15 @@ def repeated_passages(docs: DataFrame, least: int = 15, mean: int = 14, gap: int
     # a table of its own, so that the join deals both sides anew and the rows of a common digest can be split
     firsts = Workspace(docs.sparkSession, "chunks").save(firsts, "firsts")
     again = chunks.join(firsts.hint("merge"), "digest").where("first_doc_id < doc_id")
-    by = W.partitionBy("doc_id").orderBy("start", "stop", "first_doc_id")
+    # a text is a row's digest: copies of a row lie side by side, and other texts of the document apart
+    by = W.partitionBy("doc_id", "row").orderBy("start")
+    again = again.withColumn("before", F.lag("start").over(by)).where("before IS NULL OR before < start")
     new = (F.lag("stop").over(by) != F.col("start")) | (F.lag("first_doc_id").over(by) != F.col("first_doc_id"))
     runs = again.withColumn("run", F.sum(F.when(F.coalesce(new, F.lit(True)), 1).otherwise(0)).over(by))
-    spans = runs.groupBy("doc_id", "run", "first_doc_id").agg(
+    spans = runs.groupBy("doc_id", "row", "run", "first_doc_id").agg(
         F.min("start").cast("long").alias("start_byte"), F.max("stop").cast("long").alias("end_byte"), F.count(F.lit(1)).alias("n_chunks"), F.sum("words").cast("long").alias("n_words")
     )
-    return spans.where(F.col("n_words") >= least).drop("run")
+    return spans.where(F.col("n_words") >= least).drop("run", "row")
 
 
 def without_passages(docs: DataFrame, passages: DataFrame) -> DataFrame:

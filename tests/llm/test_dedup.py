@@ -98,6 +98,17 @@ def test_repeated_passages(spark):
     assert chunk_dedup.repeated_passages(data.docs(spark)).count() > 0
 
 
+def test_passages_of_repeated_rows(spark):
+    p, q = data.prose(60, 77), data.prose(60, 78)
+    first = (1, data.prose(90, 1) + " " + p + " " + data.prose(40, 2) + " " + q)
+    a, b = (5, data.prose(33, 4) + " " + p + " " + data.prose(80, 5)), (5, data.prose(20, 6) + " " + q)
+    spans = lambda rows: sorted(chunk_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "first_doc_id", "start_byte", "end_byte", "n_chunks", "n_words").collect())
+    one, other = spans([first, a]), spans([first, b])
+    assert one and other and all(s.n_words >= 40 for s in one + other)
+    assert spans([first, a, a, first]) == one
+    assert spans([first, a, b, a]) == sorted(one + other)
+
+
 def test_cutting_passages_out(spark):
     p, a = data.prose(60, 77), data.prose(30, 4)
     df = spark.createDataFrame([(1, p), (2, a + " " + p + " " + a), (3, "ö" * 9), (4, None)], "doc_id long, text string")

@@ -44,7 +44,9 @@ def rf_kfold(spark, d):
 
 @query(None)
 def loocv(spark, d):
-    return M.leave_one_out(pixels(spark, d), FEATURES, "field_id", [0, 1, 2], trees=5, depth=5).select("pixel_id", "field_id", F.round("pred", 6).alias("pred"))
+    px = pixels(spark, d)
+    fields = [x.field_id for x in px.select("field_id").distinct().orderBy("field_id").collect()]
+    return M.leave_one_out(px, FEATURES, "field_id", fields, trees=5, depth=5).select("pixel_id", "field_id", F.round("pred", 6).alias("pred"))
 
 
 @query(None)
@@ -59,7 +61,7 @@ def rf_confusion(spark, d):
 def forward_select(spark, d):
     train, held = split(spark, d)
     rate = lambda names: M.accuracy(M.score(M.fit_forest(train, names, trees=5, depth=4), held, names))
-    chosen, best = M.select_features(train, FEATURES[:4], rate, most=2)
+    chosen, best = M.select_features(train, FEATURES, rate, most=len(FEATURES))
     return spark.createDataFrame([(n, best) for n in chosen], "feature string, accuracy double")
 
 

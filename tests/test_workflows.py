@@ -1,8 +1,10 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from terrane import cli
 from terrane.operators import workflows
+from terrane.plans import models
 
 
 def obs(spark):
@@ -56,3 +58,19 @@ def test_images_of_areas(spark):
     listed = spark.createDataFrame([("20191129_040301_0f36_",)], "To_remove string")
     im = spark.createDataFrame([("1234567890_20191129_040301_0f36_x.tif",), ("1234567890_20191130_040301_0f36_x.tif",)], "image_id string")
     assert workflows.rm_images(im, listed).count() == 1
+
+
+def test_every_field_is_held_out_and_every_feature_tried(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    rows = [(k, k % 5, int(v[9] > 0), *map(float, v)) for k, v in enumerate(rng.standard_normal((120, 16)))]
+    px = spark.createDataFrame(rows, "pixel_id long, field_id long, label int, " + ", ".join(f"{f} double" for f in models.FEATURES)).cache()
+    monkeypatch.setattr(models, "pixels", lambda spark, d: px)
+    out = models.loocv(spark, "").collect()
+    assert sorted(x.pixel_id for x in out) == list(range(120)) and all(x.pred is not None for x in out)
+    tried = []
+    monkeypatch.setattr(models.M, "fit_forest", lambda train, names, **_: names)
+    monkeypatch.setattr(models.M, "score", lambda model, held, names: names)
+    monkeypatch.setattr(models.M, "accuracy", lambda names: tried.append(names) or len({"f9", "f12", "f15"} & set(names)) / 3)
+    monkeypatch.setattr(models, "split", lambda spark, d: (px, px))
+    assert {x.feature for x in models.forward_select(spark, "").collect()} == {"f9", "f12", "f15"}
+    assert {n[0] for n in tried if len(n) == 1} == set(models.FEATURES)

@@ -2,17 +2,17 @@
 
 The tokenizer file is compiled into two deterministic transducers:
 
-* ``SplitMachine`` cuts normalised text into words. Its few states make a finite
-  set of state maps: a chunk of text is a map from entry state to exit state, maps
-  of neighbouring chunks compose, and a parallel prefix scan over them gives every
-  chunk the state it starts in. All chunks then run in lockstep.
+* ``SplitMachine`` cuts normalised text into words, in six states.
 * ``MergeMachine`` reads the bytes of one word. A state holds, for the positions a
   later token can still begin at, the last token of the text up to there; a
   transition carries the change in the number of tokens. States are made on demand.
   That every prefix of a word has one last token, which any neighbour pair decides
   alone, is a property of byte-pair encodings; it makes long words linear.
 
-Word counts are state maps of whole words, so they are kept in a bounded memo.
+Texts are cut into chunks, which run in lockstep. A chunk's state map carries the
+tokens it emits (``ChunkMaps``); maps of neighbouring chunks compose, and a parallel
+prefix scan over them gives each text its count. Counts of whole words are state
+maps too, and are kept in a bounded memo.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -257,39 +257,97 @@ class SplitMachine:
     def __init__(self, classes: np.ndarray):
         self.classes = classes
         self.to, self.here, self.before = split_tables()
+        self.steps = list(zip(self.to.tolist(), self.here.tolist(), self.before.tolist()))
+
+    def kinds(self, text: str) -> np.ndarray:
+        return self.classes[np.frombuffer(text.encode("utf-32-le"), np.uint32)]
+
+    def cut(self, run: str) -> list[int]:
+        """Starts of the tokens of ``run``, which holds no white space, one sign after the other."""
+        out, state = [], BETWEEN
+        for i, kind in enumerate([*self.kinds(run).tolist(), SPACE]):
+            state, here, before = self.steps[state * 9 + kind]
+            if before:
+                out.append(i - 1)
+            if here:
+                out.append(i)
+        return out
 
-    def tokens(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Starts and ends of the tokens of ``text``, which must end in a space."""
-        kinds = self.classes[np.frombuffer(text.encode("utf-32-le"), np.uint32)]
-        n = len(kinds)
-        width = max(64, int(n**0.5) // 2)
-        rows = -(-n // width)
-        lanes = np.zeros(rows * width, np.uint8)
-        lanes[:n] = kinds
-        lanes = np.ascontiguousarray(lanes.reshape(rows, width).T)
-        # the state map of each chunk: from every entry state at once
-        maps = np.repeat(np.arange(6, dtype=np.uint8)[:, None], rows, 1)
-        for column in lanes:
-            maps = self.to[maps * np.uint8(9) + column]
-        # inclusive prefix scan by composition
-        step = 1
-        while step < rows:
-            maps[:, step:] = np.take_along_axis(maps[:, step:], maps[:, :-step].copy(), 0)
-            step *= 2
-        state = np.concatenate([np.zeros(1, np.uint8), maps[BETWEEN, :-1]])
+    def starts(self, lanes: np.ndarray) -> np.ndarray:
+        """Where tokens start in the columns of ``lanes``, all run in lockstep, each as after white space."""
+        state = np.zeros(lanes.shape[1], np.uint8)
         here, before = np.empty(lanes.shape, bool), np.empty(lanes.shape, bool)
         for k, column in enumerate(lanes):
             at = state * np.uint8(9) + column
             here[k], before[k] = self.here[at], self.before[at]
             state = self.to[at]
-        starts = here.T.reshape(-1)[:n].copy()
-        back = before.T.reshape(-1)[:n]
-        starts[:-1] |= back[1:]
-        events = np.flatnonzero(starts | (kinds == SPACE))
-        is_start = starts[events]
-        begins = events[is_start]
-        ends = events[np.flatnonzero(is_start) + 1]
-        return begins, ends
+        here[:-1] |= before[1:]
+        return here
+
+
+class RunCounts(dict):
+    """Tokens of whole runs between white space: the transducers of splitting and merging, one after the other."""
+
+    def __init__(self, split: SplitMachine, words: WordCounts):
+        super().__init__()
+        self.split, self.words = split, words
+
+    def __missing__(self, run: str) -> int:
+        if len(self) > MEMO_WORDS:
+            self.clear()
+        at = self.split.cut(run)
+        out = sum(self.words[run[a:b]] for a, b in zip(at, [*at[1:], len(run)]))
+        if len(run) < 64:
+            self[run] = out
+        return out
+
+
+class ChunkMaps:
+    """State maps of the chunks of a text, and their composition.
+
+    White space takes every state to the same one. So the map of a chunk with white
+    space is: what the entry state makes of the chunk's head (up to its first white
+    space), then a count that no longer depends on it, then the state in which the
+    open tail (behind its last white space) leaves the transducer. A chunk without
+    white space only prolongs what is open. A state is named by the open text that
+    leads to it, which is contiguous, so a map is four numbers: has it white space,
+    where its head ends, the tokens emitted between, where its tail starts.
+    """
+
+    def __init__(self, text: str, runs: RunCounts, synced: np.ndarray, head_end: np.ndarray, emitted: np.ndarray, tail: np.ndarray):
+        self.text, self.runs = text, runs
+        self.synced, self.head_end, self.emitted, self.tail = synced, head_end, emitted, tail
+
+    def tokens(self, a: int, b: int) -> int:
+        return self.runs[self.text[a:b]] if a < b else 0
+
+    def enter(self, first: np.ndarray, begin: np.ndarray) -> None:
+        """Fixes the entry state of the chunks ``first`` to that of a text's beginning."""
+        for i, a in zip(first.tolist(), begin.tolist()):
+            if self.synced[i]:
+                self.emitted[i] += self.tokens(a, int(self.head_end[i]))
+            else:
+                self.tail[i] = a
+            self.synced[i], self.head_end[i] = True, a
+
+    def compose(self, left: np.ndarray, right: np.ndarray) -> None:
+        """right := left, then right; all pairs at once."""
+        l_sync, r_sync = self.synced[left], self.synced[right]
+        emitted = np.where(r_sync & ~l_sync, self.emitted[right], self.emitted[left])
+        for k in np.flatnonzero(l_sync & r_sync).tolist():
+            i, j = left[k], right[k]
+            emitted[k] += self.tokens(int(self.tail[i]), int(self.head_end[j])) + self.emitted[j]
+        head_end = np.where(l_sync, self.head_end[left], self.head_end[right])
+        tail = np.where(r_sync, self.tail[right], self.tail[left])
+        self.emitted[right], self.head_end[right], self.tail[right], self.synced[right] = emitted, head_end, tail, l_sync | r_sync
+
+    def scan(self, place: np.ndarray) -> None:
+        """Inclusive prefix scan within texts, by doubling; place: a chunk's number within its text."""
+        step, most = 1, int(place.max(initial=0))
+        while step <= most:
+            right = np.flatnonzero(place >= step)
+            self.compose(right - step, right)
+            step *= 2
 
 
 class Counter:
@@ -305,6 +363,7 @@ class Counter:
         model = spec["model"]
         self.words = WordCounts(MergeMachine(model["vocab"], model["merges"], model["end_of_word_suffix"]))
         self.split = SplitMachine(classes)
+        self.runs = RunCounts(self.split, self.words)
 
     def counts(self, texts: list[str]) -> np.ndarray:
         out = np.zeros(len(texts), np.int64)
@@ -317,23 +376,50 @@ class Counter:
             held.append(i)
             size += len(t)
             if size > FLUSH_CHARS:
-                self._flush(texts, held, out)
+                out[held] = self._flush([texts[k] for k in held])
                 held, size = [], 0
-        self._flush(texts, held, out)
+        if held:
+            out[held] = self._flush([texts[k] for k in held])
         return out
 
-    def _flush(self, texts: list[str], held: list[int], out: np.ndarray) -> None:
-        if not held:
-            return
+    def _flush(self, texts: list[str]) -> np.ndarray:
         norm = self.library.normalizer.normalize_str
-        parts = [(t.lower() if t.isascii() or not UNUSUAL(t) else norm(t)) + "\n" for t in (texts[i] for i in held)]
-        bounds = np.cumsum([0] + [len(p) for p in parts])
+        return self.scanned([(t.lower() if t.isascii() or not UNUSUAL(t) else norm(t)) + "\n" for t in texts])
+
+    def scanned(self, parts: list[str], width: int = 0) -> np.ndarray:
+        """Counts of normalised texts, each of which ends in white space, over chunks of ``width`` code points."""
         text = "".join(parts)
-        begins, ends = self.split.tokens(text)
+        kinds = self.split.kinds(text)
+        size = np.array([len(p) for p in parts])
+        begin = np.cumsum(size) - size
+        width = width or max(64, int(len(kinds) ** 0.5) // 2)
+        chunks = -(-size // width)
+        doc = np.repeat(np.arange(len(parts)), chunks)
+        place = np.arange(len(doc)) - np.repeat(np.cumsum(chunks) - chunks, chunks)
+        lo = begin[doc] + place * width
+        hi = np.minimum(lo + width, (begin + size)[doc])
+        at = lo[:, None] + np.arange(width)
+        inside = at < hi[:, None]
+        lanes = np.where(inside, kinds[np.minimum(at, len(kinds) - 1)], np.uint8(SPACE))
+        blank = (lanes == SPACE) & inside
+        synced = blank.any(1)
+        first = np.where(synced, blank.argmax(1), hi - lo)
+        last = np.where(synced, width - 1 - blank[:, ::-1].argmax(1), -1)
+        starts = self.split.starts(np.ascontiguousarray(lanes.T)).T
+        column = np.arange(width)
+        starts &= (column > first[:, None]) & (column < last[:, None])
+        row, col = np.nonzero((starts | blank) & synced[:, None])
+        is_start = starts[row, col]
+        a = (lo[row] + col)[is_start]
+        b = (lo[row] + col)[np.flatnonzero(is_start) + 1]  # a chunk's last white space follows its last start
         words = self.words
-        got = np.fromiter((words[text[a:b]] for a, b in zip(begins.tolist(), ends.tolist())), np.int64, len(begins))
-        doc = np.searchsorted(bounds, begins, "right") - 1
-        out[held] = np.bincount(doc, got, len(held)).astype(np.int64)
+        got = np.fromiter((words[text[i:j]] for i, j in zip(a.tolist(), b.tolist())), np.int64, len(a))
+        emitted = np.bincount(row[is_start], got, len(lo)).astype(np.int64)
+        maps = ChunkMaps(text, self.runs, synced, lo + first, emitted, lo + last + 1)
+        begins = np.flatnonzero(place == 0)
+        maps.enter(begins, lo[begins])
+        maps.scan(place)
+        return maps.emitted[np.append(begins[1:], len(lo)) - 1]
 
 
 def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -342,7 +428,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 2048, id_col: str
     tokenizer: path of a byte-level BPE file with word ends and PATTERN as its
     splitter. One row out per row in, repeated and null ids included; a null text
     counts as empty; an empty text has 0 tokens. Other columns are ignored, so
-    their names cannot clash. One pass without a shuffle.
+    their names cannot clash. Ids pass through unread. One pass without a shuffle.
     """
     with open(tokenizer, encoding="utf-8") as f:
         spec = json.load(f)
@@ -350,12 +436,13 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 2048, id_col: str
         raise ValueError("the splitting machine is compiled for another pattern")
     packed = packed_classes()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter(tokenizer, np.frombuffer(zlib.decompress(packed), np.uint8))
-        for pdf in batches:
-            texts = [t if isinstance(t, str) else "" for t in pdf["text"]]
+        for b in batches:
+            texts = [t or "" for t in b.column("text").to_pylist()]
             n = counter.counts(texts)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_bytes": [len(t.encode()) for t in texts], "n_tokens": n, "over_limit": n > limit})
+            size = [len(t.encode()) for t in texts]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(size, pa.int64()), pa.array(n), pa.array(n > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInPandas(run, SCHEMA)
+    return rows.mapInArrow(run, SCHEMA)

@@ -42,20 +42,40 @@ def test_random_strings_count_as_in_the_library(word_tokenizer):
     assert counter.counts(many).tolist() == want
 
 
-def test_chunk_maps_compose_to_the_sequential_run():
-    classes = np.frombuffer(zlib.decompress(token_counts.packed_classes()), np.uint8)
-    machine = token_counts.SplitMachine(classes)
+def test_chunk_maps_compose_to_the_count(word_tokenizer):
+    counter = token_counts.Counter(registry.tokenizer("word_bpe_49k.json"), np.frombuffer(zlib.decompress(token_counts.packed_classes()), np.uint8))
+    r = random.Random(2)
+    parts = ["".join(r.choice(["'s", "'r", "e", "l", "'l", "'", "x", "9", "!", "ing"] + [" "] * k) for _ in range(n)) + "\n" for n, k in ((3000, 1), (400, 0), (900, 3), (0, 1), (1, 1), (7000, 2))]
+    want = [len(e.ids) for e in word_tokenizer.encode_batch(parts, add_special_tokens=False)]
+    for width in (1, 2, 3, 7, 64, 10000):
+        assert counter.scanned(parts, width).tolist() == want
+
+
+def test_cuts_are_those_of_the_pattern():
     import regex
 
-    r = random.Random(2)
-    text = "".join(r.choice(["'s", "'r", "e", "l", "'l", "x", "9", "!", " ", "'"]) for _ in range(20000)) + " "
-    a, b = machine.tokens(text)
-    assert list(zip(a.tolist(), b.tolist())) == [m.span() for m in regex.finditer(token_counts.PATTERN, text)]
+    machine = token_counts.SplitMachine(np.frombuffer(zlib.decompress(token_counts.packed_classes()), np.uint8))
+    r = random.Random(3)
+    for _ in range(300):
+        run = "".join(r.choice(["'s", "'r", "e", "l", "'l", "x", "9", "!", "'"]) for _ in range(r.randint(1, 30)))
+        assert machine.cut(run) == [m.start() for m in regex.finditer(token_counts.PATTERN, run)]
+
+
+@pytest.mark.parametrize("big", [2**60 + 1, 2**62 - 5])
+def test_large_ids_beside_a_null_stay_whole(spark, big):
+    text = data.prose(30, 3)
+    df = spark.createDataFrame([(big, text), (None, text), (big + 2, "x " + text), (3, None)], "doc_id long, text string").coalesce(1)
+    ids = [big, big + 2, 3, None]
+    key = lambda d: (d is None, d or 0)
+    got = token_counts.count_tokens(df, registry.tokenizer("word_bpe_49k.json")).collect()
+    assert sorted((r.doc_id for r in got), key=key) == sorted(ids, key=key)
+    got = packing.pack(df, registry.tokenizer("byte_bpe_50k.json")).collect()
+    assert sorted((r.doc_id for r in got), key=key) == sorted(ids, key=key)
 
 
 def test_packing_round_trip(spark, byte_tokenizer):
     df = data.docs(spark)
-    out = packing.pack(df, registry.tokenizer("byte_bpe_50k.json"), 256, 2, groups=16, keep_ids=True).collect()
+    out = packing.pack(df, registry.tokenizer("byte_bpe_50k.json"), 256, 2, keep_ids=True).collect()
     want = sorted((-1 if d is None else d, [*byte_tokenizer.encode(t or "", add_special_tokens=False).ids, 2]) for d, t in ((r[0], r[1]) for r in data.rows()))
     bins = {}
     for r in out:
@@ -106,6 +126,34 @@ def test_plans_are_whole_and_near_the_bound():
         assert sum(k for _, k in plan) <= best_fit_decreasing(counts, 1024) * 1.01 + 1
 
 
+def filled_alone(counts):
+    return sum(n for _, n in packing.rounded([], counts, 1024)[0])
+
+
+@pytest.mark.parametrize("draw", [lambda r: r.exponential(300, 20000), lambda r: r.lognormal(5.2, 0.9, 20000), lambda r: r.integers(1, 700, 20000)])
+def test_sequences_come_from_the_program(draw):
+    counts = np.bincount(np.clip(draw(np.random.default_rng(4)).astype(int) + 1, 1, 1023), minlength=1025)
+    least = -(-int((counts * np.arange(1025)).sum()) // 1024)
+    lp = packing.configuration_lp(counts, 1024)
+    cover = np.zeros(1025)
+    for config, amount in lp:
+        assert sum(k * n for k, n in config.items()) <= 1024
+        for k, n in config.items():
+            cover[k] += n * amount
+    assert np.allclose(cover, counts, rtol=1e-6)
+    assert sum(a for _, a in lp) <= least * 1.001
+    plan, whole = packing.rounded(lp, counts, 1024)
+    total = sum(n for _, n in plan)
+    assert whole > 0.8 * total and total <= min(filled_alone(counts), least * 1.001 + 1)
+
+
+def test_prices_learn_where_volume_does_not_decide():
+    r = np.random.default_rng(5)
+    for lengths in (r.integers(1, 1000, 20000), np.where(r.random(20000) < 0.4, r.integers(560, 720, 20000), r.integers(180, 400, 20000))):
+        counts = np.bincount(lengths, minlength=1025)
+        assert sum(n for _, n in packing.plan_sequences(counts, 1024)) <= filled_alone(counts)
+
+
 def test_schedule_deviates_by_less_than_a_block():
     for weights in ({"a": 0.5, "b": 0.3, "c": 0.2}, {f"s{k}": 0.04 for k in range(19)} | {"big": 0.2}, {"a": 0.01}):
         shares = mixing.whole_shares(weights, 100)

@@ -3,14 +3,17 @@
 Lengths fall into at most ``capacity`` classes, so the histogram is all that the
 driver needs, whatever the number of documents:
 
-1. lengths are grouped linearly (groups of about equal counts, each rounded up to
-   its longest); a configuration is a multiset of groups that fits a sequence;
-2. the covering LP (fewest configurations that cover every group) is solved by
-   multiplicative weights: a knapsack dynamic program prices the best configuration
-   under the current weights, it is taken up to its bottleneck, and the weights of
-   the groups that it covers shrink;
-3. the configurations are rounded down, given real lengths, and the slack and what
-   is left over are filled by the subset of remaining lengths that fits best.
+1. a configuration is a multiset of lengths that fits a sequence; the covering LP
+   asks for the fewest configurations that hold all pieces of all lengths. It is
+   solved by multiplicative weights: a knapsack dynamic program prices the best
+   configuration under the current weights, the configuration is taken up to its
+   bottleneck, and the weights of the lengths that it covers shrink. The weights
+   start at the volume prices (a length's share of the capacity), which are an
+   optimal dual wherever sequences can be filled, and they change so little that a
+   fuller configuration always wins;
+2. the amounts are rounded down;
+3. the pieces that this leaves are less than one sequence for each configuration of
+   the LP; they are packed by the same knapsack, a whole number of sequences a time.
 
 The plan is a list of (lengths, how many sequences). Its size depends on the number
 of length classes. Every piece then finds its sequence from its rank among the
@@ -20,13 +23,13 @@ pieces of its length, by binary search: no piece is gathered anywhere.
 from __future__ import annotations
 
 import json
-import math
 import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,69 +45,90 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 # ---- planning on the histogram ------------------------------------------------
 
 
-def grouped(counts: np.ndarray, groups: int) -> list[tuple[int, int, int]]:
-    """Linear grouping: (shortest, longest, how many) of runs of lengths with about equal counts."""
-    present = np.flatnonzero(counts)
-    if not len(present):
-        return []
-    share = max(1.0, counts.sum() / groups)
-    out, lo, held = [], int(present[0]), 0
-    for i, length in enumerate(present.tolist()):
-        held += int(counts[length])
-        if held >= share or i == len(present) - 1:
-            out.append((lo, length, held))
-            held = 0
-            if i + 1 < len(present):
-                lo = int(present[i + 1])
+def best_configuration(lengths: np.ndarray, worth: np.ndarray, capacity: int) -> dict[int, int]:
+    """Knapsack by dynamic programming over the capacity, any number of copies: {place in ``lengths``: copies}."""
+    value = np.zeros(capacity + 1)
+    took = np.full(capacity + 1, -1)
+    upto = np.searchsorted(lengths, np.arange(capacity + 1), "right")
+    for c in range(int(lengths[0]), capacity + 1):
+        k = upto[c]
+        got = value[c - lengths[:k]] + worth[:k]
+        best = int(got.argmax())
+        if got[best] > value[c - 1]:
+            value[c], took[c] = got[best], best
+        else:
+            value[c] = value[c - 1]
+    out: dict[int, int] = {}
+    c = capacity
+    while c > 0:
+        k = int(took[c])
+        if k < 0:
+            c -= 1
+        else:
+            out[k] = out.get(k, 0) + 1
+            c -= int(lengths[k])
     return out
 
 
-def best_configuration(sizes: list[int], worth: np.ndarray, most: list[int], capacity: int) -> tuple[float, list[int]]:
-    """Knapsack by dynamic programming over the capacity; copies are taken in powers of two."""
-    value = np.zeros(capacity + 1)
-    took = []
-    for g, s in enumerate(sizes):
-        k, left = 1, min(most[g], capacity // s)
-        while left > 0:
-            k = min(k, left)
-            w = s * k
-            better = value[: capacity + 1 - w] + k * worth[g]
-            won = better > value[w:] + 1e-15
-            took.append((g, k, w, won))
-            value = np.concatenate([value[:w], np.where(won, better, value[w:])])
-            left -= k
-            k *= 2
-    out, c = [0] * len(sizes), capacity
-    for g, k, w, won in reversed(took):
-        if c >= w and won[c - w]:
-            out[g] += k
-            c -= w
-    return float(value[capacity]), out
-
-
-def configuration_lp(groups: list[tuple[int, int, int]], capacity: int, epsilon: float = 0.2, rounds: int = 3000) -> dict[tuple, float]:
-    """Fractional cover of all groups by configurations, by multiplicative weights."""
-    sizes = [g[1] for g in groups]
-    need = np.array([g[2] for g in groups], float)
-    weight, cover = 1.0 / need, np.zeros(len(groups))
-    goal = math.log(len(groups) + 1) / epsilon
-    most = [int(n) for n in need]
-    x: dict[tuple, float] = {}
-    for _ in range(rounds):
-        live = cover < goal
-        if not live.any():
+def exact_cover(counts: np.ndarray, capacity: int, price: np.ndarray, epsilon: float, longest: bool) -> list[tuple[dict[int, int], float]]:
+    """One pass: the best configuration under the weights, up to its bottleneck, until every length is covered.
+
+    longest: the longest length left, which is the hardest to place, weighs most; each
+    configuration then holds it.
+    """
+    lengths = np.flatnonzero(counts)
+    need = counts[lengths].astype(float)
+    left = need.copy()
+    # among equal prices long pieces go first: short ones fill gaps later on
+    worth = price[lengths] * (1 + epsilon * lengths / capacity)
+    out = []
+    while len(lengths):
+        if longest:
+            rest = capacity - int(lengths[-1])
+            found = best_configuration(lengths, worth, rest) if rest >= lengths[0] else {}
+            found[len(lengths) - 1] = found.get(len(lengths) - 1, 0) + 1
+        else:
+            found = best_configuration(lengths, worth, capacity)
+        at = np.fromiter(found, np.int64, len(found))
+        copies = np.fromiter(found.values(), float, len(found))
+        step = float((left[at] / copies).min())
+        out.append(({int(lengths[k]): n for k, n in found.items()}, step))
+        left[at] -= step * copies
+        worth[at] *= np.exp(-epsilon * step * copies / need[at])
+        stays = left > 1e-7 * need
+        lengths, need, left, worth = lengths[stays], need[stays], left[stays], worth[stays]
+    return out
+
+
+def configuration_lp(counts: np.ndarray, capacity: int, epsilon: float = 2e-5, near: float = 5e-4, passes: int = 5) -> list[tuple[dict[int, int], float]]:
+    """[({length: copies}, amount)]: amounts that cover every length exactly, by multiplicative weights.
+
+    A pass covers every length once. Where it ends more than ``near`` over the volume
+    bound, another follows, which no longer puts the longest first, and then the prices of lengths that were held in sequences with room left grow by
+    that room's share from pass to pass; the best of ``passes`` counts.
+    """
+    if not counts.any():
+        return []
+    price = np.arange(len(counts)) / capacity
+    least = float(counts @ price)
+    best: list = []
+    value = float("inf")
+    for k in range(passes):
+        got = exact_cover(counts, capacity, price, epsilon, k == 0)
+        total = sum(x for _, x in got)
+        if total < value:
+            best, value = got, total
+        if value <= least * (1 + near):
             break
-        _, a = best_configuration(sizes, np.where(live, weight, 0.0), most, capacity)
-        a = np.array(a)
-        use = a > 0
-        step = float((need[use] / a[use]).min())
-        cover[use] += step * a[use] / need[use]
-        weight[use] *= np.exp(-epsilon * step * a[use] / need[use])
-        weight /= weight.max()
-        key = tuple(a.tolist())
-        x[key] = x.get(key, 0.0) + step
-    low = cover.min()
-    return {k: v / low for k, v in x.items()} if low > 0 else {}
+        if k == 0:
+            continue
+        room = np.zeros(len(counts))
+        for config, x in got:
+            held = sum(k * n for k, n in config.items())
+            for k, n in config.items():
+                room[k] += x * n * (capacity - held) / held
+        price = price * (1 + room / np.maximum(counts, 1))
+    return best
 
 
 def best_fill(room: int, counts: np.ndarray, lengths: list[int]) -> list[int]:
@@ -132,49 +156,18 @@ def best_fill(room: int, counts: np.ndarray, lengths: list[int]) -> list[int]:
     return out
 
 
-def rounded(x: dict[tuple, float], groups: list[tuple[int, int, int]], counts: np.ndarray, capacity: int, share: float) -> list[tuple[list[int], int]]:
-    """Whole sequences from a fractional cover: share * x rounded down, then best fills.
-
-    A configuration gives each of its sequences the groups to draw from; the real
-    lengths are the longest left in them, but for the shortest one, whose place goes
-    to the remaining lengths that fill the room best.
-    """
+def rounded(lp: list[tuple[dict[int, int], float]], counts: np.ndarray, capacity: int) -> tuple[list[tuple[list[int], int]], int]:
+    """Whole sequences from a fractional cover, rounded down, then of what is left; and how many are from the cover."""
     left = counts.copy()
-    lengths = [int(n) for n in np.flatnonzero(left)[::-1]]
     out: list[tuple[list[int], int]] = []
-
-    def fill(base: list[int], n: int) -> None:
-        nonlocal lengths
-        room = capacity - sum(base)
-        while n > 0:
-            lengths = [k for k in lengths if left[k]]
-            add = best_fill(room, left, lengths) if lengths and room >= lengths[-1] else []
-            times = min([n, *(int(left[k]) // add.count(k) for k in set(add))])
-            for k in add:
-                left[k] -= times
-            out.append((base + add, times))
-            n -= times
-
-    for config, amount in sorted(x.items(), key=lambda kv: -kv[1]):
-        todo = int(amount * share)
-        drawn = [g for g, a in enumerate(config) for _ in range(a)][::-1]
-        drawn = drawn[:-1] or drawn
-        while todo > 0:
-            base: list[int] = []
-            for g in drawn:
-                lo, hi, _ = groups[g]
-                while hi >= lo and left[hi] <= base.count(hi):
-                    hi -= 1
-                if hi >= lo:
-                    base.append(hi)
-            if not base:
-                break
-            times = min([todo, *(int(left[k]) // base.count(k) for k in set(base))])
-            for k in base:
-                left[k] -= times
-            fill(base, times)
-            todo -= times
-    lengths = [k for k in lengths if left[k]]
+    for config, amount in lp:
+        times = min([int(amount + 1e-6), *(int(left[k]) // n for k, n in config.items())])
+        if times:
+            out.append(([k for k, n in config.items() for _ in range(n)], times))
+            for k, n in config.items():
+                left[k] -= times * n
+    whole = sum(n for _, n in out)
+    lengths = [int(k) for k in np.flatnonzero(left)[::-1]]
     while lengths:
         top = lengths[0]
         left[top] -= 1
@@ -185,28 +178,16 @@ def rounded(x: dict[tuple, float], groups: list[tuple[int, int, int]], counts: n
             left[k] -= times
         out.append((base, times))
         lengths = [k for k in lengths if left[k]]
-    return out
+    return out, whole
 
 
-def plan_sequences(counts: np.ndarray, capacity: int, groups: int = 128) -> list[tuple[list[int], int]]:
+def plan_sequences(counts: np.ndarray, capacity: int) -> list[tuple[list[int], int]]:
     """(lengths, number of sequences) that hold ``counts[length]`` pieces of each length exactly."""
     counts = counts.astype(np.int64).copy()
     full = int(counts[capacity])
     counts[capacity] = 0
     plan = [([capacity], full)] if full else []
-    if not counts.any():
-        return plan
-    classes = grouped(counts, groups)
-    x = configuration_lp(classes, capacity)
-    least = -(-int((counts * np.arange(len(counts))).sum()) // capacity)
-    best = None
-    for share in (1.0, 0.5, 0.25, 0.1):
-        got = rounded(x, classes, counts, capacity, share)
-        if best is None or sum(n for _, n in got) < sum(n for _, n in best):
-            best = got
-        if sum(n for _, n in best) <= least * 1.0005:
-            break
-    return plan + best
+    return plan + rounded(configuration_lp(counts, capacity), counts, capacity)[0]
 
 
 # ---- Spark ---------------------------------------------------------------------
@@ -246,29 +227,27 @@ class PieceEncoder:
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, keep_ids: bool = False) -> DataFrame:
     schema = PIECES + (", ids binary" if keep_ids else "")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = PieceEncoder(tokenizer)
-        for pdf in batches:
+        to = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary())][: 5 + keep_ids])
+        for b in batches:
             rows = []
-            for doc, text in zip(pdf["doc_id"], pdf["text"]):
-                ids = np.append(encoder.ids(text if isinstance(text, str) else ""), end_id).astype("<u4").tobytes()
+            for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
+                ids = np.append(encoder.ids(text or ""), end_id).astype("<u4").tobytes()
                 n = len(ids) // 4
                 first = n if n <= capacity else (n % capacity or capacity)
                 cuts = [0, *range(first, n + 1, capacity)]
-                doc = None if pd.isna(doc) else int(doc)
-                for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
-                    part = ids[4 * a : 4 * b]
-                    rows.append((doc, k, a, b - a, zlib.crc32(part)) + ((part,) if keep_ids else ()))
-            names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * keep_ids
-            out = pd.DataFrame(rows, columns=names)
-            out["doc_id"] = out["doc_id"].astype("Int64")
-            yield out
+                for k, (lo, hi) in enumerate(zip(cuts, cuts[1:])):
+                    part = ids[4 * lo : 4 * hi]
+                    rows.append((doc, k, lo, hi - lo, zlib.crc32(part)) + ((part,) if keep_ids else ()))
+            columns = list(zip(*rows)) or [()] * len(to)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, to)], schema=to)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInPandas(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2, groups: int = 128, keep_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2, keep_ids: bool = False) -> DataFrame:
     """Packs every document into as few sequences of at most ``capacity`` tokens as the plan finds.
 
     docs: doc_id, text (null text: empty; null and repeated ids stay rows of their
@@ -276,7 +255,9 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2,
     longer ones are cut, into full pieces after a first that may be shorter. Returns
     doc_id, piece, start, length, ids_crc32, sequence_id, offset (gapless from 0 in
     each sequence), and with keep_ids the ids as little-endian bytes. An empty table
-    gives an empty one. Sent to the driver: one row per length.
+    gives an empty one; very long texts are cut like others. Ids are never read as
+    numbers. Pieces of equal length are told apart by rank; ties in it are repeated
+    rows. Sent to the driver: one row per length.
     """
     ws = Workspace(docs.sparkSession, "pack")
     pieces = ws.save(token_pieces(docs, tokenizer, capacity, end_id, keep_ids), "pieces")
@@ -287,7 +268,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2,
     slots: dict[int, list[tuple[int, int, int]]] = {}
     used = np.zeros(capacity + 1, np.int64)
     sequence = 0
-    for lengths, n in plan_sequences(counts, capacity, groups):
+    for lengths, n in plan_sequences(counts, capacity):
         offset = 0
         for length in lengths:
             slots.setdefault(length, []).append((int(used[length]), sequence, offset))

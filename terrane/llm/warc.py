@@ -5,7 +5,7 @@
 as a gzip member of its own and writes a sidecar of offsets. ``read_by_offset`` then
 opens single members. Files go through pyarrow's file systems, into the shared folder;
 each is written under a name of the attempt and moved, so a retried task leaves whole
-files only. Memory holds one record at a time.
+files only. Memory holds one record and one block of inflated bytes at a time.
 """
 
 from __future__ import annotations
@@ -15,9 +15,10 @@ import json
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 from urllib.parse import quote
 
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +27,8 @@ from .common import Workspace
 
 #: Raw bytes after which a writer starts the next archive.
 ROLL_BYTES = 512 << 20
+#: Index rows that a task holds at a time.
+ROWS = 20_000
 DATE = "2024-01-01T00:00:00Z"
 INDEX = "archive string, record long, offset long, length long, record_id string, record_type string, page_id long"
 
@@ -60,14 +63,22 @@ def heads(raw: bytes) -> dict[str, str]:
 
 
 def inflate(stream, chunk: int = 1 << 20) -> Iterator[bytes]:
-    """The bytes of a gzip file of one or many members."""
-    z = zlib.decompressobj(31)
+    """The bytes of a gzip file of one or many members, in blocks of ``chunk`` at most; a cut-off member is an error."""
+    z, fresh = zlib.decompressobj(31), True
     while data := stream.read(chunk):
         while data:
-            yield z.decompress(data)
-            data = z.unused_data
+            yield z.decompress(data, chunk)
+            fresh = z.eof
             if z.eof:
+                data = z.unused_data
                 z = zlib.decompressobj(31)
+            else:
+                data = z.unconsumed_tail
+    if not fresh:
+        while more := z.decompress(z.unconsumed_tail, chunk):
+            yield more
+        if not z.eof:
+            raise ValueError("the stream ends within a gzip member")
 
 
 def records(parts: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes, bytes]]:
@@ -116,10 +127,14 @@ class Output:
         self.stream = self.fs.open_output_stream(self.own, compression=None)
 
     def close(self) -> None:
+        """Attempts write the same bytes: where another one's file is in place already, it stays."""
         self.stream.close()
-        if type(self.fs).__name__ != "LocalFileSystem" and self.fs.get_file_info(self.path).is_file:
-            self.fs.delete_file(self.path)
-        self.fs.move(self.own, self.path)
+        try:
+            self.fs.move(self.own, self.path)
+        except OSError:
+            if not self.fs.get_file_info(self.path).is_file:
+                raise
+            self.fs.delete_file(self.own)
 
 
 def opened(uri: str, random: bool = False):
@@ -129,22 +144,28 @@ def opened(uri: str, random: bool = False):
     return f.open_input_file(path) if random else f.open_input_stream(path, compression=None)
 
 
-def number(x) -> int | None:
-    return None if x is None or x == "" or pd.isna(x) else int(x)
+def number(x: str | None) -> int | None:
+    return int(x) if x else None
+
+
+def table(form: list[tuple[str, pa.DataType]], rows: list[tuple]) -> pa.RecordBatch:
+    """Rows as a batch; whole numbers stay whole beside nulls."""
+    columns = list(zip(*rows)) or [()] * len(form)
+    return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, (_, kind) in zip(columns, form)], [name for name, _ in form])
 
 
 def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     """pages: page_id, url, payload, digest, refers_to. One row per archive: path, n."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, made, done = TaskContext.get().partitionId(), [], 0
         out = z = None
         size = n = 0
-        for pdf in batches:
-            for page, url, payload, digest, ref in pdf[["page_id", "url", "payload", "digest", "refers_to"]].itertuples(index=False):
+        for b in batches:
+            for page, url, payload, digest, ref in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "payload", "digest", "refers_to"))):
                 if out is None:
                     out, z = Output(f"{folder}/raw-{part:06d}-{done:04d}.warc.gz"), zlib.compressobj(6, zlib.DEFLATED, 31)
-                raw = record(number(page), url, payload.encode(), digest, number(ref))
+                raw = record(page, url, payload.encode(), digest, ref)
                 out.stream.write(z.compress(raw))
                 size, n = size + len(raw), n + 1
                 if size > ROLL_BYTES:
@@ -156,18 +177,18 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
             out.stream.write(z.flush())
             out.close()
             made.append((out.uri, n))
-        yield pd.DataFrame(made, columns=["path", "n"]).astype({"n": "int64", "path": "object"})
+        yield table([("path", pa.string()), ("n", pa.int64())], made)
 
-    return pages.mapInPandas(run, "path string, n long")
+    return pages.mapInArrow(run, "path string, n long")
 
 
 def normalise(archives: DataFrame, folder: str) -> DataFrame:
-    """A member per record and a sidecar ``.idx`` (a JSON object a line) for each archive in ``path``; the index rows."""
+    """A member per record and a sidecar ``.idx`` (a JSON object a line) for each archive in ``path`` of ``n`` records; the index rows."""
 
-    def one(uri: str) -> Iterator[tuple]:
+    def one(uri: str, n: int) -> Iterator[tuple]:
         name = uri.rpartition("/")[2].removeprefix("raw-").removesuffix(".warc.gz")
         out, side = Output(f"{folder}/{name}.warc.gz"), Output(f"{folder}/{name}.warc.gz.idx")
-        offset = 0
+        offset, k = 0, -1
         with opened(uri) as stream:
             for k, (head, _, raw) in enumerate(records(inflate(stream))):
                 z = zlib.compressobj(6, zlib.DEFLATED, 31)
@@ -177,24 +198,24 @@ def normalise(archives: DataFrame, folder: str) -> DataFrame:
                 side.stream.write((json.dumps(dict(zip(("record", "offset", "length", "id", "type"), row[1:6]))) + "\n").encode())
                 offset += len(member)
                 yield row
+        if k + 1 != n:
+            raise ValueError(f"{uri} holds {k + 1} records, not {n}")
         out.close()
         side.close()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split(" ")[0] for c in INDEX.split(", ")]
-        for pdf in batches:
-            for uri in pdf["path"]:
-                out = pd.DataFrame(list(one(uri)), columns=names)
-                out["page_id"] = out["page_id"].astype("Int64")
-                yield out
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        form = [(c.split(" ")[0], {"long": pa.int64(), "string": pa.string()}[c.split(" ")[1]]) for c in INDEX.split(", ")]
+        for b in batches:
+            for uri, n in zip(b.column("path").to_pylist(), b.column("n").to_pylist()):
+                rows = one(uri, n)
+                while part := list(islice(rows, ROWS)):
+                    yield table(form, part)
 
-    return archives.mapInPandas(run, INDEX)
+    return archives.mapInArrow(run, INDEX)
 
 
 def read_by_offset(archives: DataFrame) -> DataFrame:
     """Every record of the normalised archives in ``archive``, each from its own member by the sidecar."""
-    names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
-
     def one(uri: str) -> Iterator[tuple]:
         with opened(f"{uri}.idx") as side:
             entries = [json.loads(line) for line in side.read().splitlines()]
@@ -212,15 +233,15 @@ def read_by_offset(archives: DataFrame) -> DataFrame:
                         raise ValueError(f"record {e['record']} of {uri} does not match its digest")
                 yield number(head.get("warc-page-id")), size, digest, head["warc-type"], number(head.get("warc-refers-to-page-id"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for uri in pdf["archive"]:
-                out = pd.DataFrame(list(one(uri)), columns=names)
-                for c in ("page_id", "refers_to"):
-                    out[c] = out[c].astype("Int64")
-                yield out
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        form = [("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())]
+        for b in batches:
+            for uri in b.column("archive").to_pylist():
+                rows = one(uri)
+                while part := list(islice(rows, ROWS)):
+                    yield table(form, part)
 
-    return archives.mapInPandas(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return archives.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def archive_round_trip(pages: DataFrame, least: int = 100) -> DataFrame:
@@ -230,7 +251,7 @@ def archive_round_trip(pages: DataFrame, least: int = 100) -> DataFrame:
     the response and others are revisits of it; rows that repeat that page_id are
     responses too. A null html is an empty payload; pages without an id are responses,
     as nothing can tell them apart. Other columns are ignored; an empty table gives
-    an empty one. Groups of copies are compared by digest on narrow rows only.
+    an empty one; ids are never rounded. Groups of copies are compared by digest on narrow rows only.
     """
     spark = pages.sparkSession
     ws = Workspace(spark, "warc")
@@ -238,6 +259,8 @@ def archive_round_trip(pages: DataFrame, least: int = 100) -> DataFrame:
     rows = rows.withColumn("digest", F.sha2(F.col("payload").cast("binary"), 256))
     narrow = rows.where((F.octet_length("payload") >= least) & F.col("page_id").isNotNull()).select("page_id", "digest")
     first = narrow.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("last")).where("last > refers_to").select("digest", "refers_to")
+    # a table of its own, so that the copies of one page, however many, can be dealt to several tasks
+    first = ws.save(first, "first")
     revisits = narrow.join(first, "digest").where("page_id > refers_to").distinct()
     archives = ws.save(write_archives(rows.join(revisits, ["page_id", "digest"], "left"), f"{ws.root}/raw"), "archives")
     n = max(1, archives.count())

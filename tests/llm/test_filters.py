@@ -149,6 +149,26 @@ def test_warc_round_trip(spark):
     assert warc.archive_round_trip(df.limit(0)).count() == 0
 
 
+def test_large_page_ids_come_back(spark):
+    html = "<html>" + "q" * 200
+    big = 2**62 - 7
+    df = spark.createDataFrame([(big, "u", html), (None, "u", html), (big + 2, "u", html), (big + 1, "u", "x")], "page_id long, url string, html string").coalesce(1)
+    got = {(r.page_id, r.record_type, r.refers_to) for r in warc.archive_round_trip(df).collect()}
+    assert got == {(big, "response", None), (None, "response", None), (big + 2, "revisit", big), (big + 1, "response", None)}
+
+
+def test_cut_streams_are_refused_and_blocks_are_bounded():
+    import gzip
+    import io
+
+    raw = b"\0" * 3_000_000
+    packed = gzip.compress(raw)
+    parts = list(warc.inflate(io.BytesIO(packed + packed), 1 << 12))
+    assert b"".join(parts) == raw + raw and max(map(len, parts)) <= 1 << 12
+    with pytest.raises(ValueError):
+        list(warc.inflate(io.BytesIO(packed[:-20])))
+
+
 def test_members_open_alone(tmp_path):
     import gzip
     import io

@@ -1,18 +1,22 @@
 """Near-duplicate documents by HyperMinHash.
 
-A document's set of word shingles is hashed to 64 bits. Every register has a hash
-function of its own and keeps, of the least hash, the count of leading zeros and ten
-mantissa bits: two bytes. Bands of registers are the keys of candidate buckets; a
-candidate pair's Jaccard index is estimated from equal registers, corrected for the
-registers that collide by chance, and what may reach the threshold is confirmed on
-the full sets.
+A document's set of word shingles is hashed once to 64 bits. The top of a hash picks
+one of k buckets; what follows is compressed to a register: of the least one in the
+bucket, the count of leading zeros and ten mantissa bits, two bytes. Empty registers
+borrow from the first filled bucket in a random order of their own, which keeps the
+chance that two sets agree in a register at their Jaccard index, whatever their
+sizes. Bands of registers are the keys of candidate buckets. A candidate pair's
+Jaccard index is estimated from the registers that are equal and not borrowed,
+corrected for those that collide by chance, and what may reach the threshold is
+confirmed on the full sets.
 
 Buckets are never expanded into pairs. Equal sets are one node from the start. In a
 first round each bucket's members are compared with its smallest one; what this links
 becomes a component. In a second round only buckets with several components count,
 and there the members outside the largest component are compared with all that meet
-the same component, in blocks of bounded size. So each candidate pair is compared unless its two
-ends are known to be connected, and components lose no link between candidates.
+the same component, in blocks of bounded size. So each candidate pair is compared
+unless its two ends are known to be connected, and components lose no link between
+candidates.
 """
 
 from __future__ import annotations
@@ -23,19 +27,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Workspace, connected_components
 
 MEMO_WORDS = 400_000
-#: Shingles hashed at a time: what fits a core's cache.
-CACHE = 1 << 15
 #: Members of a bucket that are compared with one block of others at a time.
 BLOCK = 512
 MANTISSA = 10
-SIGNATURE = "doc_id long, n_shingles long, digest binary, bands array<long>"
+SIGNATURE = "doc_id long, text_key long, n_shingles long, digest binary, bands array<long>"
 SETS = "doc_id long, digest binary, hashes binary, registers binary"
+TO_SIGNATURE = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64()))])
+TO_SETS = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary()), ("hashes", pa.binary()), ("registers", pa.binary())])
 
 
 def bands_for(threshold: float, rows: int, miss: float) -> int:
@@ -67,9 +72,10 @@ class Signer:
         self.width, self.rows, self.bands = width, rows, bands
         self.words = WordHashes()
         self.factors = rng.integers(1, 2**63, width, np.uint64) * np.uint64(2) + np.uint64(1)
-        k = rows * bands
-        self.xors = rng.integers(0, 2**63, k, np.uint64) * np.uint64(2) + np.uint64(1)
-        self.odds = rng.integers(1, 2**63, k, np.uint64) * np.uint64(2) + np.uint64(1)
+        k = self.k = rows * bands
+        # where the k buckets begin, and the order in which an empty one asks the others
+        self.floors = np.array([-(-(b << 64) // k) for b in range(k)], np.uint64)
+        self.order = np.argsort(rng.random((k, k)), 1).argsort(1)
 
     def shingles(self, text: str | None) -> np.ndarray:
         """Sorted distinct hashes of the word shingles; A-Z count as a-z, words end at ASCII white space."""
@@ -91,27 +97,26 @@ class Signer:
             acc = acc + ((part << np.uint64(k)) | (part >> np.uint64(64 - k))) * self.factors[k]
         return np.unique(mix64(acc))
 
-    def registers(self, sets: list[np.ndarray]) -> np.ndarray:
-        """One row of registers for each of the sets, none of which is empty."""
-        out = np.empty((len(sets), len(self.odds)), np.uint16)
-        lo = 0
-        while lo < len(sets):
-            hi, size = lo, 0
-            while hi < len(sets) and (hi == lo or size + len(sets[hi]) <= CACHE):
-                size += len(sets[hi])
-                hi += 1
-            values = np.concatenate(sets[lo:hi])
-            at = np.cumsum([0] + [len(s) for s in sets[lo : hi - 1]])
-            least = np.empty((len(self.odds), hi - lo), np.uint64)
-            for k, (x, a) in enumerate(zip(self.xors, self.odds)):
-                least[k] = np.minimum.reduceat((values ^ x) * a, at)
-            fraction, exponent = np.frexp(((least >> np.uint64(11)) | np.uint64(1)).astype(np.float64))
-            zeros = 53 - exponent
-            mantissa = ((2 * fraction - 1) * (1 << MANTISSA)).astype(np.int64)
-            out[lo:hi] = ((zeros << MANTISSA) | mantissa).T.astype(np.uint16)
-            lo = hi
+    def registers(self, values: np.ndarray) -> np.ndarray:
+        """The register of each bucket, of sorted hashes; 0 where it is empty."""
+        at = np.searchsorted(values, self.floors)
+        filled = np.flatnonzero(at < np.append(at[1:], len(values)))
+        # a hash is bucket / k and a rest: the rest, as a fraction of 2**64
+        rest = values[at[filled]] * np.uint64(self.k)
+        fraction, exponent = np.frexp(((rest >> np.uint64(11)) | np.uint64(1)).astype(np.float64))
+        mantissa = ((2 * fraction - 1) * (1 << MANTISSA)).astype(np.int64)
+        out = np.zeros(self.k, np.uint16)
+        out[filled] = 1 + ((53 - exponent) << MANTISSA | mantissa)
         return out
 
+    def densified(self, registers: np.ndarray) -> np.ndarray:
+        """Empty registers borrow from the first filled bucket in their order."""
+        filled, empty = np.flatnonzero(registers), np.flatnonzero(registers == 0)
+        if len(empty):
+            registers = registers.copy()
+            registers[empty] = registers[filled[self.order[np.ix_(empty, filled)].argmin(1)]]
+        return registers
+
     def band_keys(self, registers: np.ndarray) -> np.ndarray:
         parts = registers.reshape(len(registers), self.bands, self.rows).astype(np.uint64)
         acc = np.broadcast_to(np.arange(1, self.bands + 1, dtype=np.uint64), parts.shape[:2]).copy()
@@ -120,18 +125,28 @@ class Signer:
         return acc.view(np.int64)
 
 
-def chance(n: int, m: int) -> float:
-    """Probability that a register of two sets of n and m elements without common ones is equal."""
+def chance(n: int, m: int, k: int) -> float:
+    """Probability that a bucket of k holds equal registers of two sets of n and m elements without common ones."""
     levels = np.arange(0, 54)
     top, low = 2.0**-levels, 2.0 ** -(levels + 1)
-    # the least of n hashes lies in [low, top) with this probability, evenly over the mantissas but for its slope
-    share = lambda k: (1 - low) ** k - (1 - top) ** k
+    # the least hash of a bucket lies in [low, top) with this probability, evenly over the mantissas but for its slope
+    share = lambda x: np.exp(-x / k * low) - np.exp(-x / k * top)
     return float((share(n) * share(m)).sum() / (1 << MANTISSA))
 
 
-def estimate(equal: np.ndarray | int, k: int, n: int, m: int) -> np.ndarray | float:
-    p = chance(n, m)
-    return (equal / k - p) / (1 - p)
+def estimate(x: np.ndarray, y: np.ndarray, n: int, m: int) -> tuple[np.ndarray, np.ndarray]:
+    """Jaccard index from the registers of one set and, by row, of others, and from how many buckets it is."""
+    equal = ((x == y) & (x > 0)).sum(-1)
+    used = np.maximum(((x > 0) | (y > 0)).sum(-1), 1)
+    p = len(x) * chance(n, m, len(x)) / used
+    return (equal / used - p) / (1 - p), used
+
+
+def may_reach(x: np.ndarray, y: np.ndarray, n: int, m: int, percent: int) -> np.ndarray:
+    """Is the estimate within six deviations of the threshold, or above?"""
+    t = percent / 100
+    got, used = estimate(x, y, n, m)
+    return got >= t - 6 * np.sqrt(t * (1 - t) / used)
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> int:
@@ -159,40 +174,39 @@ class Roots:
         return a != b
 
 
+def digest_of(values: np.ndarray) -> bytes:
+    return hashlib.blake2b(values.tobytes(), digest_size=16).digest()
+
+
 def signatures(docs: DataFrame, signer: Signer) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            sets = [signer.shingles(t) for t in pdf["text"]]
-            full = [i for i, s in enumerate(sets) if len(s)]
-            bands: list = [None] * len(sets)
-            if full:
-                keys = signer.band_keys(signer.registers([sets[i] for i in full]))
-                for i, k in zip(full, keys):
-                    bands[i] = k
-            yield pd.DataFrame({
-                "doc_id": pdf["doc_id"].astype("Int64"),
-                "n_shingles": [len(s) for s in sets],
-                "digest": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets],
-                "bands": bands,
-            })
-
-    return docs.mapInPandas(run, SIGNATURE)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            size, digests, bands = [], [], []
+            for text in b.column("text").to_pylist():
+                s = signer.shingles(text)
+                size.append(len(s))
+                digests.append(digest_of(s) if len(s) else None)
+                bands.append(signer.densified(signer.registers(s)) if len(s) else None)
+            full = [i for i, r in enumerate(bands) if r is not None]
+            for i, keys in zip(full, signer.band_keys(np.stack([bands[i] for i in full])) if full else []):
+                bands[i] = keys
+            columns = [b.column("doc_id"), b.column("text_key"), pa.array(size, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, schema=TO_SIGNATURE)
+
+    return docs.mapInArrow(run, SIGNATURE)
 
 
 def full_sets(docs: DataFrame, signer: Signer) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [(int(d), s) for d, t in zip(pdf["doc_id"], pdf["text"]) if len(s := signer.shingles(t))]
-            regs = signer.registers([s for _, s in rows]) if rows else []
-            yield pd.DataFrame(
-                [(d, hashlib.blake2b(s.tobytes(), digest_size=16).digest(), s.tobytes(), r.tobytes()) for (d, s), r in zip(rows, regs)],
-                columns=["doc_id", "digest", "hashes", "registers"],
-            ).astype({"doc_id": "int64"})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(d, digest_of(s), s.tobytes(), signer.registers(s).tobytes()) for d, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()) if len(s := signer.shingles(t))]
+            columns = list(zip(*rows)) or [()] * len(TO_SETS)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, TO_SETS)], schema=TO_SETS)
 
-    return docs.mapInPandas(run, SETS)
+    return docs.mapInArrow(run, SETS)
 
 
-def linked_pairs(pairs: DataFrame, percent: int, slack: float) -> DataFrame:
+def linked_pairs(pairs: DataFrame, percent: int) -> DataFrame:
     """(a, b) of the rows (a, b, ha, ra, hb, rb) whose sets reach the threshold."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -202,8 +216,7 @@ def linked_pairs(pairs: DataFrame, percent: int, slack: float) -> DataFrame:
                 n, m = len(ha) // 8, len(hb) // 8
                 if 100 * min(n, m) < percent * max(n, m):
                     continue
-                x, y = np.frombuffer(ra, np.uint16), np.frombuffer(rb, np.uint16)
-                if estimate(int((x == y).sum()), len(x), n, m) < percent / 100 - slack:
+                if not may_reach(np.frombuffer(ra, np.uint16), np.frombuffer(rb, np.uint16), n, m, percent):
                     continue
                 common = overlap(np.frombuffer(ha, np.uint64), np.frombuffer(hb, np.uint64))
                 keep[i] = 100 * common >= percent * (n + m - common)
@@ -212,7 +225,7 @@ def linked_pairs(pairs: DataFrame, percent: int, slack: float) -> DataFrame:
     return pairs.mapInPandas(run, "a long, b long")
 
 
-def compare_blocks(rows: DataFrame, percent: int, slack: float) -> DataFrame:
+def compare_blocks(rows: DataFrame, percent: int) -> DataFrame:
     """(a, b) linked across components, for groups of (key, mb, ob): minor rows against other rows."""
 
     def block(g: pd.DataFrame) -> list[tuple[int, int]]:
@@ -234,8 +247,7 @@ def compare_blocks(rows: DataFrame, percent: int, slack: float) -> DataFrame:
         for d, h, r in zip(minor["doc_id"], minor["hashes"], minor["registers"]):
             mine = np.frombuffer(h, np.uint64)
             n = len(mine)
-            equal = (regs == np.frombuffer(r, np.uint16)).sum(1)
-            open_ = (100 * np.minimum(n, sizes) >= percent * np.maximum(n, sizes)) & (estimate(equal, regs.shape[1], n, n) >= percent / 100 - slack)
+            open_ = (100 * np.minimum(n, sizes) >= percent * np.maximum(n, sizes)) & may_reach(np.frombuffer(r, np.uint16), regs, n, n, percent)
             if not open_.any():
                 continue
             common = np.zeros(len(sets), np.int64)
@@ -277,16 +289,21 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, rows: in
     Links sets of ``width``-word shingles with 100 * intersection >= percent * union.
     Texts with fewer words are one shingle; null, empty and blank texts have none and
     link with nothing. component_id is the smallest doc_id reachable, kept marks it.
-    Rows that repeat a doc_id are one node with links of them all; rows with a null
-    id link with nothing, have a null component and are kept. Other columns are
-    ignored. A pair at the threshold is no candidate with probability ``miss``.
+    Rows that repeat a doc_id are one node with the links of them all, so they have one
+    component; rows with a null id link with nothing, have a null component and are
+    kept. Other columns are ignored, whatever their names; an empty table gives an
+    empty one. A pair at the threshold is no candidate with probability ``miss``.
     """
+    return labelled(docs, width, percent, rows, miss).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def labelled(docs: DataFrame, width: int, percent: int, rows: int, miss: float) -> DataFrame:
+    """The rows of ``near_duplicates`` with digest (of the set) and text_key."""
     spark = docs.sparkSession
     ws = Workspace(spark, "neardup")
     signer = Signer(width, rows, bands_for(percent / 100, rows, miss))
-    slack = 6 * math.sqrt(percent / 100 * (1 - percent / 100) / (rows * signer.bands))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sig = ws.save(signatures(texts, signer), "signatures")
+    sig = ws.save(signatures(texts.withColumn("text_key", F.xxhash64("text")), signer), "signatures")
     full = sig.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = ws.save(full.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands")), "classes")
     banded = classes.select("doc_id", F.explode("bands").alias("key"))
@@ -299,7 +316,11 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, rows: in
     sets = ws.save(full_sets(texts.join(needed.hint("merge"), "doc_id", "left_semi"), signer).dropDuplicates(["doc_id", "digest"]), "sets")
     left = sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("ha"), F.col("registers").alias("ra"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("hb"), F.col("registers").alias("rb"))
-    first = ws.save(linked_pairs(pairs.join(left, "a").join(right, "b"), percent, slack).distinct(), "links")
+    # ids that stand for several texts tie the classes of these texts together
+    several = sig.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.xxhash64("digest")).alias("lo"), F.max(F.xxhash64("digest")).alias("hi")).where("lo < hi").select("doc_id")
+    several = ws.save(several, "several")
+    tied = full.join(several, "doc_id").select(F.col("doc_id").alias("a"), "digest").join(classes.select("digest", F.col("doc_id").alias("b")), "digest").where("a <> b").select("a", "b")
+    first = ws.save(linked_pairs(pairs.join(left, "a").join(right, "b"), percent).unionByName(tied).distinct(), "links")
     known = connected_components(ws, first)
 
     placed = member.select("key", "doc_id").distinct().join(known.withColumnRenamed("node", "doc_id"), "doc_id", "left")
@@ -317,18 +338,31 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, rows: in
     blocks = minor.unionByName(other).join(sets.drop("digest"), "doc_id")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = blocks.repartition(parts, "key", "mb", "ob").sortWithinPartitions("key", "mb", "ob")
-    second = ws.save(compare_blocks(dealt, percent, slack), "more-links")
+    second = ws.save(compare_blocks(dealt, percent), "more-links")
     final = known if second.isEmpty() else connected_components(ws, first.unionByName(second))
 
-    of = classes.select("digest", "doc_id").join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("digest", F.coalesce("component", "doc_id").alias("component_id"))
-    out = sig.select("doc_id", "n_shingles", "digest").join(of, "digest", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    of = classes.select("digest", "doc_id").join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("digest", F.coalesce("component", "doc_id").alias("of_text"))
+    out = sig.select("doc_id", "text_key", "n_shingles", "digest").join(of, "digest", "left")
+    if several.isEmpty():
+        component = F.coalesce("of_text", "doc_id")
+    else:
+        of_id = several.join(final.withColumnRenamed("node", "doc_id"), "doc_id").select("doc_id", F.col("component").alias("of_id"))
+        out = out.join(of_id, "doc_id", "left")
+        component = F.coalesce("of_id", F.when(F.col("doc_id").isNotNull(), F.col("of_text")), "doc_id")
+    component = F.when(F.col("doc_id").isNotNull(), component)
+    return out.select("doc_id", "text_key", "n_shingles", "digest", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 def without_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rows: int = 5, miss: float = 1e-5) -> DataFrame:
-    """One row of ``docs`` for each component: that of its smallest doc_id. Rows with a null id stay."""
-    kept = near_duplicates(docs, width, percent, rows, miss).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__id")).distinct()
-    known = docs.where("doc_id IS NOT NULL").withColumn("__id", F.col("doc_id").cast("long"))
-    one = known.join(kept, "__id", "left_semi").dropDuplicates(["__id"]).drop("__id")
-    return one.unionByName(docs.where("doc_id IS NULL"))
+    """The rows of ``docs`` (doc_id, text, others of any name) that stay when one document of each component does.
+
+    That is the one of the smallest doc_id. Where that id stands for several texts, each
+    text with a set of its own stays, and of equal sets the text of the least hash; rows
+    that repeat it are one row, an arbitrary one if their other columns differ. Texts
+    without words link with nothing and stay. Rows with a null id stay as they are. An
+    empty table gives an empty one.
+    """
+    one = labelled(docs, width, percent, rows, miss).where("kept AND doc_id IS NOT NULL").groupBy("doc_id", "digest").agg(F.min("text_key").alias("text_key")).select("doc_id", "text_key").distinct()
+    rows_ = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_key"))
+    known = rows_.where("doc_id IS NOT NULL").join(one, ["doc_id", "text_key"], "left_semi").dropDuplicates(["doc_id", "text_key"])
+    return known.unionByName(rows_.where("doc_id IS NULL")).select("row.*")

@@ -73,13 +73,64 @@ def test_near_duplicates_on_awkward_rows(spark):
     assert sorted(d for d in kept if d is not None) == sorted({d for d, c in brute(rows, 5, 80).items() if d == c}) and kept.count(None) == 2
 
 
+def test_one_hash_fills_a_register():
+    s = near_dup.Signer(3, 5, 24)
+    values = np.sort(np.random.default_rng(1).integers(0, 2**64, 500, np.uint64))
+    regs = s.registers(values)
+    for b in range(s.k):
+        own = [int(v) for v in values if int(v) * s.k >> 64 == b]
+        if not own:
+            assert regs[b] == 0
+            continue
+        rest = (min(own) * s.k) % 2**64 / 2**64
+        zeros = int(-np.floor(np.log2(rest))) - 1
+        assert regs[b] - 1 == (zeros << 10) + int((rest * 2 ** (zeros + 1) - 1) * 1024)
+    few = s.registers(values[:3])
+    dense = s.densified(few)
+    assert (few > 0).sum() <= 3 and (dense > 0).all() and set(dense) == set(few) - {0}
+
+
 def test_estimate_is_corrected_for_chance():
     s = near_dup.Signer(3, 5, 40)
-    a, b = np.arange(400, dtype=np.uint64), np.arange(200, 600, dtype=np.uint64)
-    a, b = near_dup.mix64(a + np.uint64(9)), near_dup.mix64(b + np.uint64(9))
-    r = s.registers([a, b])
-    assert abs(near_dup.estimate(int((r[0] == r[1]).sum()), 200, 400, 400) - 1 / 3) < 0.12
-    assert 0 < near_dup.chance(400, 400) < 2**-9
+    r = np.random.default_rng(3)
+    got = []
+    for _ in range(30):
+        v = r.integers(0, 2**64, 600, np.uint64)
+        got.append(near_dup.estimate(s.registers(np.sort(v[:400])), s.registers(np.sort(v[200:])), 400, 400)[0])
+    assert abs(np.mean(got) - 1 / 3) < 0.03
+    assert 0 < near_dup.chance(400, 400, 200) < 2**-9
+
+
+def test_registers_agree_as_often_as_sets_do_at_any_size():
+    s, r = near_dup.Signer(3, 5, 24), np.random.default_rng(9)
+    for n, common in ((2, 1), (7, 6), (20, 17), (300, 255)):
+        agree = []
+        for _ in range(400):
+            v = r.integers(0, 2**64, 2 * n - common, np.uint64)
+            a, b = (s.densified(s.registers(np.sort(x))) for x in (v[:n], v[n - common :]))
+            agree.append((a == b).mean())
+        assert abs(np.mean(agree) - common / (2 * n - common)) < 0.04
+
+
+def test_repeated_ids_join_their_texts(spark):
+    a, b, c = data.prose(40, 1), data.prose(40, 2), data.prose(40, 3)
+    rows = [(1, a), (2, a), (2, b), (3, b), (4, c), (4, None), (5, c + " x"), (6, None), (6, ""), (7, data.prose(9, 4)), (7, data.prose(9, 5)), (7, data.prose(9, 5))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS row", "2 AS digest", "3 AS __id", "4 AS text_key")
+    got = near_dup.near_duplicates(df).collect()
+    want = brute(rows, 3, 85)
+    assert want[3] == 1 and want[5] == 4
+    assert sorted((r.doc_id, r.component_id) for r in got) == sorted((d, want[d]) for d, _ in rows)
+    stay = near_dup.without_duplicates(df)
+    assert stay.columns == df.columns
+    texts = sorted((r.doc_id, r.text or "") for r in stay.collect())
+    assert texts == sorted([(1, a), (4, c), (4, ""), (6, ""), (7, rows[9][1]), (7, rows[10][1])])
+
+
+def test_large_ids_of_near_copies_stay_whole(spark):
+    text = data.prose(30, 3)
+    df = spark.createDataFrame([(2**60 + 1, text), (None, text), (2**60 + 3, "x " + data.prose(40, 9)), (2**60 + 2, text)], "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(df).collect()}
+    assert got == {2**60 + 1: 2**60 + 1, None: None, 2**60 + 3: 2**60 + 3, 2**60 + 2: 2**60 + 1}
 
 
 def test_repeated_passages(spark):

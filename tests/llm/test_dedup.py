@@ -137,14 +137,14 @@ def test_repeated_passages(spark):
     p = data.prose(60, 77)
     docs = [(1, data.prose(90, 1) + " " + p + " " + data.prose(40, 2)), (2, data.prose(300, 3)), (5, "x" + data.prose(33, 4) + " " + p + "\n" + data.prose(80, 5)), (6, data.prose(100, 6)), (7, data.prose(100, 6)), (8, "z" * 5000)]
     rows = docs + [(None, docs[0][1]), (9, None), (10, ""), (1, docs[0][1])]
-    out = chunk_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS digest", "2 AS start")).collect()
+    out = chunk_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS digest", "2 AS start", "3 AS row")).collect()
     pairs = {(r.doc_id, r.first_doc_id) for r in out}
     assert pairs == {(5, 1), (7, 6)}
     span = next(r for r in out if r.doc_id == 5)
     part = docs[2][1].encode()[span.start_byte : span.end_byte].decode()
-    assert part in docs[0][1] and span.n_words >= 40
+    assert part in docs[0][1] and 40 <= span.n_words <= 61
     whole = next(r for r in out if r.doc_id == 7)
-    assert (whole.start_byte, whole.end_byte) == (0, len(docs[4][1]))
+    assert whole.start_byte == 0 and len(docs[4][1]) - 40 <= whole.end_byte <= len(docs[4][1]) and whole.n_words >= 95
     assert chunk_dedup.repeated_passages(data.empty(spark)).count() == 0
     assert chunk_dedup.repeated_passages(data.docs(spark)).count() > 0
 
@@ -153,17 +153,65 @@ def test_passages_of_repeated_rows(spark):
     p, q = data.prose(60, 77), data.prose(60, 78)
     first = (1, data.prose(90, 1) + " " + p + " " + data.prose(40, 2) + " " + q)
     a, b = (5, data.prose(33, 4) + " " + p + " " + data.prose(80, 5)), (5, data.prose(20, 6) + " " + q)
-    spans = lambda rows: sorted(chunk_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "first_doc_id", "start_byte", "end_byte", "n_chunks", "n_words").collect())
+    spans = lambda rows: sorted(chunk_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "first_doc_id", "start_byte", "end_byte", "n_blocks", "n_words").collect())
     one, other = spans([first, a]), spans([first, b])
     assert one and other and all(s.n_words >= 40 for s in one + other)
     assert spans([first, a, a, first]) == one
     assert spans([first, a, b, a]) == sorted(one + other)
 
 
+def covered(rows, gram):
+    """Words of each document that lie in ``gram`` words which a document of a smaller id has in a row."""
+    first, out = {}, {}
+    for d, t in sorted(rows):
+        w = t.split()
+        for i in range(len(w) - gram + 1):
+            first.setdefault(tuple(w[i : i + gram]), d)
+    for d, t in rows:
+        w = t.split()
+        out[d] = {k for i in range(len(w) - gram + 1) if first[tuple(w[i : i + gram])] < d for k in range(i, i + gram)}
+    return out
+
+
+def test_passages_survive_common_phrases(spark):
+    """Against brute force: 60-word passages of two documents each, whose phrases earlier documents hold."""
+    import bisect
+
+    for phrase, every in ((8, 14), (10, 12), (12, 14), (0, 1)):
+        r = random.Random(phrase)
+        passages = [" ".join("".join(r.choice("abcdefghijklm") for _ in range(r.randint(2, 8))) for _ in range(60)) for _ in range(60)]
+        rows, n = [], 0
+        for p in passages if phrase else []:
+            w = p.split()
+            for i in range(0, 60 - phrase, every):
+                rows.append((n, data.prose(r.randint(5, 20), n) + " " + " ".join(w[i : i + phrase]) + " " + data.prose(10, n + 1)))
+                n += 1
+        for side in (0, 1):
+            for k, p in enumerate(passages):
+                rows.append((10000 + 1000 * side + k, data.prose(r.randint(10, 60), 5000 * side + k) + " " + p + " " + data.prose(30, 9000 * side + k)))
+        out = chunk_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        found = {x.doc_id for x in out if x.doc_id >= 11000}
+        assert len(found) >= 0.95 * len(passages)
+        texts, known = dict(rows), covered(rows, 12)
+        for x in out:
+            raw = texts[x.doc_id].encode()
+            starts = [i for i in range(len(raw)) if raw[i : i + 1].strip() and (i == 0 or not raw[i - 1 : i].strip())]
+            inside = range(bisect.bisect_left(starts, x.start_byte), bisect.bisect_left(starts, x.end_byte) - 1)
+            assert set(inside) <= known[x.doc_id]
+
+
+def test_periodic_passages_are_found(spark):
+    rows = [(1, data.prose(20, 1) + " and" * 300 + " " + data.prose(20, 2)), (2, data.prose(33, 3) + " and" * 200 + " " + data.prose(9, 4))]
+    [x] = chunk_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert x.doc_id == 2 and x.n_words > 150
+
+
 def test_cutting_passages_out(spark):
     p, a = data.prose(60, 77), data.prose(30, 4)
-    df = spark.createDataFrame([(1, p), (2, a + " " + p + " " + a), (3, "ö" * 9), (4, None)], "doc_id long, text string")
-    left = {r.doc_id: r.text for r in chunk_dedup.without_passages(df, chunk_dedup.repeated_passages(df)).collect()}
+    df = spark.createDataFrame([(1, p), (2, a + " " + p + " " + a), (3, "ö" * 9), (4, None)], "doc_id long, text string").selectExpr("text", "1 AS spans", "doc_id", "2 AS id", "3 AS row")
+    out = chunk_dedup.without_passages(df, chunk_dedup.repeated_passages(df))
+    assert out.columns == df.columns
+    left = {r.doc_id: r.text for r in out.collect()}
     assert left[1] == p and left[3] == "ö" * 9 and left[4] is None
     assert left[2].startswith(a[:100]) and left[2].endswith(a[-100:]) and len(left[2]) < len(a) * 2 + 150
 

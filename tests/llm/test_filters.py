@@ -26,7 +26,7 @@ def base_rules(t):
 
 
 def test_base_rules(spark):
-    out = quality.judge(data.docs(spark), least_reference=100).collect()
+    out = quality.judge(data.docs(spark)).collect()
     got = sorted((-1 if r.doc_id is None else r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in out)
     assert got == sorted((-1 if r[0] is None else r[0], *base_rules(r[1])) for r in data.rows())
     for r in out:
@@ -34,44 +34,51 @@ def test_base_rules(spark):
     assert quality.judge(data.empty(spark)).count() == 0
 
 
-def test_distances_and_verdict(spark):
-    good = [(k, data.prose(150, 300 + k) + " the of and to in.", "en") for k in range(40)]
-    junk = [(100, " ".join("%%%###$$$" for _ in range(30)) + " " + data.prose(12, 5), "en"), (101, "12345 67890 " * 3 + " ".join(str(k) for k in range(200)), "en"), (102, "### $$$ " + data.prose(12, 8), "en")]
-    df = spark.createDataFrame(good + junk, "doc_id long, text string, lang string")
-    out = {r.doc_id: r for r in quality.judge(df, least_reference=1000).collect()}
-    assert all(out[k].kept for k, _, _ in good) and not out[100].kept and not out[101].kept
-    assert out[102].kept  # too short to tell
-    # the distance is that of the definition
-    names = list(quality.CLASSES.values())
-    hist = {k: [len(re.findall(p, t)) for p in names] + [len(re.findall(r"[#*$%&|<>]", t))] for k, t, _ in good + junk}
-    for k, t, _ in good + junk:
-        hist[k].append(max(0, len(t) - sum(hist[k])))
-    ref = [sum(h[i] for h in hist.values()) for i in range(len(names) + 2)]
-    p, q = [x / sum(hist[100]) for x in hist[100]], [x / sum(ref) for x in ref]
-    kl = lambda a: sum(x * math.log2(x / ((x2 + y2) / 2)) for x, x2, y2 in zip(a, p, q) if x)
-    assert out[100].class_distance == pytest.approx(math.sqrt((kl(p) + kl(q)) / 2), abs=1e-5)
-    few = quality.judge(df, least_reference=10**9).collect()
-    assert all(r.kept or r.base_failed for r in few)
-    stays = quality.passed(data.docs(spark))
-    assert stays.columns == data.docs(spark).columns and quality.passed(data.empty(spark)).count() == 0
-    assert {r.doc_id for r in quality.passed(df, 1000).collect()} == {k for k, r in out.items() if r.kept}
+def text_in(lang, n, r):
+    known = quality.COMMON.get(lang, quality.COMMON["en"])
+    return " ".join(r.choices(list(known), list(known.values()))[0] if r.random() < sum(known.values()) else r.choice(data.VOCAB) for _ in range(n)) + "."
 
 
-def test_each_half_rejects_by_itself(spark):
-    r = random.Random(3)
+def distance(hist, shares):
+    p = [x / sum(hist) for x in hist]
+    kl = lambda a: sum(x * math.log2(x / ((u + v) / 2)) for x, u, v in zip(a, p, shares) if x)
+    return math.sqrt(max((kl(p) + kl(shares)) / 2, 0))
+
 
-    def text(lang, n):
-        return " ".join(r.choice(quality.COMMON[lang]) if r.random() < 0.2 else r.choice(data.VOCAB) for _ in range(n)) + "."
+def test_distances_are_those_of_the_definition(spark):
+    r = random.Random(8)
+    rows = [(k, text_in(lang, 20 * k + 12, r) + " 77 #$ Öä", lang) for k, lang in enumerate(["en", "de", "fr", "es", None, "xx"] * 2)]
+    out = {x.doc_id: x for x in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string").selectExpr("*", "1 AS row", "2 AS words", "3 AS kept")).collect()}
+    for k, t, lang in rows:
+        if lang not in quality.COMMON:
+            assert out[k].class_distance is None and out[k].word_distance is None and out[k].kept != out[k].base_failed
+            continue
+        classes = [len(re.findall(p, t)) for p in [*quality.CLASSES.values(), "[#*$%&|<>]"]]
+        words = [w.lower() for w in WORD.findall(t)]
+        common = [words.count(w) for w in quality.WORDS]
+        assert out[k].class_distance == pytest.approx(distance([*classes, len(t) - sum(classes)], quality.CLASS_SHARES[lang]), abs=1e-5)
+        assert out[k].word_distance == pytest.approx(distance([*common, len(words) - sum(common)], quality.word_shares(lang)), abs=1e-5)
 
-    good = [(100 * i + k, text(lang, 120 + 20 * k), lang) for i, lang in enumerate(("en", "de")) for k in range(30)]
-    salad = [(901, text("en", 150).translate(str.maketrans({c: "#" for c in "aeiou"})), "en"), (902, " ".join(r.choice([w for w in data.VOCAB if w not in quality.WORDS]) for _ in range(150)), "en"), (903, text("de", 400), "en"), (904, text("en", 100), "de")]
-    df = spark.createDataFrame(good + salad, "doc_id long, text string, lang string")
-    out = {x.doc_id: x for x in quality.judge(df, least_reference=1000).collect()}
+
+def test_each_half_rejects_by_itself_in_any_table(spark):
+    r = random.Random(3)
+    good = [(100 * i + k, text_in(lang, 120 + 20 * k, r), lang) for i, lang in enumerate(("en", "de")) for k in range(30)]
+    salad = [(901, text_in("en", 150, r).translate(str.maketrans({c: "#" for c in "aeiou"})), "en"), (902, " ".join(r.choice([w for w in data.VOCAB if w not in quality.WORDS]) for _ in range(150)), "en"), (903, text_in("de", 400, r), "en"), (904, text_in("en", 50, r), "de")]
+    form = "doc_id long, text string, lang string"
+    out = {x.doc_id: x for x in quality.judge(spark.createDataFrame(good + salad, form)).collect()}
     assert all(out[k].kept for k, _, _ in good)
-    assert not out[901].kept and out[901].class_distance > 0.3
+    assert not out[901].kept and out[901].class_distance > 0.22
     for k in (902, 903):
-        assert not out[k].kept and not out[k].base_failed and out[k].class_distance < 0.3
+        assert not out[k].kept and not out[k].base_failed and out[k].class_distance < 0.22
     assert out[904].kept  # too short to tell
+    # the same verdict where a text is the only one
+    for row in salad:
+        assert quality.judge(spark.createDataFrame([row], form)).first() == out[row[0]]
+    stays = quality.passed(data.docs(spark))
+    assert stays.columns == data.docs(spark).columns and quality.passed(data.empty(spark)).count() == 0
+    clash = spark.createDataFrame(good + salad, form).selectExpr("*", "1 AS row", "2 AS __row", "3 AS words")
+    kept = quality.passed(clash)
+    assert kept.columns == clash.columns and {x.doc_id for x in kept.collect()} == {k for k, x in out.items() if x.kept}
 
 
 def test_licenses_equal_brute_force(spark):

@@ -83,17 +83,18 @@ FROM d LEFT JOIN f ON d.digest = f.digest
 """
 
 
-def op8_sql() -> str:
-    shares = mixing.whole_shares(TARGETS, 100)
-    plan = mixing.schedule(shares)
-    values = ", ".join(f"('{s}', {i}, {t}, {r}, {d}, {shares[s]})" for s, i, t, r, d in plan)
-    listed = ", ".join(f"'{s}'" for s in TARGETS)
-    return f"""
-WITH plan(cls, i, slot, release, deadline, per) AS (VALUES {values}),
-r AS (SELECT doc_id, source, CASE WHEN source IN ({listed}) THEN source ELSE '{mixing.OTHER}' END AS cls, md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS k FROM documents),
-n AS (SELECT doc_id, source, cls, row_number() OVER (PARTITION BY cls ORDER BY k, doc_id NULLS FIRST) - 1 AS rk FROM r),
-b AS (SELECT n.*, rk // 8 AS block, p.per FROM n JOIN (SELECT DISTINCT cls, per FROM plan) p USING (cls)),
-s AS (SELECT b.doc_id, b.source, b.rk, b.block, (b.block // b.per) * 100 AS base, plan.* FROM b JOIN plan ON plan.cls = b.cls AND plan.i = b.block % b.per)
+#: The targets in whole slots of a period of 100, and earliest deadline first over them, from the definition.
+OP8_SQL = """
+WITH RECURSIVE n AS (SELECT list_concat(['(other)', 'src0'], ['src' || k for k in generate_series(1, 19)]) AS cls, list_concat([4, 20], [4 for k in generate_series(1, 19)]) AS per),
+e AS (SELECT -1 AS slot, [0 for k in generate_series(1, 21)] AS had, 0 AS k, 0 AS i, 0 AS release, 0 AS deadline FROM n
+  UNION ALL SELECT slot + 1, [had[j] + CASE WHEN j = b.k THEN 1 ELSE 0 END for j in generate_series(1, 21)], b.k, b.i, b.release, b.deadline FROM (
+    SELECT slot, had, list_min([{'deadline': CAST(ceil((had[j] + 1) * 100 / per[j]) AS INTEGER), 'cls': cls[j], 'k': j, 'i': had[j], 'release': CAST(floor(had[j] * 100 / per[j]) AS INTEGER)}
+      for j in generate_series(1, 21) if had[j] < per[j] AND floor(had[j] * 100 / per[j]) <= slot + 1]) AS b FROM e, n WHERE slot < 99)),
+plan AS (SELECT n.cls[k] AS cls, n.per[k] AS per, i, slot, release, deadline FROM e, n WHERE slot >= 0),
+r AS (SELECT doc_id, source, CASE WHEN list_contains((SELECT cls[2:] FROM n), source) THEN source ELSE '(other)' END AS cls, md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS k FROM documents),
+m AS (SELECT doc_id, source, cls, row_number() OVER (PARTITION BY cls ORDER BY k, doc_id NULLS FIRST) - 1 AS rk FROM r),
+b AS (SELECT m.*, rk // 8 AS block, p.per FROM m JOIN (SELECT DISTINCT cls, per FROM plan) p USING (cls)),
+s AS (SELECT b.doc_id, b.source, b.rk, b.block, (b.block // b.per) * 100 AS base, plan.slot, plan.release, plan.deadline FROM b JOIN plan ON plan.cls = b.cls AND plan.i = b.block % b.per)
 SELECT doc_id, source, CAST(block AS BIGINT) AS mix_block, CAST(base + release AS BIGINT) AS mix_release, CAST(base + deadline AS BIGINT) AS mix_deadline,
   CAST(base + slot AS BIGINT) AS mix_slot, CAST((base + slot) * 8 + rk % 8 AS BIGINT) AS mix_position FROM s
 """
@@ -161,23 +162,31 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
 """
 
 
+OP9_KINDS = [
+    ("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
+    ("access", "AKIA[A-Z0-9]+", 0, 20),
+    ("hex", "[0-9a-f]+", 0, 24),
+    ("provider", "gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[0-9A-Za-z_-]{35}|[sr]k_live_[0-9A-Za-z]{24,}|eyJ[A-Za-z0-9_-]{10,}\\.[A-Za-z0-9_-]{10,}\\.[A-Za-z0-9_-]{10,}", 0, 0),
+]
+
+
 def op9_sql() -> str:
-    quote = lambda p: p.replace("'", "''")
+    """The contract's patterns and limits, written out here: kind, pattern, group of the secret, its least length."""
     parts = []
-    for rank, (kind, pattern, group, _) in enumerate([*secrets.BASE, *secrets.ADDED]):
-        value = f"regexp_extract(m, '{quote(pattern)}', {group})"
-        holds = {"assign": f"length({value}) >= 6", "access": "length(m) >= 20"}.get(kind, "TRUE")
+    for rank, (kind, pattern, group, least) in enumerate(OP9_KINDS):
+        p = pattern.replace("'", "''")
+        value = f"regexp_extract(m, '{p}', {group})"
         parts.append(f"""SELECT doc_id, source, '{kind}' AS kind, {rank} AS rank, b + length(p) AS start, b + length(p) + length(m) AS stop, md5({value}) AS digest FROM (
   SELECT doc_id, source, m, p, coalesce(sum(length(m) + length(p)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM (
     SELECT doc_id, source, unnest(ms) AS m, unnest(ps[1 : len(ms)]) AS p, unnest(generate_series(1, len(ms))) AS i FROM (
-      SELECT doc_id, source, regexp_extract_all(text, '{quote(pattern)}') AS ms, regexp_split_to_array(text, '{quote(pattern)}') AS ps FROM documents WHERE text IS NOT NULL) WHERE len(ms) > 0)) WHERE {holds}""")
+      SELECT doc_id, source, regexp_extract_all(text, '{p}') AS ms, regexp_split_to_array(text, '{p}') AS ps FROM documents WHERE text IS NOT NULL) WHERE len(ms) > 0)) WHERE length({value}) >= {least}""")
     return f"""
 WITH s AS ({" UNION ALL ".join(parts)}),
-o AS (SELECT digest, count(DISTINCT coalesce(source, '')) AS n_owners, count(DISTINCT (coalesce(source, ''), doc_id)) AS n_repositories FROM s GROUP BY 1),
+o AS (SELECT digest, count(DISTINCT source) + max(CASE WHEN source IS NULL THEN 1 ELSE 0 END) AS n_owners, count(DISTINCT (source, doc_id)) AS n_repositories FROM s GROUP BY 1),
 a AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
   sha256(coalesce(string_agg(kind || ':' || CAST(start AS BIGINT) || ':' || CAST(stop AS BIGINT), ',' ORDER BY start, rank) FILTER (rank < 3), '')) AS base_sha256,
-  coalesce(string_agg(kind || ':' || CAST(start AS BIGINT) || ':' || CAST(stop AS BIGINT), ',' ORDER BY start, rank) FILTER (rank < 3 OR n_owners <= 2), '') AS spans,
-  count(*) FILTER (n_owners <= 2) AS n_live, count(*) FILTER (n_owners > 2) AS n_examples, max(n_owners) AS most_owners, max(n_repositories) AS most_repositories FROM s JOIN o USING (digest) GROUP BY 1)
+  coalesce(string_agg(kind || ':' || CAST(start AS BIGINT) || ':' || CAST(stop AS BIGINT), ',' ORDER BY start, rank) FILTER (rank < 3 OR n_owners <= 2 AND n_repositories <= 20), '') AS spans,
+  count(*) FILTER (n_owners <= 2 AND n_repositories <= 20) AS n_live, count(*) FILTER (n_owners > 2 OR n_repositories > 20) AS n_examples, max(n_owners) AS most_owners, max(n_repositories) AS most_repositories FROM s JOIN o USING (digest) GROUP BY 1)
 SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, coalesce(base_sha256, sha256('')) AS base_sha256, coalesce(spans, '') AS spans,
   coalesce(n_live, 0) AS n_live, coalesce(n_examples, 0) AS n_examples, coalesce(most_owners, 0) AS most_owners, coalesce(most_repositories, 0) AS most_repositories FROM documents d LEFT JOIN a USING (doc_id)
 """
@@ -202,4 +211,4 @@ SELECT doc_id, license, round(max(share), 6) AS containment, min(first_word) AS
 
 
 def oracle_sql() -> dict:
-    return {"op6_quality_rules": op6_sql(), "op7_license_scan": op7_sql(), "op9_secret_scan": op9_sql(), "op3_embedding_near_dup": OP3_SQL, "op4_minhash_near_dup": OP4_SQL, "op5_warc": OP5_SQL, "op8_mixing": op8_sql()}
+    return {"op6_quality_rules": op6_sql(), "op7_license_scan": op7_sql(), "op9_secret_scan": op9_sql(), "op3_embedding_near_dup": OP3_SQL, "op4_minhash_near_dup": OP4_SQL, "op5_warc": OP5_SQL, "op8_mixing": OP8_SQL}

@@ -1,10 +1,10 @@
-"""Secrets by how many owners share them, in SQL expressions only.
+"""Secrets by how many owners and repositories share them, in SQL expressions only.
 
 Patterns give candidates with their places. Each candidate's digest is counted over
-the whole corpus by distinct owners and repositories: what many owners have is an
-example that was copied around, what one or two have looks live. The first kinds are
-always reported; patterns of the second group, which alone prove less, are added
-where the corpus shows them to be their owners' own.
+the whole corpus by distinct owners and repositories: what many owners have, or many
+repositories of one owner, is an example that was copied around; what few have looks
+live. The first kinds are always reported; patterns of the second group, which alone
+prove less, are added where the corpus shows them to be their owners' own.
 """
 
 from __future__ import annotations
@@ -88,27 +88,31 @@ def candidates(docs: DataFrame, owner: str, repository: str) -> DataFrame:
     return rows.select("doc_id", F.xxhash64("text").alias("text_key"), "owner", "repository", F.array_sort(found).alias("found"))
 
 
-def scan(docs: DataFrame, owner: str = "source", repository: str = "doc_id", most_owners: int = 2) -> DataFrame:
+def scan(docs: DataFrame, owner: str = "source", repository: str = "doc_id", most_owners: int = 2, most_repositories: int = 20) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_examples, most_owners, most_repositories, live, text_key.
 
-    One row out per row of ``docs``.
-
-    spans: kind:start:end of all, in code points, by start and then kind. A candidate
-    that at most ``most_owners`` distinct owners have is live, others are examples; a
-    null owner counts as one; most_owners and most_repositories are the largest counts of
-    a document's candidates. Base spans are all listed, added ones where they are
-    live. live: the live places, an array of (start, stop). A null text is empty; a
-    document without candidates has empty spans; rows that repeat stay rows. Other
-    columns are ignored.
+    One row out per row of ``docs`` (doc_id, text, the owner's and the repository's
+    column). spans: kind:start:end of all, in code points, by start and then kind. A
+    candidate that at most ``most_owners`` distinct owners and ``most_repositories``
+    distinct repositories (of an owner) have is live, others are examples; null owners
+    count as one owner, apart from empty ones, and so do null repositories. The columns
+    most_owners and most_repositories are the largest counts of a document's
+    candidates. Base spans are all listed, added ones where they are live. live: the
+    live places, an array of (start, stop). A null text is empty; a document without
+    candidates has empty spans; rows that repeat, null ids among them, stay rows;
+    texts are searched whole. Other columns are ignored, whatever their names; an empty
+    table gives an empty one.
     """
     ws = Workspace(docs.sparkSession, "secrets")
     rows = ws.save(candidates(docs, owner, repository), "candidates")
     n = len(BASE)
     each = rows.where(F.size("found") > 0).select("doc_id", "text_key", "owner", "repository", F.explode("found").alias("s"))
-    who = each.select(F.col("s.digest").alias("digest"), F.coalesce("owner", F.lit("")).alias("owner"), F.coalesce("repository", F.lit("")).alias("repository")).distinct()
+    who = each.select(F.col("s.digest").alias("digest"), "owner", "repository").distinct()
     owners = who.groupBy("digest", "owner").agg(F.count(F.lit(1)).alias("n")).groupBy("digest").agg(F.count(F.lit(1)).alias("n_owners"), F.sum("n").alias("n_repositories"))
+    # a table of its own, so that the rows of a widely copied candidate can be dealt to several tasks
+    owners = ws.save(owners, "owners")
     known = each.select("doc_id", "text_key", F.col("s").alias("span"), F.col("s.digest").alias("digest")).distinct().join(owners, "digest")
-    is_live = F.col("n_owners") <= most_owners
+    is_live = (F.col("n_owners") <= most_owners) & (F.col("n_repositories") <= most_repositories)
     per = known.groupBy("doc_id", "text_key").agg(
         F.collect_list(F.when(is_live, F.col("span"))).alias("live"), F.count_if(~is_live).alias("n_examples"), F.max("n_owners").alias("most_owners"), F.max("n_repositories").alias("most_repositories")
     )
@@ -140,15 +144,21 @@ def redact(text: Column, live: Column, mark: str = "[SECRET]") -> Column:
     return F.aggregate(live, empty, step, lambda s: F.concat(s["done"], F.substring(text, s["at"].cast("int") + 1, F.char_length(text))))
 
 
-def redacted(docs: DataFrame, owner: str = "source", repository: str = "doc_id", most_owners: int = 2) -> DataFrame:
-    """``docs`` with live secrets replaced in ``text``, and ``n_chars``, if there is one, counted anew for them."""
+def redacted(docs: DataFrame, owner: str = "source", repository: str = "doc_id", most_owners: int = 2, most_repositories: int = 20) -> DataFrame:
+    """``docs`` with live secrets replaced in ``text``, and ``n_chars``, if there is one, counted anew for them.
+
+    Rows stay, repeated ones and null ids too; null, empty and clean texts stay as they
+    are. Columns may have any names. An empty table gives an empty one.
+    """
     ws = Workspace(docs.sparkSession, "redact")
-    found = scan(docs, owner, repository, most_owners).where("n_live > 0").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), "live").distinct()
-    places = ws.save(found.withColumnRenamed("live", "__live"), "live")
-    key = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    both = docs.join(places, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (key == F.col("__key")), "left")
-    new = {"text": F.when(F.col("__live").isNotNull(), redact(F.col("text"), F.col("__live"))).otherwise(F.col("text"))}
-    out = both.withColumns(new)
+    found = scan(docs, owner, repository, most_owners, most_repositories).where("n_live > 0").select(F.col("doc_id").alias("id"), F.col("text_key").alias("key"), "live").distinct()
+    places = ws.save(found, "live")
+    text = F.col("row.text").cast("string")
+    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"))
+    both = rows.join(places, F.col("row.doc_id").cast("long").eqNullSafe(F.col("id")) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col("key")), "left")
+    hit = F.col("live").isNotNull()
+    clean = both.withColumn("clean", F.when(hit, redact(text, F.col("live"))).otherwise(text))
+    new = {"text": F.col("clean")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__live").isNotNull(), F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        new["n_chars"] = F.when(hit, F.char_length("clean").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
+    return clean.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])

@@ -132,6 +132,26 @@ def test_redaction(spark):
     assert got[2].text == "plain" and got[2].n_chars == 5 and got[None].text is None and got[3].text == "é [SECRET] ok"
 
 
+def test_owners_and_repositories_decide(spark):
+    """Against counts in plain Python: one owner's many repositories, null owners beside empty ones, a hot candidate."""
+    from collections import defaultdict
+
+    rows = [(k, "one token=copied99 here", "src0") for k in range(30)] + [(100 + k, "one token=ownkey77 here", "src0") for k in range(5)]
+    rows += [(200, "token=shared11", None), (201, "token=shared11", ""), (202, "token=shared11", "a"), (203, "token=pair2222", None), (204, "token=pair2222", ""), (205, "token=pair2222", None), (None, "token=pair2222", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "1 AS owner", "2 AS digest", "3 AS row", "4 AS __id")
+    who = defaultdict(set)
+    for d, t, o in rows:
+        who[t].add((o, d))
+    for r in secrets.scan(df).collect():
+        t = next(t for d, t, _ in rows if d == r.doc_id)
+        owners, repositories = len({o for o, _ in who[t]}), len(who[t])
+        assert (r.most_owners, r.most_repositories, r.n_live) == (owners, repositories, int(owners <= 2 and repositories <= 20))
+    clean = secrets.redacted(df)
+    assert clean.columns == df.columns
+    assert sorted(r.doc_id or -1 for r in clean.collect() if "[SECRET]" in r.text) == [-1, 100, 101, 102, 103, 104, 203, 204, 205]
+    assert secrets.redacted(df.limit(0)).count() == 0
+
+
 def test_many_matches_stay_in_place(spark):
     t = "x password=abcdef1 " * 1500
     r = secrets.scan(spark.createDataFrame([(1, t, "s")], "doc_id long, text string, source string")).first()

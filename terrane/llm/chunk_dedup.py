@@ -39,7 +39,7 @@ ROWS = 200_000
 
 
 class Gear:
-    def __init__(self, mean: int = 24, gap: int = 8, long: int = 512, seed: int = 11):
+    def __init__(self, mean: int = 24, gap: int = 8, long: int = 128, seed: int = 11):
         self.table = np.random.default_rng(seed).integers(0, 2**32, 256, np.uint64).astype(np.uint32)
         self.below = np.uint32(2**32 // mean)
         self.gap, self.long = gap, long

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -193,19 +195,22 @@ SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_a
 
 
 def op7_sql() -> str:
+    """Every window of every width against every template, by sets of three words; windows are two to four times as long."""
     rows, widths = [], set()
     for name, many in sorted(licenses.TEMPLATES.items()):
         for text in many:
-            w = licenses.template_words(text)
-            widths.add(licenses.window_of(len(w)))
-            rows.append(f"('{name}', {licenses.window_of(len(w))}, {w})")
-    grams = lambda w: f"list_distinct([[{w}[i], {w}[i + 1], {w}[i + 2]] for i in generate_series(1, len({w}) - 2)])"
+            w = re.findall("[a-z0-9]+", text.lower())
+            width = next(x for x in (12 << k for k in range(20)) if len(w) <= x // 2 + 1)
+            widths.add(width)
+            rows.append(f"('{name}', {width}, {w})")
+    grams = lambda w: f"list_distinct([{w}[i] || ' ' || {w}[i + 1] || ' ' || {w}[i + 2] for i in generate_series(1, len({w}) - 2)])"
     return f"""
 WITH t(license, width, words) AS (VALUES {", ".join(rows)}), tt AS (SELECT license, width, {grams("words")} AS sh FROM t),
 d AS (SELECT doc_id, [x for x in regexp_split_to_array(lower(text), '[^a-z0-9]+') if x <> ''] AS words FROM documents WHERE text IS NOT NULL),
 v AS (SELECT doc_id, width, step * (width // 2) AS first_word, words[step * (width // 2) + 1 : step * (width // 2) + width] AS win FROM (
   SELECT doc_id, words, width, unnest(generate_series(0, len(words) // (width // 2))) AS step FROM d, (SELECT unnest({sorted(widths)}) AS width))),
-m AS (SELECT doc_id, license, first_word, v.width, len(list_intersect(sh, {grams("win")})) / len(sh) AS share FROM v JOIN tt USING (width) WHERE len(win) > 2)
+g AS (SELECT doc_id, width, first_word, {grams("win")} AS have FROM v WHERE len(win) > 2),
+m AS (SELECT doc_id, license, first_word, g.width, len(list_intersect(sh, have)) / len(sh) AS share FROM g JOIN tt ON g.width = tt.width AND list_has_any(have, sh))
 SELECT doc_id, license, round(max(share), 6) AS containment, min(first_word) AS first_word, count(DISTINCT (width, first_word)) AS n_windows FROM m WHERE share >= 0.8 GROUP BY 1, 2
 """
 

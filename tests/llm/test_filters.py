@@ -85,6 +85,8 @@ def test_licenses_equal_brute_force(spark):
     t = licenses.TEMPLATES
     full = t["apache-2.0"][1]
     texts = [data.prose(37, 1) + " " + t["mit"][0], full + " " + data.prose(200, 2), data.prose(11, 3) + "\n" + t["cc-by-nc-4.0"][0] + "\n" + data.prose(90, 4), "released UNDER the mit-license", data.prose(500, 5), None, "", "mit", "x " * 5000 + t["gpl-3.0"][0], t["gpl-3.0"][1].replace("redistribute", "copy")]
+    texts += [data.prose(r, 20 + r) + "\n" + m[-1] + "\n" + data.prose(40, r) for r, m in zip((0, 3, 50, 117, 400, 211, 333, 91), (t["mit"], t["bsd-3-clause"], t["bsd-2-clause"], t["isc"], t["zlib"], t["agpl-3.0"], t["apache-2.0"], t["unlicense"]))]
+    texts.append(" ".join(w for k, w in enumerate(t["mit"][-1].split()) if k % 40))  # some words are missing
     df = spark.createDataFrame([(k, x) for k, x in enumerate(texts)] + [(None, t["mit"][0]), (0, texts[0])], "doc_id long, text string").selectExpr("*", "1 AS width", "'x' AS license")
     out = {(r.doc_id, r.license): r.containment for r in licenses.scan(df).collect()}
     want = {}

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from terrane.llm import chunk_dedup, embedding_forest, near_dup
 
@@ -224,7 +225,8 @@ def test_cuts_depend_on_what_is_near():
     assert {x for x in a if x > 48} == {x for x in b if x > 48}
 
 
-def test_vectors_equal_brute_force(spark):
+@pytest.mark.parametrize("sample", [900, 40])  # 40: leaves are split by their own vectors
+def test_vectors_equal_brute_force(spark, sample):
     r = np.random.default_rng(5)
     rows, n = [], 0
     for label in (0, 1):
@@ -236,7 +238,7 @@ def test_vectors_equal_brute_force(spark):
             n += 1
     odd = [(n, None, 0), (n + 1, [0.0] * 16, 0), (n + 2, [float("nan")] + [1.0] * 15, 0), (n + 3, [None] + [1.0] * 15, 1), (n + 4, rows[3][1], None), (None, rows[3][1], 0), (n + 5, [], 0), (n + 6, [1.0, 2.0], 0), (n + 7, [float("inf")] * 16, 1), (n + 8, [2 * x for x in rows[3][1]], 0)]
     df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<float>, label int").selectExpr("*", "1 AS weight", "2 AS digest")
-    got = {x.vec_id: x for x in embedding_forest.near_vectors(df, 0.98, leaf=64, sample=300).collect()}
+    got = {x.vec_id: x for x in embedding_forest.near_vectors(df, 0.98, leaf=64, sample=sample).collect()}
     ok = [(i, np.array(v, np.float32).astype(float), y) for i, v, y in [*rows, odd[9]]]
     links = {i: set() for i, _, _ in ok}
     for i, v, y in ok:
@@ -257,3 +259,50 @@ def test_vectors_equal_brute_force(spark):
         assert (got[i].n_links, got[i].component_id, got[i].kept) == (len(links[i]), low[i], low[i] == i)
     assert all((got[x[0]].n_links, got[x[0]].kept) == (0, True) for x in odd[:9])
     assert embedding_forest.near_vectors(df.limit(0)).count() == 0
+
+
+def leaves_of(x, leaf, cosine=0.98):
+    """The leaves of one tree over all vectors, subtrees included, as in near_vectors."""
+    spill = embedding_forest.spill_of(cosine, x.shape[1])
+    todo, out = [(np.arange(len(x)), 5)], []
+    while todo:
+        rows, name = todo.pop()
+        drawn = rows[np.random.default_rng(len(rows)).permutation(len(rows))[: embedding_forest.FIT]]
+        cuts = embedding_forest.fit(x[drawn], len(rows), spill, leaf, name) if len(rows) > 2 * leaf else {}
+        if not cuts:
+            out.append(rows)
+            continue
+        parts = {}
+        for r, to in zip(rows.tolist(), embedding_forest.route(x[rows], cuts, spill, name)):
+            for n in to:
+                parts.setdefault(n, []).append(r)
+        todo += [(np.array(p), embedding_forest.named(name, n)) for n, p in parts.items()]
+    return out
+
+
+def test_leaves_stay_small_and_links_meet():
+    """Leaves do not grow with the table, and pairs at the threshold meet in one of the trees."""
+    r = np.random.default_rng(3)
+    for n in (2_000, 20_000, 120_000):
+        x = r.standard_normal((n, 64))
+        step = r.standard_normal((n, 64))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        step -= (step * x).sum(1, keepdims=True) * x
+        step /= np.linalg.norm(step, axis=1, keepdims=True)
+        x[1::2] = 0.98 * x[::2] + np.sqrt(1 - 0.98**2) * step[::2]
+        leaves = leaves_of(x, 256)
+        assert max(map(len, leaves)) <= 512 and sum(len(p) for p in leaves) < 4 * n
+        home = [set() for _ in range(n)]
+        for k, p in enumerate(leaves):
+            for i in p.tolist():
+                home[i].add(k)
+        met = np.mean([bool(home[i] & home[i + 1]) for i in range(0, n, 2)])
+        assert 1 - (1 - met) ** 3 > 0.998
+
+
+def test_repeated_vector_ids_are_one_node(spark):
+    r = np.random.default_rng(1)
+    a, b, c, d = ([float(x) for x in r.standard_normal(8)] for _ in range(4))
+    rows = [(1, a, 0), (2, a, 0), (2, b, 0), (3, b, 0), (4, c, 0), (5, d, 0), (5, d, 0), (6, None, 0), (6, c, 0), (2**60 + 1, d, 1), (None, d, 0)]
+    got = sorted(map(tuple, embedding_forest.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").coalesce(1)).where("vec_id IS NOT NULL").collect()))
+    assert got == sorted([(1, 1, 1, True), (2, 1, 1, False), (2, 1, 1, False), (3, 1, 1, False), (4, 1, 4, True), (5, 1, 5, True), (5, 1, 5, True), (6, 0, 4, False), (6, 1, 4, False), (2**60 + 1, 0, 2**60 + 1, True)])

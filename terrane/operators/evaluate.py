@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.io import materialised
+
 
 def confusion(df: DataFrame, pred: str = "pred", label: str = "label", cut: float = 0.5, by: list[str] | None = None) -> DataFrame:
     """TruePos, FalsePos, MissedPos, TrueNeg and OA; null predictions and labels are left out."""
@@ -35,18 +38,40 @@ def best_threshold(sweep: DataFrame) -> DataFrame:
     return sweep.withColumn("top", top).where("fit = top").groupBy("measure", "fit").agg(F.round(F.percentile("threshold", F.lit(0.5)), 4).alias("threshold"))
 
 
-def auc(df: DataFrame, pred: str = "pred", label: str = "label") -> DataFrame:
-    """Area under the ROC curve from rank sums, ties at half; one row.
+def by_score(df: DataFrame, pred: str, label: str, ranges: int = 64) -> DataFrame:
+    """score, pos, neg and below (negatives of smaller scores) by distinct score; null and NaN predictions are left out.
 
-    Counts by distinct score come first, so the running sum is over scores, not rows.
+    The running sum is taken within ranges of scores, which approximate quantiles part
+    evenly, and shifted by the sums of the ranges before.
     """
-    rows = df.where(F.col(pred).isNotNull() & F.col(label).isNotNull())
-    by = rows.groupBy(pred).agg(F.sum(label).alias("pos"), F.sum(1 - F.col(label)).alias("neg"))
-    below = F.coalesce(F.sum("neg").over(W.orderBy(pred).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    won = by.withColumn("won", F.col("pos") * (below + F.col("neg") / 2))
+    rows = df.select(F.col(pred).cast("double").alias("score"), F.col(label).alias("y")).where("score IS NOT NULL AND NOT isnan(score) AND y IS NOT NULL")
+    by = materialised(rows.groupBy("score").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg")), "scores")
+    cuts = sorted(set(by.approxQuantile("score", [k / ranges for k in range(1, ranges)], 0.005)))
+    at = Bucketizer(splits=[-float("inf"), *cuts, float("inf")], inputCol="score", outputCol="__range").transform(by) if cuts else by.withColumn("__range", F.lit(0.0))
+    sums = at.groupBy("__range").agg(F.sum("neg").alias("n"))
+    base = sums.select("__range", F.coalesce(F.sum("n").over(W.orderBy("__range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__base"))
+    local = F.coalesce(F.sum("neg").over(W.partitionBy("__range").orderBy("score").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return at.withColumn("__local", local).join(F.broadcast(base), "__range").select("score", "pos", "neg", (F.col("__local") + F.col("__base")).alias("below"))
+
+
+def auc(df: DataFrame, pred: str = "pred", label: str = "label") -> DataFrame:
+    """Area under the ROC curve from rank sums, ties at half; one row."""
+    won = by_score(df, pred, label).withColumn("won", F.col("pos") * (F.col("below") + F.col("neg") / 2))
     return won.agg(F.round(F.try_divide(F.sum("won"), F.sum("pos") * F.sum("neg").cast("double")), 6).alias("auc"))
 
 
+def roc_curve(df: DataFrame, pred: str = "pred", label: str = "label") -> DataFrame:
+    """threshold, fpr, tpr: the rates of rows with a score of the threshold or more, for each distinct score."""
+    up = F.col(label)
+    turned = df.select((-F.col(pred)).alias("__turned"), (1 - up).alias("__no"), up.alias("__yes"))
+    # negatives of scores above are those below in the turned order; the same for positives
+    no = by_score(turned.select("__turned", F.col("__yes").alias("y")), "__turned", "y").select((-F.col("score")).alias("threshold"), "pos", "neg", F.col("below").alias("no_above"))
+    yes = by_score(turned.select("__turned", F.col("__no").alias("y")), "__turned", "y").select((-F.col("score")).alias("threshold"), F.col("below").alias("yes_above"))
+    total = no.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N")).first()
+    rate = lambda c, n: F.round(F.try_divide(c.cast("double"), F.lit(float(n or 0))), 6)
+    return no.join(yes, "threshold").select("threshold", rate(F.col("no_above") + F.col("neg"), total.N).alias("fpr"), rate(F.col("yes_above") + F.col("pos"), total.P).alias("tpr"))
+
+
 def flag(df: DataFrame, ids: DataFrame, key: str, name: str) -> DataFrame:
     """A 0/1 column: is the key among ``ids``?"""
     known = ids.select(key).distinct().withColumn("__in", F.lit(1))

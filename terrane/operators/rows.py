@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.io import materialised
+
 
 def without(df: DataFrame, flag: Column) -> DataFrame:
     """Rows whose flag is not 1; a null flag stays."""
@@ -31,9 +33,10 @@ def before_month_day(date: Column, cutoff: int = 1216) -> Column:
 
 
 def first_by(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """One row for each key: the first in a stated order."""
-    rank = F.row_number().over(W.partitionBy(*keys).orderBy(*order))
-    return df.withColumn("__rank", rank).where("__rank = 1").drop("__rank")
+    """One row for each key: the first in a stated order. An aggregation, so a key with most of the rows is reduced where they lie."""
+    row = F.struct(*[F.col(c) for c in df.columns])
+    at = F.struct(*[c.alias(f"c{k}") for k, c in enumerate(order)])
+    return df.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(F.min_by(row, at).alias("__row")).select("__row.*")
 
 
 def numbered(df: DataFrame, keys: list[str], order: list[Column], out: str = "rec") -> DataFrame:
@@ -42,8 +45,10 @@ def numbered(df: DataFrame, keys: list[str], order: list[Column], out: str = "re
 
 
 def hash_rank(key: Column, seed: int) -> Column:
-    """A reproducible pseudo-random number of an integer key, the same in any engine."""
-    return (key * 2654435761 + seed * 40503) % 4294967296
+    """(key * 2654435761 + seed * 40503) modulo 2 ** 32: the same in any engine. In halves, so that no key overflows."""
+    k = F.pmod(key.cast("long"), F.lit(1 << 32))
+    low, high = k % 65536, F.shiftright(k, 16)
+    return (low * 2654435761 + (high * 2654435761 % 65536) * 65536 + seed * 40503) % 4294967296
 
 
 def without_blank_groups(df: DataFrame, group: Column, value: Column) -> DataFrame:
@@ -59,6 +64,18 @@ def without_listed(df: DataFrame, name: Column, blacklist: DataFrame, start: int
     return df.withColumn("__id", F.substring(name, start, length)).join(ids, "__id", "left_anti").drop("__id")
 
 
+def only_listed(df: DataFrame, name: Column, keep: DataFrame, start: int, length: int) -> DataFrame:
+    """Keeps rows whose name shares its id, at a fixed place, with one of the names in ``keep``."""
+    ids = keep.select(F.substring(keep.columns[0], start, length).alias("__id")).distinct()
+    return df.withColumn("__id", F.substring(name, start, length)).join(ids, "__id", "left_semi").drop("__id")
+
+
+def mask_unknown(df: DataFrame, known: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    """Rows whose keys are not among ``known`` (pixels without coordinates) stay, with null values, as a later selection of complete rows expects."""
+    there = known.select(*keys).distinct().withColumn("__there", F.lit(True))
+    return df.join(there, keys, "left").withColumns({v: F.when(F.col("__there"), F.col(v)) for v in values}).drop("__there")
+
+
 def mean_of_columns(columns: list[str]) -> Column:
     """Row-wise mean of the columns that are not null."""
     total = reduce(lambda a, b: a + b, [F.coalesce(F.col(c), F.lit(0.0)) for c in columns])
@@ -72,18 +89,36 @@ def file_parts(name: Column) -> dict[str, Column]:
     return {"field_id": F.split_part(name, F.lit("_"), F.lit(1)), "obs_date": F.to_date(F.substring(rest, 1, 8), "yyyyMMdd"), "stem": F.regexp_replace(name, r"\.tif$", "")}
 
 
-def chunk_number(df: DataFrame, order: list[Column], size: int) -> DataFrame:
-    """Fixed-size chunks of an ordered table, from 1. The rank is made of sorted ranges, so no task holds all rows."""
+def row_id(df: DataFrame, order: list[Column], out: str = "OID") -> DataFrame:
+    """Adds the 0-based place of each row in the whole table's order.
+
+    Sorted ranges of rows are written once with their places, so that the sizes that
+    shift them are those of the very ranges that were numbered, and no task holds all rows.
+    """
     ordered = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    parts = ordered.withColumns({"__part": F.spark_partition_id(), "__pos": F.monotonically_increasing_id()})
+    parts = materialised(ordered.withColumns({"__part": F.spark_partition_id(), "__pos": F.monotonically_increasing_id()}), "ranges")
     sizes = parts.groupBy("__part").agg(F.count(F.lit(1)).alias("n"))
-    before = sizes.withColumn("base", F.coalesce(F.sum("n").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("__part", "base")
+    # one row for each range, whatever the number of rows
+    before = sizes.select("__part", F.coalesce(F.sum("n").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__base"))
     local = F.col("__pos").bitwiseAND(F.lit((1 << 33) - 1))
-    return parts.join(F.broadcast(before), "__part").withColumn("chunk", (F.floor((local + F.col("base")) / size) + 1).cast("long")).drop("__part", "__pos", "base")
+    return parts.join(F.broadcast(before), "__part").withColumn(out, (local + F.col("__base")).cast("long")).drop("__part", "__pos", "__base")
+
+
+def chunk_number(df: DataFrame, order: list[Column], size: int) -> DataFrame:
+    """Fixed-size chunks of an ordered table, from 1: every row stays, and all chunks but the last hold ``size`` rows."""
+    return row_id(df, order, "__place").withColumn("chunk", (F.floor(F.col("__place") / size) + 1).cast("long")).drop("__place")
 
 
 def outer_reduce(frames: list[DataFrame], key: str) -> DataFrame:
-    """Full outer join of tables that each have ``key`` and columns of their own: one shuffle for all of them."""
+    """Full outer join of tables that each have ``key``, once, and columns of their own: one shuffle for all of them.
+
+    A key that a table repeats is an error, as a join would multiply its rows. Rows with a
+    null key match nothing and stay rows of their own.
+    """
     every = {c: t for f in frames for c, t in f.dtypes if c != key}
-    tall = [f.select(key, *[F.col(c) if c in f.columns else F.lit(None).cast(t).alias(c) for c, t in every.items()]) for f in frames]
-    return reduce(lambda a, b: a.unionByName(b), tall).groupBy(key).agg(*[F.max(c).alias(c) for c in every])
+    wide = lambda f: [F.col(c) if c in f.columns else F.lit(None).cast(t).alias(c) for c, t in every.items()]
+    tall = reduce(lambda a, b: a.unionByName(b), [f.select(key, F.lit(k).alias("__from"), *wide(f)) for k, f in enumerate(frames)])
+    once = [F.count_if(F.col("__from") == k) <= 1 for k in range(len(frames))]
+    joined = tall.where(F.col(key).isNotNull()).groupBy(key).agg(*[F.first(c, ignorenulls=True).alias(c) for c in every], reduce(lambda a, b: a & b, once).alias("__once"))
+    sound = F.when(F.col("__once"), F.col(key)).otherwise(F.raise_error(F.lit(f"a table repeats a {key}")).cast(dict(frames[0].dtypes)[key]))
+    return joined.select(sound.alias(key), *every).unionByName(tall.where(F.col(key).isNull()).select(key, *every))

@@ -34,16 +34,21 @@ def align(obs: DataFrame, events: DataFrame, field: str = "field_id", date: str
     return both.withColumn("rel_day", rel.cast("int")).drop("preburn", "burn")
 
 
-def spine(aligned: DataFrame, reach: int = 50, field: str = "field_id", value: str = "value") -> DataFrame:
+def spine(aligned: DataFrame, reach: int = 50, field: str = "field_id", value: str = "value", extend: bool = False) -> DataFrame:
     """Every relative day from -reach to reach of each field, null where nothing was seen; one value a day (the last date's).
 
-    A field's series is at most a value for each date of the window, so it is gathered
+    extend: days seen beyond the reach, and those up to them, are there as well. A
+    field's series is at most a value for each date of the window, so it is gathered
     in one aggregation and spread again without a join.
     """
-    near = F.when(F.col("rel_day").between(-reach, reach), F.struct("rel_day", "obs_date", F.col(value).alias("v")))
-    held = aligned.groupBy(field).agg(F.collect_list(near).alias("seen"))
+    near = F.struct("rel_day", "obs_date", F.col(value).alias("v"))
+    held = aligned.groupBy(field).agg(
+        F.collect_list(near if extend else F.when(F.col("rel_day").between(-reach, reach), near)).alias("seen"),
+        F.least(F.min("rel_day"), F.lit(-reach)).alias("lo"), F.greatest(F.max("rel_day"), F.lit(reach)).alias("hi"),
+    )
+    days = F.sequence("lo", "hi") if extend else F.sequence(F.lit(-reach), F.lit(reach))
     day = lambda d: F.struct(d.alias("rel_day"), F.array_max(F.filter("seen", lambda x: x["rel_day"] == d))["v"].alias(value))
-    return held.select(field, F.inline(F.transform(F.sequence(F.lit(-reach), F.lit(reach)), day)))
+    return held.select(field, F.inline(F.transform(days, day)))
 
 
 def pre_post_unmatched(aligned: DataFrame, days: int, exact: bool = False) -> DataFrame:
@@ -96,11 +101,13 @@ def burn_signal(aligned: DataFrame, max_pre: int, max_post: int, field: str = "f
 def false_signal_rate(diffs: DataFrame, signals: DataFrame, field: str = "field_id") -> DataFrame:
     """period, n, signal, rate: the share of fields with a day, before or after the event, whose change exceeds the signal.
 
-    Fields are reduced to one row with both largest changes before they meet the few signals.
+    Fields are reduced to one row with both largest changes before they meet the
+    signals, of which there is one for each day of the window.
     """
     most = diffs.groupBy(field).agg(F.max(F.when(F.col("rel_day") < 0, F.col("diff"))).alias("pre"), F.max(F.when(F.col("rel_day") > 0, F.col("diff"))).alias("post"))
     long = most.unpivot([field], ["pre", "post"], "period", "most")
-    return long.join(F.broadcast(signals)).groupBy("period", "n", "signal").agg(F.round(F.avg(F.coalesce((F.col("most") > F.col("signal")).cast("int"), F.lit(0))), 6).alias("rate"))
+    both = signals.select(F.explode(F.array(F.lit("pre"), F.lit("post"))).alias("period"), "n", "signal")
+    return long.join(both, "period").groupBy("period", "n", "signal").agg(F.round(F.avg(F.coalesce((F.col("most") > F.col("signal")).cast("int"), F.lit(0))), 6).alias("rate"))
 
 
 def separability(p: Column, q: Column) -> Column:

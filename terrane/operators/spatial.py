@@ -8,28 +8,36 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def bbox_overlap(a: DataFrame, b: DataFrame, cell: float = 1.0, most_cells: int = 4096) -> DataFrame:
+def bbox_overlap(a: DataFrame, b: DataFrame, cell: float = 1.0) -> DataFrame:
     """Pairs of rows of ``a`` and ``b`` whose boxes (minLat, maxLat, minLon, maxLon) overlap or touch.
 
-    Boxes go to the grid cells that they cover, pairs meet in equal cells, and a pair
-    counts in the first cell that both cover, so the join is a hash join without
-    duplicates. Columns of ``b`` get the prefix b_. ``cell`` should be about a box's
-    size; a box over more than ``most_cells`` cells is an error rather than a flood.
+    Grids have levels, with cells twice as wide from one to the next. A box belongs to
+    the level whose cells are its size at least, so it covers four cells at most there
+    and on any higher level. A pair meets on the higher of its two levels, and counts in
+    the first cell that both cover: the join is a hash join without duplicates, and a
+    wide box costs no more than a narrow one. Columns of ``b`` get the prefix b_. Boxes
+    with null, infinite or reversed sides overlap with nothing.
     """
 
-    def cells(df: DataFrame, p: str) -> DataFrame:
-        lo = lambda c: F.floor(F.col(f"{p}min{c}") / cell).cast("long")
-        hi = lambda c: F.floor(F.col(f"{p}max{c}") / cell).cast("long")
-        sound = df.where((F.col(f"{p}minLat") <= F.col(f"{p}maxLat")) & (F.col(f"{p}minLon") <= F.col(f"{p}maxLon")))
-        n = (hi("Lat") - lo("Lat") + 1) * (hi("Lon") - lo("Lon") + 1)
-        checked = sound.withColumn("__lat", F.when(n <= most_cells, F.sequence(lo("Lat"), hi("Lat"))).otherwise(F.raise_error(F.lit("a box covers too many cells"))))
-        return checked.withColumn("cy", F.explode("__lat")).withColumn("cx", F.explode(F.sequence(lo("Lon"), hi("Lon")))).drop("__lat")
+    def levelled(df: DataFrame, p: str) -> DataFrame:
+        lo_y, hi_y, lo_x, hi_x = (F.col(f"{p}{c}") for c in ("minLat", "maxLat", "minLon", "maxLon"))
+        wide = F.greatest(hi_y - lo_y, hi_x - lo_x)
+        sound = df.where((lo_y <= hi_y) & (lo_x <= hi_x) & (F.abs(lo_y) < 1e300) & (F.abs(hi_y) < 1e300) & (F.abs(lo_x) < 1e300) & (F.abs(hi_x) < 1e300))
+        return sound.withColumn(f"{p}__own", F.when(wide > cell, F.ceil(F.log2(wide / cell))).otherwise(0).cast("int"))
 
-    right = b.select(*[F.col(c).alias(f"b_{c}") for c in b.columns])
-    met = cells(a, "").join(cells(right, "b_"), ["cy", "cx"])
+    def cells(df: DataFrame, p: str, top: int) -> DataFrame:
+        size = F.lit(2.0) ** F.col("__level") * cell
+        span = lambda c: F.explode(F.sequence(F.floor(F.col(f"{p}min{c}") / size), F.floor(F.col(f"{p}max{c}") / size)))
+        return df.withColumn("__level", F.explode(F.sequence(F.col(f"{p}__own"), F.lit(top)))).withColumn("cy", span("Lat")).withColumn("cx", span("Lon"))
+
+    left, right = levelled(a, ""), levelled(b.select(*[F.col(c).alias(f"b_{c}") for c in b.columns]), "b_")
+    top = max(left.agg(F.max("__own")).first()[0] or 0, right.agg(F.max("b___own")).first()[0] or 0)
+    met = cells(left, "", top).join(cells(right, "b_", top), ["__level", "cy", "cx"])
     over = (F.col("maxLat") >= F.col("b_minLat")) & (F.col("b_maxLat") >= F.col("minLat")) & (F.col("maxLon") >= F.col("b_minLon")) & (F.col("b_maxLon") >= F.col("minLon"))
-    first = (F.col("cy") == F.floor(F.greatest("minLat", "b_minLat") / cell)) & (F.col("cx") == F.floor(F.greatest("minLon", "b_minLon") / cell))
-    return met.where(over & first).drop("cy", "cx")
+    size = F.lit(2.0) ** F.col("__level") * cell
+    first = (F.col("cy") == F.floor(F.greatest("minLat", "b_minLat") / size)) & (F.col("cx") == F.floor(F.greatest("minLon", "b_minLon") / size))
+    here = F.col("__level") == F.greatest("__own", "b___own")
+    return met.where(here & over & first).drop("cy", "cx", "__level", "__own", "b___own")
 
 
 def grid_coords(pix: Column, width: int, x0: float, y0: float, dx: float, dy: float) -> tuple[Column, Column]:

@@ -2,12 +2,33 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 AOI = "x INT, index INT, unique_id STRING, minLat DOUBLE, maxLat DOUBLE, minLon DOUBLE, maxLon DOUBLE, Set STRING, Treatment STRING"
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local session may do without."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        folder = tempfile.mkdtemp(prefix="terrane-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
+
+
+def materialised(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the shared folder: computed once, whatever reads it, and free of lineage."""
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def as_df(spark: SparkSession, x: DataFrame | str, schema: str | None = None) -> DataFrame:
     """A DataFrame as it is, or a path of Parquet or CSV."""
     if isinstance(x, DataFrame):
@@ -58,10 +79,10 @@ def read_metadata(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def manifest(spark: SparkSession, folder: str, suffix: str = "*") -> DataFrame:
-    """File names below a folder, without their content."""
+def manifest(spark: SparkSession, folder: str, suffix: str = "*", part: str = "") -> DataFrame:
+    """File names below a folder, of a pattern and with ``part`` in them, without their content."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", suffix).option("recursiveFileLookup", True).load(folder)
-    return files.select(F.col("_metadata.file_name").alias("file_name"), "length")
+    return files.select(F.col("_metadata.file_name").alias("file_name"), "length").where(F.contains("file_name", F.lit(part)))
 
 
 def write_csv(df: DataFrame, path: str, null: str = "NaN") -> None:

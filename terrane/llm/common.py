@@ -2,32 +2,49 @@
 
 from __future__ import annotations
 
-import tempfile
+import contextlib
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..sources.io import shared_folder
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where it is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="terrane-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
+#: Folders of the workspaces that are open, oldest first.
+OPEN: list[str] = []
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Removes a folder wherever Spark can reach it."""
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Deletes the workspaces that are opened within, at the end: for steps whose result is written elsewhere by then."""
+    n = len(OPEN)
+    try:
+        yield
+    finally:
+        while len(OPEN) > n:
+            delete(spark, OPEN.pop())
 
 
 class Workspace:
     """Tables that cut lineage: each is written once to the shared folder and read from there.
 
     A lost executor costs the tasks it ran; what a finished table holds stays readable.
+    Results read from these tables, so they stay until ``scratch`` ends or the folder
+    is emptied.
     """
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+        OPEN.append(self.root)
         self._n = 0
 
     def path(self, name: str) -> str:
@@ -45,7 +62,8 @@ def salted_row_number(df: DataFrame, keys: list[str], order: list[Column], sprea
 
     A key may hold most of all rows: its rows are ranked within ``buckets`` hash
     buckets, and the ranks are shifted by the sizes of the buckets before. Only the
-    sizes (keys x buckets rows) meet in one place. ``spread`` is a 64-bit hash.
+    sizes (keys x buckets rows) meet in one place. ``spread`` is a 64-bit hash. ``df``
+    must not have columns named __bucket, __base, __size, __b2 or __ and a key.
     """
     b, base, size = "__bucket", "__base", "__size"
     dealt = df.withColumn(b, F.pmod(spread, F.lit(buckets)).cast("int"))

@@ -62,8 +62,9 @@ def mix(docs: DataFrame, weights: dict[str, float], period: int = 100, block: in
     digest of doc_id. Sources without a weight, null among them, share what the
     weights leave open; if that is nothing, they follow all others, in their order.
     Rows that repeat an id keep a place each; null ids come in the order of one key.
-    Columns of ``docs`` that have these names are replaced. Small tables only are
-    broadcast: the schedule, of ``period`` rows.
+    Columns of ``docs`` that have these names are replaced; other columns may have any
+    names. Null and empty texts count as rows. An empty table gives an empty one. Small
+    tables only are broadcast: the schedule, of ``period`` rows.
     """
     shares = whole_shares(weights, period)
     rest = shares[OTHER] == 0
@@ -72,21 +73,22 @@ def mix(docs: DataFrame, weights: dict[str, float], period: int = 100, block: in
     src = F.col("source").cast("string") if source is None else source
     cls = F.coalesce(F.when(src.isin(list(weights)), src), F.lit(OTHER))
     digest = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    rows = docs.drop(*names).withColumns({"__cls": cls, "__key": digest})
-    spread = F.conv(F.substring("__key", 1, 2), 16, 10).cast("long")
-    ranked = salted_row_number(rows, ["__cls"], [F.col("__key"), F.col("doc_id")], spread, "__rank")
-    form = "array<struct<__cls: string, __in: long, __slot: long, __release: long, __deadline: long>>"
-    data = json.dumps([dict(zip(("__cls", "__in", "__slot", "__release", "__deadline"), p)) for p in plan])
+    own = [c for c in docs.columns if c not in names]
+    rows = docs.select(F.struct(*[F.col(c) for c in own]).alias("row"), F.col("doc_id").alias("id"), cls.alias("cls"), digest.alias("key"))
+    spread = F.conv(F.substring("key", 1, 2), 16, 10).cast("long")
+    ranked = salted_row_number(rows, ["cls"], [F.col("key"), F.col("id")], spread, "rank")
+    form = "array<struct<cls: string, turn: long, slot: long, release: long, deadline: long>>"
+    data = json.dumps([dict(zip(("cls", "turn", "slot", "release", "deadline"), p)) for p in plan])
     slots = docs.sparkSession.range(1).select(F.inline(F.from_json(F.lit(data), form)))
     per = F.create_map(*[F.lit(x) for s, n in shares.items() for x in (s, max(n, 1))])
-    ranked = ranked.withColumns({"mix_block": F.floor(F.col("__rank") / block).cast("long"), "__per": per[F.col("__cls")].cast("long")})
-    ranked = ranked.withColumns({"__round": F.floor(F.col("mix_block") / F.col("__per")).cast("long"), "__in": F.col("mix_block") % F.col("__per")})
-    placed = ranked.join(F.broadcast(slots), ["__cls", "__in"], "left")
-    start = F.col("__round") * period
+    ranked = ranked.withColumns({"mix_block": F.floor(F.col("rank") / block).cast("long"), "per": per[F.col("cls")].cast("long")})
+    ranked = ranked.withColumns({"round": F.floor(F.col("mix_block") / F.col("per")).cast("long"), "turn": F.col("mix_block") % F.col("per")})
+    placed = ranked.join(F.broadcast(slots), ["cls", "turn"], "left")
+    start = F.col("round") * period
     late = F.lit(1 << 60) + F.col("mix_block") if rest else F.lit(None).cast("long")
     placed = placed.withColumns({
-        "mix_release": start + F.col("__release"),
-        "mix_deadline": start + F.col("__deadline"),
-        "mix_slot": F.coalesce(start + F.col("__slot"), late),
-    }).withColumn("mix_position", F.when(F.col("__slot").isNull(), F.lit(1 << 60) + F.col("__rank")).otherwise(F.col("mix_slot") * block + F.col("__rank") % block))
-    return placed.select(*[c for c in docs.columns if c not in names], *names)
+        "mix_release": start + F.col("release"),
+        "mix_deadline": start + F.col("deadline"),
+        "mix_slot": F.coalesce(start + F.col("slot"), late),
+    }).withColumn("mix_position", F.when(F.col("slot").isNull(), F.lit(1 << 60) + F.col("rank")).otherwise(F.col("mix_slot") * block + F.col("rank") % block))
+    return placed.select("row.*", *names)

@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from terrane.llm.common import Workspace, connected_components, salted_row_number
+from terrane.llm.common import Workspace, connected_components, salted_row_number, scratch
 
 
 def roots(edges):
@@ -41,3 +41,13 @@ def test_salted_row_number(spark):
     out = salted_row_number(df, ["g"], [F.col("v")], F.xxhash64("v"), "rank", 16).collect()
     for g in {r[0] for r in rows}:
         assert sorted(r.rank for r in out if r.g == g) == list(range(sum(1 for x in rows if x[0] == g)))
+
+
+def test_scratch_is_deleted(spark):
+    import os
+
+    keep = Workspace(spark, "keep")
+    with scratch(spark):
+        gone = Workspace(spark, "gone")
+        kept = keep.save(gone.save(spark.range(5), "x"), "y")
+    assert kept.count() == 5 and not os.path.exists(gone.root.removeprefix("file://")) and os.path.exists(keep.root.removeprefix("file://"))

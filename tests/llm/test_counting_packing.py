@@ -165,7 +165,7 @@ def test_schedule_deviates_by_less_than_a_block():
 
 
 def test_mixing_keeps_rows_and_columns(spark):
-    df = data.docs(spark).withColumnRenamed("rank", "mix_slot")
+    df = data.docs(spark).withColumnRenamed("rank", "mix_slot").selectExpr("*", "1 AS __cls", "2 AS __key", "3 AS __bucket", "4 AS cls", "5 AS row", "6 AS slot")
     out = mixing.mix(df, {"src0": 0.6, "src1": 0.3}, period=10, block=2)
     assert out.count() == df.count() and out.columns[: len(df.columns) - 1] == [c for c in df.columns if c != "mix_slot"]
     got = out.collect()

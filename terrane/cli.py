@@ -5,8 +5,9 @@ from __future__ import annotations
 import argparse
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
-from .operators import model, rows, splits, workflows
+from .operators import features, model, rows, splits, workflows
 from .sources import io
 
 VERSION = "0.1.0"
@@ -23,6 +24,10 @@ VERBS: dict[str, list[tuple[str, type, object]]] = {
     "mask": [("obs", str, None), ("kind", str, "udm2"), ("out", str, None)],
     "pixel_calcs": [("obs", str, None), ("variables", str, None), ("min_obs", int, 4), ("out", str, None)],
     "bootstrap": [("pixels", str, None), ("labels", str, None), ("variables", str, None), ("reps", int, 5), ("share", float, 0.2), ("seed", int, 8), ("out", str, None)],
+    "series": [("obs", str, None), ("events", str, None), ("measure", str, None), ("out", str, None)],
+    "field_table": [("pixels", str, None), ("out", str, None)],
+    "accuracy": [("pixels", str, None), ("labels", str, None), ("variables", str, None), ("seed", int, 8), ("out", str, None)],
+    "select_variables": [("pixels", str, None), ("labels", str, None), ("variables", str, None), ("add", str, ""), ("remove", str, ""), ("reps", int, 5), ("out", str, None)],
     "loocv": [("pixels", str, None), ("labels", str, None), ("variables", str, None), ("seed", int, 8), ("out", str, None)],
 }
 
@@ -46,8 +51,6 @@ def run(spark: SparkSession, a: argparse.Namespace) -> None:
     elif a.verb == "clip_to_poly":
         save(workflows.clip_to_poly(load(a.obs), a.wkt))
     elif a.verb == "split_file":
-        from pyspark.sql import functions as F
-
         io.write_chunks(load(a.table), [F.col(a.key)], a.nrows, a.out)
     elif a.verb == "rm_blanks":
         save(workflows.rm_blanks(load(a.obs)))
@@ -61,6 +64,12 @@ def run(spark: SparkSession, a: argparse.Namespace) -> None:
         io.write_csv(shares, a.out + "_percent_masked", ".")
     elif a.verb == "pixel_calcs":
         save(workflows.pixel_calcs(load(a.obs), names(), min_obs=a.min_obs))
+    elif a.verb == "series":
+        long = workflows.series_build(load(a.obs), load(a.events), a.measure)
+        save(long, "/long")
+        io.write_csv(workflows.wide_series(long).coalesce(1), a.out + "/wide")
+    elif a.verb == "field_table":
+        save(features.field_table(load(a.pixels), F.col("border") == 1, F.col("FieldSize")))
     else:
         wanted = names()
         px = workflows.labelled(load(a.pixels), load(a.labels), wanted)
@@ -70,6 +79,16 @@ def run(spark: SparkSession, a: argparse.Namespace) -> None:
             save(held, "/holdout")
             save(scores, "/accuracy")
             save(whole, "/all")
+        elif a.verb == "accuracy":
+            train = px.where("label IS NOT NULL")
+            parted = splits.test_share(train.withColumn("__n", F.xxhash64("pixel_id")), "__n", 0.01, a.seed)
+            save(model.quick_accuracy(parted.where("NOT test"), parted.where("test"), wanted, "__n", seed=a.seed), "/quick")
+            save(model.fold_accuracy(parted.drop("test"), wanted, "__n", 3, seed=a.seed), "/folds")
+        elif a.verb == "select_variables":
+            listed = lambda path: [r.value for r in io.read_list(spark, path).collect()] if path else []
+            px = workflows.labelled(load(a.pixels), load(a.labels), [*wanted, *listed(a.add)])
+            chosen, _ = model.select_by_lists(wanted, lambda v: workflows.mean_accuracy(px, v, a.reps), add=listed(a.add), remove=listed(a.remove))
+            io.write_lines(spark.createDataFrame([(v,) for v in chosen], "variable string"), a.out)
         else:
             train = px.where("label IS NOT NULL")
             fields = [r[0] for r in splits.holdout_fields(train, "field_id", 1.0, a.seed).collect()]

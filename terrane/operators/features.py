@@ -137,3 +137,41 @@ def field_rollup(pixels: DataFrame, features: list[str], border: Column, field:
             c = F.when(flag, F.col(f).cast("double"))
             aggs += [F.round(ROLLUP[s](c), digits).alias(f"{side}_{f}_{s}") for s in stats]
     return flagged.groupBy(field).agg(*aggs).where("b_pixels > 0 AND i_pixels > 0")
+
+
+#: Statistics of the field table: (name, feature, statistic). Border pixels: changes and means.
+DROPS = {"nir": "nirDrop1", "bsi": "bareSoilDrop1", "ndvi": "ndviDrop2", "sr": "srDrop1"}
+SPIKES = {"red": "redSpike0", "blue": "blueSpike0"}
+PLAIN = {"blue": "blue", "green": "green", "red": "red", "nir": "nir", "sr": "sr", "ndvi": "ndvi", "bsi": "bareSoil"}
+
+
+def border_stats() -> list[tuple[str, str, str]]:
+    out = [(f"b_{m}_drop_{s}", f, s) for m, f in DROPS.items() for s in ("avg", "10", "25")]
+    out += [(f"b_red_spike_{s}", SPIKES["red"], s) for s in ("avg", "90", "75")] + [("b_blue_spike_avg", SPIKES["blue"], "avg")]
+    return out + [(f"b_{m}_{name}", PLAIN[m] + "Avg", s) for name, s in (("avg", "avg"), ("stdv", "std")) for m in ("blue", "red", "nir", "ndvi", "bsi", "sr")]
+
+
+def interior_stats() -> list[tuple[str, str, str]]:
+    named = lambda s: "stdv" if s == "std" else s
+    out = [(f"i_{m}_drop_{named(s)}", f, s) for m, f in DROPS.items() for s in ("avg", "med", "min", "std", "10", "25")]
+    out += [(f"i_{m}_spike_{named(s)}", f, s) for m, f in SPIKES.items() for s in ("avg", "med", "max", "std", "90", "75")]
+    # the middle of the pixels' extremes, the mean of their means and deviations
+    return out + [(f"i_{m}_{name}", f + stat, s) for m, f in PLAIN.items() for name, stat, s in (("avg", "Avg", "avg"), ("max", "Max", "med"), ("min", "Min", "med"), ("stdv", "Stdv", "avg"))]
+
+
+def field_features() -> list[str]:
+    """The pixel features that the field table is made of."""
+    return list(dict.fromkeys(f for _, f, _ in [*border_stats(), *interior_stats()]))
+
+
+def field_table(pixels: DataFrame, border: Column, size: Column, field: str = "field_id", digits: int | None = 4) -> DataFrame:
+    """field, imgcount_avg, FieldSize, b_Pixcount, 28 border and 64 interior statistics; fields that lack either kind of pixel are dropped.
+
+    One pass: a condition selects the pixels, and percentiles of a feature share their buffer.
+    """
+    flagged = pixels.withColumns({"__border": border, "__size": size})
+    cut = lambda c: c if digits is None else F.round(c, digits)
+    aggs = [cut(F.avg("imgCount")).alias("imgcount_avg"), cut(F.avg("__size")).alias("FieldSize"), F.count_if("__border").alias("b_Pixcount"), F.count_if(~F.col("__border")).alias("__inner")]
+    for stats, flag in ((border_stats(), F.col("__border")), (interior_stats(), ~F.col("__border"))):
+        aggs += [cut(ROLLUP[s](F.when(flag, F.col(f).cast("double")))).alias(name) for name, f, s in stats]
+    return flagged.groupBy(field).agg(*aggs).where("b_Pixcount > 0 AND __inner > 0").drop("__inner")

@@ -2,32 +2,49 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from functools import reduce
+from multiprocessing.pool import ThreadPool
 
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.feature import PCA, StandardScaler
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.io import shared_folder
+from . import splits
 from .evaluate import confusion
+from .rows import hash_rank
+
+#: Fits that run side by side; each is a distributed job of its own.
+AT_ONCE = 4
 
 
 def assemble(df: DataFrame, features: list[str]) -> DataFrame:
-    """Rows with all features, as a vector."""
-    return VectorAssembler(inputCols=features, outputCol="features", handleInvalid="skip").transform(df)
+    """Rows with all features, as a vector. One condition on an array: a condition for each of a hundred columns would stall the optimizer."""
+    whole = df.withColumn("__values", F.array(*[F.col(c).cast("double") for c in features])).where(F.forall("__values", lambda x: x.isNotNull() & ~F.isnan(x)))
+    return whole.withColumn("features", array_to_vector("__values")).drop("__values")
 
 
-def fit_forest(train: DataFrame, features: list[str], label: str = "label", trees: int = 100, depth: int = 12, seed: int = 8):
+def fit_vectors(rows: DataFrame, label: str = "label", trees: int = 100, depth: int = 12, seed: int = 8, weight: str | None = None):
     rf = RandomForestClassifier(featuresCol="features", labelCol=label, numTrees=trees, maxDepth=depth, featureSubsetStrategy="sqrt", seed=seed)
-    return rf.fit(assemble(train, features))
+    return (rf.setWeightCol(weight) if weight else rf).fit(rows)
+
+
+def fit_forest(train: DataFrame, features: list[str], label: str = "label", trees: int = 100, depth: int = 12, seed: int = 8):
+    return fit_vectors(assemble(train, features), label, trees, depth, seed)
+
+
+def score_vectors(model, rows: DataFrame, out: str = "pred") -> DataFrame:
+    return model.transform(rows).withColumn(out, vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction")
 
 
 def score(model, df: DataFrame, features: list[str], out: str = "pred") -> DataFrame:
-    scored = model.transform(assemble(df, features))
-    return scored.withColumn(out, vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction")
+    return score_vectors(model, assemble(df, features), out)
 
 
 def importances(model, features: list[str]) -> list[tuple[str, float]]:
@@ -38,25 +55,88 @@ def roc_auc(scored: DataFrame, pred: str = "pred", label: str = "label") -> floa
     return BinaryClassificationEvaluator(rawPredictionCol=pred, labelCol=label).evaluate(scored.withColumn(pred, F.col(pred).cast("double")))
 
 
-def cross_validate(df: DataFrame, features: list[str], fold: str, k: int, label: str = "label", trees: int = 20, depth: int = 8, seed: int = 8) -> DataFrame:
-    """All rows with the prediction of the model that did not see their fold (null fold: none)."""
-    out = None
-    for i in range(k):
-        held = df.where(F.col(fold) == i)
-        model = fit_forest(df.where((F.col(fold) != i) & F.col(fold).isNotNull()), features, label, trees, depth, seed + i)
-        part = score(model, held, features)
-        out = part if out is None else out.unionByName(part)
-    return out
+def cross_validate(df: DataFrame, features: list[str], fold: str, k: int, label: str = "label", trees: int = 100, depth: int = 8, seed: int = 8) -> DataFrame:
+    """All rows with the prediction of the model that did not see their fold (null fold: none). Vectors are made once and cached."""
+    rows = assemble(df.where(F.col(fold).isNotNull()), features).persist()
+
+    def part(i: int) -> DataFrame:
+        model = fit_vectors(rows.where(F.col(fold) != i), label, trees, depth, seed + i)
+        return score_vectors(model, rows.where(F.col(fold) == i))
+
+    with ThreadPool(min(k, AT_ONCE)) as pool:
+        return reduce(lambda a, b: a.unionByName(b), pool.map(part, range(k)))
+
+
+def leave_one_out(df: DataFrame, features: list[str], field: str, fields: list, label: str = "label", trees: int = 100, depth: int = 6, seed: int = 8) -> DataFrame:
+    """As ``cross_validate``, with each of the given fields held out once.
+
+    One fit for each field is what the method asks for; they share the cached vectors,
+    run some at a time, and each writes its scores, so the result's plan does not grow
+    with the number of fields.
+    """
+    rows = assemble(df, features).persist()
+    folder = f"{shared_folder(df.sparkSession).rstrip('/')}/loocv-{uuid.uuid4().hex}"
+
+    def part(job: tuple[int, object]) -> str:
+        n, f = job
+        model = fit_vectors(rows.where(F.col(field) != f), label, trees, depth, seed)
+        scored = score_vectors(model, rows.where(F.col(field) == f))
+        scored.write.parquet(f"{folder}/held={n}")
+        return scored.schema.json()
+
+    with ThreadPool(AT_ONCE) as pool:
+        pool.map(part, list(enumerate(fields)))
+    rows.unpersist()
+    return df.sparkSession.read.parquet(folder).drop("held")
+
 
+def out_of_bag(df: DataFrame, features: list[str], key: str, bags: int = 10, label: str = "label", trees: int = 100, depth: int = 12, seed: int = 8) -> DataFrame:
+    """key, label, pred: the mean prediction of the trees that did not see a row.
 
-def leave_one_out(df: DataFrame, features: list[str], field: str, fields: list, label: str = "label", trees: int = 10, depth: int = 6, seed: int = 8) -> DataFrame:
-    """As ``cross_validate``, with each of the given fields held out once."""
-    out = None
-    for f in fields:
-        model = fit_forest(df.where(F.col(field) != f), features, label, trees, depth, seed)
-        part = score(model, df.where(F.col(field) == f), features)
-        out = part if out is None else out.unionByName(part)
-    return out
+    The forest is grown in ``bags`` parts. A row's weight in a part is a Poisson number
+    with mean one, from the hash of its key (the bootstrap of large tables), and rows of
+    weight zero, about a third, are scored by it.
+    """
+    rows = assemble(df, features).persist()
+    steps = [0.367879441, 0.735758882, 0.919698603, 0.981011843, 0.996340153, 0.999405815]  # Poisson(1), cumulative
+
+    def part(b: int) -> DataFrame:
+        u = hash_rank(F.col(key), 1000 * seed + b) / 2.0**32
+        weight = reduce(lambda c, k: F.when(u < steps[k], float(k)).otherwise(c), range(len(steps) - 1, -1, -1), F.lit(float(len(steps))))
+        weighed = rows.withColumn("weight", weight)
+        model = fit_vectors(weighed.where("weight > 0"), label, max(1, trees // bags), depth, seed + b, "weight")
+        return score_vectors(model, weighed.where("weight = 0")).select(key, label, "pred")
+
+    with ThreadPool(AT_ONCE) as pool:
+        parts = pool.map(part, range(bags))
+    return reduce(lambda a, b: a.unionByName(b), parts).groupBy(key, label).agg(F.avg("pred").alias("pred"))
+
+
+def quick_accuracy(train: DataFrame, test: DataFrame, features: list[str], key: str, label: str = "label", trees: int = 100, depth: int = 12, seed: int = 8) -> DataFrame:
+    """kind (test, out of bag), the confusion counts and OA: of a forest on rows that it did not see, and of its bags."""
+    tested = confusion(score(fit_forest(train, features, label, trees, depth, seed), test, features), "pred", label)
+    bagged = confusion(out_of_bag(train, features, key, label=label, trees=trees, depth=depth, seed=seed), "pred", label)
+    return tested.withColumn("kind", F.lit("test")).unionByName(bagged.withColumn("kind", F.lit("out of bag")))
+
+
+def fold_accuracy(df: DataFrame, features: list[str], key: str, k: int = 3, label: str = "label", trees: int = 100, depth: int = 12, seed: int = 8) -> DataFrame:
+    """HO and the confusion counts with OA of each of k folds of rows, stratified by label."""
+    folds = splits.folds_stratified(df, key, label, k, seed)
+    return confusion(cross_validate(folds, features, "HO", k, label, trees, depth, seed), "pred", label, by=["HO"])
+
+
+def single_pixel_forests(df: DataFrame, features: list[str], field: str, key: str, reps: int, share: float = 0.1, label: str = "label", trees: int = 100, depth: int = 12, seed: int = 8) -> tuple[DataFrame, list[list[tuple[str, float]]]]:
+    """(confusion counts and OA by rep, importances by rep) of forests that see one pixel of each field, another one each time."""
+    rows = assemble(df, features).persist()
+
+    def part(i: int) -> tuple[DataFrame, list[tuple[str, float]]]:
+        drawn = splits.test_share(splits.one_per_group(rows, field, key, seed + i), key, share, seed + i)
+        model = fit_vectors(drawn.where("NOT test"), label, trees, depth, seed + i)
+        return confusion(score_vectors(model, drawn.where("test")), "pred", label).withColumn("rep", F.lit(i)), importances(model, features)
+
+    with ThreadPool(min(reps, AT_ONCE)) as pool:
+        parts = pool.map(part, range(reps))
+    return reduce(lambda a, b: a.unionByName(b), [s for s, _ in parts]), [m for _, m in parts]
 
 
 def accuracy(scored: DataFrame, label: str = "label") -> float:
@@ -66,12 +146,14 @@ def accuracy(scored: DataFrame, label: str = "label") -> float:
 def select_features(df: DataFrame, pool: list[str], rate: Callable[[list[str]], float], start: list[str] | None = None, most: int = 30) -> tuple[list[str], float]:
     """Forward selection with removal: add the best variable while the rating grows, then drop those it does not need."""
     chosen, best = list(start or []), rate(start) if start else 0.0
-    while len(chosen) < most:
-        tried = [(rate([*chosen, f]), f) for f in pool if f not in chosen]
-        if not tried or max(tried)[0] < best or (chosen and max(tried)[0] == best):
-            break
-        best, f = max(tried)
-        chosen.append(f)
+    with ThreadPool(AT_ONCE) as side:
+        while len(chosen) < most:
+            left = [f for f in pool if f not in chosen]
+            tried = list(zip(side.map(lambda f: rate([*chosen, f]), left), left))  # noqa: B023
+            if not tried or max(tried)[0] < best or (chosen and max(tried)[0] == best):
+                break
+            best, f = max(tried)
+            chosen.append(f)
     for f in list(chosen):
         rest = [g for g in chosen if g != f]
         if rest and (r := rate(rest)) >= best:
@@ -79,6 +161,25 @@ def select_features(df: DataFrame, pool: list[str], rate: Callable[[list[str]],
     return chosen, best
 
 
+def select_by_lists(base: list[str], rate: Callable[[list[str]], float], switch: list[list[str]] | None = None, add: list[str] | None = None, remove: list[str] | None = None) -> tuple[list[str], float]:
+    """Variables and their rating after three steps: of each group in ``switch`` only the best form stays, variables of ``add``
+    join and variables of ``remove`` leave where the rating does not fall."""
+    chosen = list(base)
+    best = rate(chosen)
+    for forms in switch or []:
+        rest = [v for v in chosen if v not in forms]
+        best, form = max(((rate([*rest, v]), v) for v in forms), key=lambda x: x[0])
+        chosen = [*rest, form]
+    for v in add or []:
+        if v not in chosen and (r := rate([*chosen, v])) >= best:
+            chosen, best = [*chosen, v], r
+    for v in remove or []:
+        rest = [c for c in chosen if c != v]
+        if v in chosen and rest and (r := rate(rest)) >= best:
+            chosen, best = rest, r
+    return chosen, best
+
+
 def principal_components(df: DataFrame, features: list[str], k: int) -> DataFrame:
     """Adds pc: the scores of the first k components of centred and scaled features."""
     rows = assemble(df, features)

@@ -8,9 +8,9 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import masks
+from ..functions import indices, masks
 from ..sources.adapters import BANDS
-from . import evaluate, features, model, rows, spatial, splits
+from . import evaluate, features, model, rows, series, spatial, splits
 
 
 def ring_of(wkt: str) -> list[tuple[float, float]]:
@@ -54,18 +54,55 @@ def mask_images(obs: DataFrame, kind: str, image: str = "image_id") -> tuple[Dat
 
 
 def compare_clouds(quality: DataFrame, meta: DataFrame | None = None, image: str = "image_id") -> DataFrame:
-    """Shares of an image that the masks of both generations hide, beside the share that its metadata states.
+    """Six estimates of an image's clouds side by side, in percent of the pixels that hold data.
 
-    quality: image, udm (1 fill, over 1 unusable) and b1, b3, b6, b8.
+    quality: image, udm (of the older mask file: 0 clear, 1 fill, above unusable) and b1
+    (1 clear), b3, b6, b8 (as udm) of the newer one; a mask that is null all over, as its
+    file is missing, gives null. meta: image and clouds_meta, the share in the metadata.
     """
     n, c = F.count_if, F.col
-    share = lambda hidden, valid: F.round(F.coalesce(F.try_divide(100.0 * n(hidden & valid), n(valid)), F.lit(100.0)), 6)
-    valid = c("udm") != 1
+
+    def share(hidden, fill):
+        valid = n(fill != 1)
+        return F.round(F.when(F.count(fill) > 0, F.coalesce(F.try_divide(100.0 * hidden, valid), F.lit(100.0))), 6)
+
+    hidden = (c("b6") + c("b3")) != 0
     out = quality.groupBy(image).agg(
-        share(c("udm") > 1, valid).alias("percent_notclear_udm"), share(masks.not_clear(c("b1")), valid).alias("percent_notclear_udm2"),
-        share(masks.cloud_shadow(c("b3"), c("b6")), valid).alias("percent_cs_udm2"), share(masks.cloud_shadow(c("b3"), c("b6")) | (c("b8") > 1), valid).alias("percent_csorig_udm2"),
+        share(n(c("udm") > 1), c("udm")).alias("percent_notclear_udm_1"), share(n(c("b8") > 1), c("b8")).alias("percent_notclear_udm_2"),
+        share(n(c("b8") != 1) - n(c("b1") != 0), c("b8")).alias("percent_notclear_udm2"),
+        share(n(hidden), c("b8")).alias("percent_cs_udm2"), share(n(hidden | (c("b8") > 1)), c("b8")).alias("percent_csorig_udm2"),
     )
-    return rows.outer_reduce([out, meta], image) if meta is not None else out
+    return rows.outer_reduce([meta, out], image) if meta is not None else out
+
+
+def raster_summary(obs: DataFrame, image: str, x: str, y: str, value: str) -> DataFrame:
+    """Size, extent, holes and values of each image of a table of cells."""
+    c = F.col(value)
+    return obs.groupBy(image).agg(
+        F.count(F.lit(1)).alias("cells"), F.countDistinct(y).alias("height"), F.countDistinct(x).alias("width"), F.min(x).alias("minX"), F.max(x).alias("maxX"), F.min(y).alias("minY"), F.max(y).alias("maxY"),
+        F.count_if(c.isNull()).alias("nodata"), F.min(c).alias("low"), F.max(c).alias("high"), F.round(F.avg(c), 6).alias("mean"),
+    )
+
+
+def image_fields(files: DataFrame, fields: DataFrame, name: str = "file_name", key: str = "unique_id") -> DataFrame:
+    """The files whose name starts with a field's id, with the field's columns and the date of the image."""
+    parts = rows.file_parts(F.col(name))
+    parsed = files.select(F.col(name), parts["field_id"].alias("__id"), parts["obs_date"].alias("obs_date"))
+    return parsed.join(fields, F.col("__id") == F.col(key).cast("string")).drop("__id")
+
+
+def series_build(obs: DataFrame, events: DataFrame, measure: str, field: str = "field_id", date: str = "obs_date") -> DataFrame:
+    """field, rel_day, value: the daily mean of a measure, aligned to each field's event, over 50 days or more to either side."""
+    if measure not in features.MEASURES:
+        raise ValueError(f"{measure} is none of {sorted(features.MEASURES)}")
+    # the days of the calendar between observations have no value and come back with the spine
+    daily = series.daily_mean(obs.select(field, date, indices.measure(measure).alias("v")), field, date, "v", calendar=False)
+    return series.spine(series.align(daily, events, field, date), field=field, extend=True)
+
+
+def wide_series(long: DataFrame, field: str = "field_id", prefix: str = "AVG_") -> DataFrame:
+    """A column for each field, a row for each day, in order: the form of the series files."""
+    return long.withColumn("__name", F.concat(F.lit(prefix), F.col(field).cast("string"))).groupBy("rel_day").pivot("__name").agg(F.first("value")).orderBy("rel_day")
 
 
 def pixel_calcs(obs: DataFrame, wanted: list[str], field: str = "field_id", pix: str = "pix", order: tuple[str, ...] = ("obs_date", "image_id"), min_obs: int = 4) -> DataFrame:
@@ -95,3 +132,8 @@ def bootstrap(pixels: DataFrame, names: list[str], reps: int, share: float = 0.2
     union = lambda many: reduce(lambda x, y: x.unionByName(y), many)
     whole = union(everything).groupBy(key, field).agg(F.avg("pred").alias("meanPred")) if fit else None
     return union(held_out), union(scores), whole
+
+
+def mean_accuracy(pixels: DataFrame, names: list[str], reps: int, **options) -> float:
+    """Mean overall accuracy over repeated hold-outs."""
+    return bootstrap(pixels, names, reps, **options)[1].agg(F.avg("OA")).first()[0] or 0.0

@@ -19,21 +19,27 @@ def confusion_by_field(spark, d):
     return evaluate.confusion(preds(spark, d), by=["field_id"])
 
 
-SWEEP_SRC = f"{PREDS}, f AS (SELECT field_id, round(avg(pred), 4) AS mean, round(median(pred), 4) AS p50, CAST(avg(label) > 0.5 AS INTEGER) AS label FROM preds GROUP BY 1), t AS (SELECT CAST(k AS INTEGER) AS k FROM generate_series(1, 99) s(k)), l AS (SELECT 'mean' AS measure, mean AS v, label FROM f UNION ALL SELECT 'p50', p50, label FROM f), sweep AS (SELECT measure, round(k / 100, 2) AS threshold, round(avg(CASE WHEN (v > round(k / 100, 2)) = (label = 1) THEN 1 ELSE 0 END), 6) AS fit FROM l, t WHERE v IS NOT NULL GROUP BY measure, k)"
+MEASURES = {"mean": "avg(pred)", "p10": "quantile_cont(pred, 0.1)", "p25": "quantile_cont(pred, 0.25)", "p50": "median(pred)", "p75": "quantile_cont(pred, 0.75)", "p90": "quantile_cont(pred, 0.9)"}
+FIELD_SCORES = f"{PREDS}, f AS (SELECT field_id, {', '.join(f'round({e}, 4) AS {n}' for n, e in MEASURES.items())}, CAST(avg(label) > 0.5 AS INTEGER) AS label FROM preds GROUP BY 1)"
+SWEEP_SRC = f"{FIELD_SCORES}, t AS (SELECT CAST(k AS INTEGER) AS k FROM generate_series(1, 99) s(k)), l AS ({' UNION ALL '.join(f'SELECT {chr(39)}{n}{chr(39)} AS measure, {n} AS v, label FROM f' for n in MEASURES)}), sweep AS (SELECT measure, round(k / 100, 2) AS threshold, round(avg(CASE WHEN (v > round(k / 100, 2)) = (label = 1) THEN 1 ELSE 0 END), 6) AS fit FROM l, t WHERE v IS NOT NULL GROUP BY measure, k)"
 
 
+@query(f"WITH {FIELD_SCORES} SELECT * FROM f")
 def field_scores(spark, d):
-    return preds(spark, d).groupBy("field_id").agg(F.round(F.avg("pred"), 4).alias("mean"), F.round(F.median("pred"), 4).alias("p50"), (F.avg("label") > 0.5).cast("int").alias("label"))
+    """A field's mean and five percentiles of its predictions, in one aggregation, with its label."""
+    p = F.percentile("pred", F.array(*[F.lit(x) for x in (0.1, 0.25, 0.5, 0.75, 0.9)]))
+    g = preds(spark, d).groupBy("field_id").agg(F.round(F.avg("pred"), 4).alias("mean"), p.alias("p"), (F.avg("label") > 0.5).cast("int").alias("label"))
+    return g.select("field_id", "mean", *[F.round(F.col("p")[k], 4).alias(n) for k, n in enumerate(list(MEASURES)[1:])], "label")
 
 
 @query(f"WITH {SWEEP_SRC} SELECT measure, threshold, fit FROM sweep")
 def threshold_sweep(spark, d):
-    return evaluate.threshold_sweep(field_scores(spark, d), ["mean", "p50"])
+    return evaluate.threshold_sweep(field_scores(spark, d), list(MEASURES))
 
 
 @query(f"WITH {SWEEP_SRC}, m AS (SELECT measure, max(fit) AS fit FROM sweep GROUP BY 1) SELECT measure, fit, round(quantile_cont(threshold, 0.5), 4) AS threshold FROM sweep JOIN m USING (measure, fit) GROUP BY 1, 2")
 def best_threshold(spark, d):
-    return evaluate.best_threshold(evaluate.threshold_sweep(field_scores(spark, d), ["mean", "p50"]))
+    return evaluate.best_threshold(evaluate.threshold_sweep(field_scores(spark, d), list(MEASURES)))
 
 
 @query(f"WITH {PREDS}, s AS (SELECT pred, sum(label) AS pos, sum(1 - label) AS neg FROM preds WHERE pred IS NOT NULL GROUP BY 1), c AS (SELECT *, coalesce(sum(neg) OVER (ORDER BY pred ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM s) SELECT round(CAST(sum(pos * (below + neg / 2)) AS DOUBLE) / (CAST(sum(pos) AS DOUBLE) * CAST(sum(neg) AS DOUBLE)), 6) AS auc FROM c")
@@ -41,6 +47,31 @@ def auc_rank(spark, d):
     return evaluate.auc(preds(spark, d))
 
 
+@query(f"WITH {PREDS}, s AS (SELECT pred, sum(label) AS pos, sum(1 - label) AS neg FROM preds WHERE pred IS NOT NULL GROUP BY 1) SELECT pred AS threshold, round(sum(neg) OVER w / sum(neg) OVER (), 6) AS fpr, round(sum(pos) OVER w / sum(pos) OVER (), 6) AS tpr FROM s WINDOW w AS (ORDER BY pred DESC)")
+def roc_points(spark, d):
+    return evaluate.roc_curve(preds(spark, d))
+
+
+@query(f"WITH {PREDS}, a AS (SELECT l_linenumber % 5 AS rep, count(*) FILTER ((pred >= 0.5) = (label = 1)) / count(*) AS oa FROM preds WHERE pred IS NOT NULL GROUP BY 1) SELECT round(avg(round(oa, 6)), 6) AS mean_oa, count(*) AS reps FROM a")
+def mean_oa(spark, d):
+    reps = preds(spark, d).withColumn("rep", F.col("l_linenumber") % 5)
+    return evaluate.confusion(reps, by=["rep"]).agg(F.round(F.avg("OA"), 6).alias("mean_oa"), F.count(F.lit(1)).alias("reps"))
+
+
+@query(f"SELECT doc_id, r <= ceil(round(0.01 * n, 9)) AS test FROM (SELECT doc_id, row_number() OVER (ORDER BY {H.format('doc_id', 6888)}, doc_id) AS r, count(*) OVER () AS n FROM documents)")
+def split_99_1(spark, d):
+    return splits.test_share(table(spark, d, "documents").select("doc_id"), "doc_id", 0.01, 6888)
+
+
+@query(f"WITH {LABELS} SELECT field_id, rec, fold FROM (SELECT unique_id AS field_id, label AS rec, CASE WHEN treatment IS NOT NULL THEN CAST(ntile(5) OVER (PARTITION BY treatment ORDER BY {H.format('unique_id', 8)}, unique_id) - 1 AS BIGINT) END AS fold FROM labeled) WHERE fold IS NOT NULL")
+def fields_with_fold(spark, d):
+    """Fields without a fold, as they lack a stratum, are no part of a k-fold table."""
+    y = labels(spark, d)
+    folds = splits.folds_stratified(y.select("unique_id", "treatment"), "unique_id", "treatment", 5, 8)
+    out = splits.with_fold(y.select("unique_id", "label"), folds, "unique_id")
+    return out.select(F.col("unique_id").alias("field_id"), F.col("label").alias("rec"), F.col("HO").alias("fold"))
+
+
 @query(f"SELECT doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY {H.format('doc_id', 8)}, doc_id) AS r, count(*) OVER () AS n FROM documents) WHERE r <= floor(0.2 * n)")
 def holdout_20(spark, d):
     return splits.holdout_fields(table(spark, d, "documents"), "doc_id", 0.2, 8)

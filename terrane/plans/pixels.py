@@ -79,45 +79,86 @@ for _kind in ("drop", "spike"):
         add_change(_kind, _buf)
 
 
-@query(None)
+def exact_sql(value: str, buf: int, kind: str, tries: int = 10) -> str:
+    """The search step by step: place k of the scan, the candidate c, the tries t; one row of state for each series and step."""
+    sign, off = (1, buf + 1) if kind == "drop" else (-1, buf)
+    holds = " AND ".join([f"{sign} * v[i + {k + 1}] < {sign} * m" for k in range(2, 2 + buf)]) or "TRUE"
+    return f"""WITH RECURSIVE {BAND_OBS}, a AS (SELECT field_id, pix, list({value} ORDER BY {", ".join(ORDER)}) AS v, round(avg({value}), 6) AS m, count(*) - {off} AS l FROM band_obs WHERE {value} IS NOT NULL GROUP BY 1, 2),
+b AS (SELECT *, [{sign} * (v[j + 1] - v[j]) for j in generate_series(1, l - 1)] AS d FROM a WHERE l >= 2),
+r AS (SELECT field_id, pix, v, m, l, d, list_min(d) AS c, 0 AS t, 0 AS k, FALSE AS done FROM b
+  UNION ALL SELECT field_id, pix, v, m, l, d, CASE WHEN meets AND NOT ok THEN coalesce(list_min([x for x in d if x > c]), c) ELSE c END, t + CAST(meets AND NOT ok AS INTEGER), k + 1, over_ OR (meets AND ok)
+  FROM (SELECT *, coalesce({holds}, FALSE) AS ok, NOT over_ AND d[i + 1] = c AS meets FROM (SELECT *, k % (l - 1) AS i, done OR (k % (l - 1) = 0 AND t >= least(l, {tries})) AS over_ FROM r WHERE NOT done AND k < least(l, {tries}) * (l - 1)))),
+e AS (SELECT field_id, pix, {sign} * arg_max(c, k) AS change FROM r GROUP BY 1, 2)
+SELECT field_id, pix, change FROM a LEFT JOIN e USING (field_id, pix)"""
+
+
+@query(exact_sql("red", 1, "drop"))
 def drop_exact(spark, d):
     return change.max_change_exact(band_obs(spark, d), KEYS, ORDER, "red", 1, "drop")
 
 
-@query(None)
+@query(exact_sql("blue", 2, "spike"))
 def spike_exact(spark, d):
     return change.max_change_exact(band_obs(spark, d), KEYS, ORDER, "blue", 2, "spike")
 
 
-FULL = BAND_STATS + PERCENTILES + INDEX_STATS + ["redDrop0", "redDrop1", "redDrop2", "nirDrop1", "blueSpike0", "blueSpike1", "ndviDrop2", "CISpike1", "NBRDrop1", "MIRBISpike1", "BurnScarSpike0"]
+FIVE, THREE = ["Avg", "Max", "Min", "Rng", "Stdv"], ["Avg", "Max", "Min"]
+DROP3, SPIKE3 = [f"Drop{k}" for k in range(3)], [f"Spike{k}" for k in range(3)]
+#: Every statistic of every measure.
+MATRIX = {
+    "blue": FIVE + SPIKE3, "green": FIVE + ["Spike0", "Drop0"], "red": FIVE + ["80", "20"] + DROP3 + ["Spike0"], "nir": FIVE + ["20"] + DROP3, "SWIR1": FIVE + DROP3[:2], "SWIR2": FIVE + DROP3[:2],
+    "redEdge3": ["Avg", "Min", "20"] + DROP3[:2], "ndvi": FIVE + ["25", "10", "Drop2"], "sr": FIVE + ["25", "10"] + DROP3, "bareSoil": FIVE + ["20", "10"] + DROP3[1:], "CI": THREE + ["80", "Rng"] + DROP3 + SPIKE3,
+    "bai": THREE + DROP3, "baiS": THREE + DROP3, "NBR": THREE + DROP3[:2], "NBR2": THREE + DROP3[:2], "MIRBI": THREE + ["80"] + SPIKE3[:2], "BurnScar": THREE + ["80"] + SPIKE3[:2], "evi2": THREE, "savi": THREE, "msavi": THREE,
+}
+FULL = [m + s for m, many in MATRIX.items() for s in many]
 
 
-@query(None)
+def is_change(name: str) -> bool:
+    return features.parse(name)[1][:-1] in ("Drop", "Spike")
+
+
+def matrix_sql(names: list[str], digits: int | None = 6) -> str:
+    """Statistics from one aggregation, each sustained change from a query of its own."""
+    joins, cols = [], []
+    for k, n in enumerate(x for x in names if is_change(x)):
+        m, s = features.parse(n)
+        joins.append(f"LEFT JOIN ({change_sql(INDEX_SQL.get(m, m if m.islower() else chr(34) + m + chr(34)), int(s[-1]), s[:-1].lower())}) c{k} ON c{k}.field_id = px.field_id AND c{k}.pix = px.pix")
+        value = f"c{k}.change" if digits is None else f"round(c{k}.change, {digits})"
+        cols.append(f'CASE WHEN "imgCount" >= 4 THEN {value} END AS "{n}"')
+    plain = [n for n in names if not is_change(n)]
+    return f"SELECT px.*, {', '.join(cols)} FROM ({pixel_sql(plain, unrounded=digits is None)}) px {' '.join(joins)}"
+
+
+@query(matrix_sql(FULL))
 def pixel_features(spark, d):
-    """The full table: bands, indices, percentiles and sustained changes, in one shuffle."""
+    """Every name of the matrix: bands, indices, percentiles and sustained changes, in one shuffle."""
     return features.pixel_features(band_obs(spark, d), features.known_features(FULL + ["redDopr0"]), KEYS, ORDER)
 
 
-ROLL = ["ndviAvg", "redMax", "CI80"]
 ROLL_STATS = {"avg": "avg({c})", "med": "median({c})", "std": "stddev_samp({c})", "min": "min({c})", "max": "max({c})", "10": "quantile_cont({c}, 0.1)", "25": "quantile_cont({c}, 0.25)", "75": "quantile_cont({c}, 0.75)", "90": "quantile_cont({c}, 0.9)"}
 
 
+#: Means and percentiles often end in a five where they are cut; the shift keeps engines, which round it either way, together.
+SHIFT = 0.0000131717
+
+
 def rollup_sql() -> str:
     parts = []
-    for f in ROLL:
-        for side, flag in (("b", "border"), ("i", "NOT border")):
-            for s, e in ROLL_STATS.items():
-                c = f"CASE WHEN {flag} THEN CAST(\"{f}\" AS DOUBLE) END"
-                parts.append(f'round({e.format(c=c)}, 4) AS "{side}_{f}_{s}"')
-    return f"""WITH px AS ({pixel_sql(ROLL, unrounded=True)}), f AS (SELECT px.*, p_size <= 15 AS border FROM px JOIN part ON p_partkey = pix)
-SELECT field_id, round(avg("imgCount"), 4) AS imgcount_avg, count(*) FILTER (border) AS b_pixels, count(*) FILTER (NOT border) AS i_pixels, {', '.join(parts)} FROM f GROUP BY field_id HAVING count(*) FILTER (border) > 0 AND count(*) FILTER (NOT border) > 0"""
+    for stats_, flag in ((features.border_stats(), "border"), (features.interior_stats(), "NOT border")):
+        for name, f, s in stats_:
+            c = f'CASE WHEN {flag} THEN CAST("{f}" AS DOUBLE) END'
+            parts.append(f'round({ROLL_STATS[s].format(c=c)} + {SHIFT}, 4) AS "{name}"')
+    return f"""WITH px AS ({matrix_sql(features.field_features(), None)}), f AS (SELECT px.*, p_size, p_size <= 15 AS border FROM px JOIN part ON p_partkey = px.pix)
+SELECT field_id, round(avg("imgCount") + {SHIFT}, 4) AS imgcount_avg, round(avg(p_size) + {SHIFT}, 4) AS "FieldSize", count(*) FILTER (border) AS "b_Pixcount", {', '.join(parts)} FROM f GROUP BY field_id HAVING count(*) FILTER (border) > 0 AND count(*) FILTER (NOT border) > 0"""
 
 
 @query(rollup_sql())
 def field_rollup(spark, d):
-    px = features.pixel_features(band_obs(spark, d), ROLL, KEYS, ORDER, digits=None)
+    """The whole field table: 29 border and 64 interior columns."""
+    px = features.pixel_features(band_obs(spark, d), features.field_features(), KEYS, ORDER, digits=None)
     sized = px.join(table(spark, d, "part").select(F.col("p_partkey").alias("pix"), "p_size"), "pix")
-    return features.field_rollup(sized, ROLL, F.col("p_size") <= 15, stats=tuple(ROLL_STATS))
+    out = features.field_table(sized, F.col("p_size") <= 15, F.col("p_size"), digits=None)
+    return out.withColumns({c: F.round(F.col(c) + SHIFT, 4) for c, t in out.dtypes if t == "double"})
 
 
 @query("SELECT l_partkey AS pix, arg_max(CAST(l_shipdate AS DATE), (l_quantity, -l_orderkey, -l_linenumber, -l_suppkey)) AS best_date FROM lineitem GROUP BY 1")

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions import indices
 from ..operators import rows as R
-from ..operators import spatial
+from ..operators import spatial, workflows
 from ..sources.adapters import BAND_OBS, band_obs, table
 from .registry import query
 
@@ -86,19 +86,36 @@ def row_mean(spark, d):
     return b.select("pix", "l_orderkey", "l_linenumber", "l_suppkey", F.round(R.mean_of_columns(["blue", "red", "nir"]), 6).alias("mean"))
 
 
-@query(None)
+UTM_SQL = """WITH p AS (SELECT s_suppkey, radians(30 + (s_suppkey % 100) / 100) AS phi, radians(74 + (s_suppkey % 70) / 35 - 75) AS lam FROM supplier),
+c AS (SELECT *, 6378137.0 AS a, 0.0066943799901413165 AS e2, 0.006739496742276434 AS ep2 FROM p),
+q AS (SELECT s_suppkey, a / sqrt(1 - e2 * sin(phi) ** 2) AS n, tan(phi) ** 2 AS t, ep2 * cos(phi) ** 2 AS c, cos(phi) * lam AS aa, ep2, tan(phi) AS tn,
+  a * ((1 - e2 / 4 - 3 * e2 ** 2 / 64 - 5 * e2 ** 3 / 256) * phi - (3 * e2 / 8 + 3 * e2 ** 2 / 32 + 45 * e2 ** 3 / 1024) * sin(2 * phi) + (15 * e2 ** 2 / 256 + 45 * e2 ** 3 / 1024) * sin(4 * phi) - (35 * e2 ** 3 / 3072) * sin(6 * phi)) AS m FROM c)
+SELECT s_suppkey, round(0.9996 * n * (aa + (1 - t + c) * aa ** 3 / 6 + (5 - 18 * t + t ** 2 + 72 * c - 58 * ep2) * aa ** 5 / 120) + 500000, 3) AS east,
+  round(0.9996 * (m + n * tn * (aa ** 2 / 2 + (5 - t + 9 * c + 4 * c ** 2) * aa ** 4 / 24 + (61 - 58 * t + t ** 2 + 600 * c - 330 * ep2) * aa ** 6 / 720)), 3) AS north FROM q"""
+
+
+@query(UTM_SQL)
 def utm_projection(spark, d):
     s = table(spark, d, "supplier")
     e, n = spatial.utm(30 + (F.col("s_suppkey") % 100) / 100, 74 + (F.col("s_suppkey") % 70) / 35)
     return s.select("s_suppkey", F.round(e, 3).alias("east"), F.round(n, 3).alias("north"))
 
 
-@query(None)
+@query("""WITH p AS (SELECT p_partkey // 40 AS r, p_partkey % 40 AS c, p_retailprice AS v, (p_partkey // 40 + 0.5) * 2 - 0.5 AS y, (p_partkey % 40 + 0.5) * 2 - 0.5 AS x FROM part),
+s AS (SELECT CAST(nr AS BIGINT) AS new_row, CAST(nc AS BIGINT) AS new_col, v, (1 - abs(nr - y) / 2) * (1 - abs(nc - x) / 2) AS w FROM (SELECT *, unnest(generate_series(CAST(2 * r - 1 AS BIGINT), CAST(2 * r + 2 AS BIGINT))) AS nr FROM p) q, generate_series(0, 90) g(nc) WHERE nr >= 0 AND abs(nr - y) < 2 AND abs(nc - x) < 2)
+SELECT 1 AS image, new_row, new_col, round(sum(v * w) / sum(w), 6) AS value FROM s GROUP BY ALL""")
 def resample_grid(spark, d):
     p = table(spark, d, "part").select(F.floor(F.col("p_partkey") / 40).alias("row"), (F.col("p_partkey") % 40).alias("col"), F.col("p_retailprice").alias("value"), F.lit(1).alias("image"))
     return spatial.resample(p, ["image"], "row", "col", "value", 2.0)
 
 
+@query("""SELECT l_suppkey AS image, count(*) AS cells, count(DISTINCT l_linenumber) AS height, count(DISTINCT l_partkey) AS width, min(l_partkey) AS "minX", max(l_partkey) AS "maxX", min(l_linenumber) AS "minY", max(l_linenumber) AS "maxY",
+  count(*) FILTER (l_tax = 0) AS nodata, min(nullif(l_tax, 0)) AS low, max(nullif(l_tax, 0)) AS high, round(avg(nullif(l_tax, 0)), 6) AS mean FROM lineitem GROUP BY 1""")
+def raster_summary(spark, d):
+    li = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("image"), "l_partkey", "l_linenumber", F.nullif("l_tax", F.lit(0.0)).alias("v"))
+    return workflows.raster_summary(li, "image", "l_partkey", "l_linenumber", "v")
+
+
 @query("""SELECT s_suppkey, '{"minX":' || s_suppkey || ',"minY":' || s_nationkey || ',"maxX":' || (s_suppkey + 1) || ',"maxY":' || (s_nationkey + 1) || '}' AS extent FROM supplier""")
 def extent_json(spark, d):
     s = table(spark, d, "supplier")

@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from ..operators import series as S
-from ..sources.adapters import ALIGNED, TS_OBS, burn_events, table, ts_obs
+from ..operators import workflows
+from ..sources.adapters import ALIGNED, BURN, TS_OBS, burn_events, table, ts_obs
 from .registry import query
 
 
@@ -41,6 +42,17 @@ def event_spine(spark, d):
     return S.spine(aligned(spark, d))
 
 
+@query(f"""WITH {BURN}, o AS (SELECT user_id AS field_id, CAST(ts AS DATE) AS obs_date, 1000 + value AS red, 3000 + 2 * value AS nir FROM events), t AS (SELECT field_id, obs_date, round(avg(10000 * ((nir - red) / nullif(nir + red, 0))), 6) AS value FROM o GROUP BY 1, 2),
+a0 AS (SELECT t.*, b.preburn, b.burn, CAST(ceil((b.burn - b.preburn) / 2.0) AS INTEGER) AS e FROM t JOIN burns b USING (field_id)),
+a AS (SELECT field_id, obs_date, value, CASE WHEN obs_date >= burn THEN (obs_date - burn) + e WHEN obs_date <= preburn THEN (obs_date - preburn) - e ELSE 0 END AS rel_day FROM a0),
+v AS (SELECT field_id, rel_day, arg_max(value, obs_date) AS value FROM a GROUP BY 1, 2), s AS (SELECT field_id, CAST(unnest(generate_series(least(min(rel_day), -50), greatest(max(rel_day), 50))) AS INTEGER) AS rel_day FROM a GROUP BY 1)
+SELECT field_id, rel_day, value FROM s LEFT JOIN v USING (field_id, rel_day)""")
+def series_build(spark, d):
+    """The whole job: an index by day and field, aligned to the field's event, over its extended range."""
+    e = table(spark, d, "events").select(F.col("user_id").alias("field_id"), F.col("ts").cast("date").alias("obs_date"), (1000 + F.col("value")).alias("red"), (3000 + 2 * F.col("value")).alias("nir"))
+    return workflows.series_build(e, burn_events(spark, d), "ndvi")
+
+
 @query("WITH r AS (SELECT user_id AS field_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY (event_id * 2654435761 + 7 * 40503) % 4294967296, event_id) AS k FROM events) SELECT field_id, event_id FROM r WHERE k <= 5")
 def sample_n_per_field(spark, d):
     e = table(spark, d, "events").select(F.col("user_id").alias("field_id"), "event_id")

@@ -62,7 +62,7 @@ def test_images_of_areas(spark):
 
 def test_every_field_is_held_out_and_every_feature_tried(spark, monkeypatch):
     rng = np.random.default_rng(2)
-    rows = [(k, k % 5, int(v[9] > 0), *map(float, v)) for k, v in enumerate(rng.standard_normal((120, 16)))]
+    rows = [(k, k % 5, int(v[9] > 0), *map(float, v)) for k, v in enumerate(rng.standard_normal((120, 64)))]
     px = spark.createDataFrame(rows, "pixel_id long, field_id long, label int, " + ", ".join(f"{f} double" for f in models.FEATURES)).cache()
     monkeypatch.setattr(models, "pixels", lambda spark, d: px)
     out = models.loocv(spark, "").collect()

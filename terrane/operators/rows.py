@@ -45,10 +45,12 @@ def numbered(df: DataFrame, keys: list[str], order: list[Column], out: str = "re
 
 
 def hash_rank(key: Column, seed: int) -> Column:
-    """(key * 2654435761 + seed * 40503) modulo 2 ** 32: the same in any engine. In halves, so that no key overflows."""
+    """(key * m + seed * 40503) modulo 2 ** 32, m = 2654435761 * (2 * seed + 1): the same in any engine, another order for
+    another seed. In halves, so that no key overflows."""
+    m = 2654435761 * (2 * seed + 1) % 2**32
     k = F.pmod(key.cast("long"), F.lit(1 << 32))
     low, high = k % 65536, F.shiftright(k, 16)
-    return (low * 2654435761 + (high * 2654435761 % 65536) * 65536 + seed * 40503) % 4294967296
+    return (low * m + (high * m % 65536) * 65536 + seed * 40503) % 4294967296
 
 
 def without_blank_groups(df: DataFrame, group: Column, value: Column) -> DataFrame:

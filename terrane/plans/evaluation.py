@@ -6,7 +6,7 @@ from ..operators import evaluate, splits
 from ..sources.adapters import LABELS, PREDS, labels, preds, table
 from .registry import query
 
-H = "({0} * 2654435761 + {1} * 40503) % 4294967296"
+H = "({0} * (2654435761 * (2 * {1} + 1) % 4294967296) + {1} * 40503) % 4294967296"
 
 
 @query(f"{f'WITH {PREDS}'} SELECT count(*) FILTER (pred >= 0.5 AND label = 1) AS \"TruePos\", count(*) FILTER (pred >= 0.5 AND label = 0) AS \"FalsePos\", count(*) FILTER (pred < 0.5 AND label = 1) AS \"MissedPos\", count(*) FILTER (pred < 0.5 AND label = 0) AS \"TrueNeg\", round(count(*) FILTER ((pred >= 0.5) = (label = 1)) / count(*), 6) AS \"OA\" FROM preds WHERE pred IS NOT NULL")

@@ -53,7 +53,7 @@ def series_build(spark, d):
     return workflows.series_build(e, burn_events(spark, d), "ndvi")
 
 
-@query("WITH r AS (SELECT user_id AS field_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY (event_id * 2654435761 + 7 * 40503) % 4294967296, event_id) AS k FROM events) SELECT field_id, event_id FROM r WHERE k <= 5")
+@query("WITH r AS (SELECT user_id AS field_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY (event_id * (2654435761 * 15 % 4294967296) + 7 * 40503) % 4294967296, event_id) AS k FROM events) SELECT field_id, event_id FROM r WHERE k <= 5")
 def sample_n_per_field(spark, d):
     e = table(spark, d, "events").select(F.col("user_id").alias("field_id"), "event_id")
     return S.sample_per_group(e, ["field_id"], F.col("event_id"), 5, 7)

@@ -116,6 +116,77 @@ def test_no_field_on_both_sides(spark):
     assert not {r.f for r in a.select("f").collect()} & {r.f for r in b.select("f").collect()} and a.count() + b.count() == 500
 
 
+def test_hash_rank_is_that_of_whole_numbers(spark):
+    keys = [0, 1, 65535, 65536, 2**31, 2**32 - 1, 2**40 + 7, 2**62 + 3, 10**18]
+    got = [r[0] for r in spark.createDataFrame([(k,) for k in keys], "k long").select(rows.hash_rank(F.col("k"), 8)).collect()]
+    assert got == [(k * 2654435761 * 17 + 8 * 40503) % 2**32 for k in keys]
+
+
+def test_seeds_draw_other_fields(spark):
+    drawn = [frozenset(r[0] for r in splits.holdout_fields(spark.range(200), "id", 0.2, k).collect()) for k in range(4)]
+    assert all(len(a) == 40 for a in drawn) and all(len(a & b) < 25 for i, a in enumerate(drawn) for b in drawn[i + 1 :])
+
+
+def test_ranks_within_strata(spark):
+    data = [(k, None if k % 50 == 0 else "hot" if k % 3 else "cold") for k in range(3000)]
+    out = splits.ranked(spark.createDataFrame(data, "id long, s string"), ["s"], "id", 8).collect()
+    for s in (None, "hot", "cold"):
+        ids = sorted((k for k, t in data if t == s), key=lambda k: ((k * 2654435761 * 17 + 8 * 40503) % 2**32, k))
+        assert {r.id: r["__rank"] for r in out if r.s == s} == {k: n for n, k in enumerate(ids)} and all(r["__total"] == len(ids) for r in out if r.s == s)
+    assert splits.ranked(spark.createDataFrame([], "id long, s string"), ["s"], "id", 8).count() == 0
+    assert splits.test_share(spark.range(250), "id", 0.01, 3).where("test").count() == 3
+
+
+def test_chunks_keep_every_row(spark, tmp_path):
+    """A wide table, with adaptive partitions: reading the chunks and counting them must see the same ranges."""
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes")}
+    spark.conf.set("spark.sql.shuffle.partitions", "60")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "200k")
+    try:
+        df = spark.range(20_000).select(((F.col("id") * 7919) % 20_000).alias("k"), F.repeat(F.sha2(F.col("id").cast("string"), 256), 4).alias("payload"), F.lit(None).cast("int").alias("x"))
+        out = rows.chunk_number(df, [F.col("k")], 75)
+        assert out.count() == 20_000 and out.columns == ["k", "payload", "x", "chunk"]
+        got = out.collect()
+        assert len(got) == 20_000 and all(r.chunk == r.k // 75 + 1 for r in got)
+        io.write_chunks(df, [F.col("k")], 75 * 60, str(tmp_path / "c"))
+        back = spark.read.option("header", True).csv(str(tmp_path / "c")).groupBy("chunk").count().collect()
+        assert sorted((int(r.chunk), r["count"]) for r in back) == [(1, 4500), (2, 4500), (3, 4500), (4, 4500), (5, 2000)]
+        assert rows.chunk_number(df.limit(0), [F.col("k")], 75).count() == 0
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_outer_reduce_is_a_join(spark):
+    a = spark.createDataFrame([(1, 0.5), (2, None), (None, 3.0)], "k int, x double")
+    b = spark.createDataFrame([(2, "b"), (3, "c"), (None, "n")], "k int, y string")
+    got = sorted(map(str, rows.outer_reduce([a, b], "k").collect()))
+    assert got == sorted(map(str, a.join(b, "k", "full").collect()))
+    with pytest.raises(Exception, match="repeats"):
+        rows.outer_reduce([a, b.unionByName(b)], "k").collect()
+
+
+def test_listed_and_unknown(spark):
+    files = spark.createDataFrame([("0001_udm",), ("0002_udm",), (None,)], "f string")
+    assert [r.f for r in rows.only_listed(files, F.col("f"), spark.createDataFrame([("0001_clip.tif",)], "n string"), 1, 4).collect()] == ["0001_udm"]
+    obs = spark.createDataFrame([(1, 5.0), (2, 6.0), (2, 7.0)], "pix int, v double")
+    assert sorted(map(tuple, rows.mask_unknown(obs, spark.createDataFrame([(1,), (1,)], "pix int"), ["pix"], ["v"]).collect()), key=str) == [(1, 5.0), (2, None), (2, None)]
+
+
+def test_scores_by_rank_equal_pairs(spark):
+    rng = random.Random(4)
+    data = [(rng.choice([rng.random(), round(rng.random(), 1)]), int(rng.random() < 0.4)) for _ in range(600)] + [(None, 1), (float("nan"), 0), (0.5, None)]
+    df = spark.createDataFrame(data, "pred double, label int")
+    sound = [(p, y) for p, y in data[:600]]
+    pos, neg = [p for p, y in sound if y], [p for p, y in sound if not y]
+    pairs = sum((p > q) + (p == q) / 2 for p in pos for q in neg)
+    assert evaluate.auc(df).first().auc == pytest.approx(pairs / len(pos) / len(neg), abs=1e-6)
+    curve = {r.threshold: (r.fpr, r.tpr) for r in evaluate.roc_curve(df).collect()}
+    assert set(curve) == {p for p, _ in sound}
+    for t, (fpr, tpr) in curve.items():
+        assert fpr == pytest.approx(sum(q >= t for q in neg) / len(neg), abs=1e-6) and tpr == pytest.approx(sum(p >= t for p in pos) / len(pos), abs=1e-6)
+
+
 def test_confusion_adds_up_and_auc(spark):
     data = [(0.1, 0), (0.6, 0), (0.6, 1), (0.9, 1), (None, 1), (0.5, 0)]
     df = spark.createDataFrame(data, "pred double, label int")
@@ -124,6 +195,27 @@ def test_confusion_adds_up_and_auc(spark):
     assert evaluate.auc(df).first().auc == pytest.approx(5.5 / 6, abs=1e-6)
 
 
+def test_spine_extends_to_what_was_seen(spark):
+    df = spark.createDataFrame([("a", -60, dt.date(2019, 1, 1), 1.0), ("a", 3, dt.date(2019, 3, 1), 2.0), ("b", 0, dt.date(2019, 3, 1), 5.0)], "field_id string, rel_day int, obs_date date, value double")
+    got = series.spine(df, extend=True).groupBy("field_id").agg(F.min("rel_day").alias("lo"), F.max("rel_day").alias("hi"), F.count("value").alias("n")).collect()
+    assert sorted(map(tuple, got)) == [("a", -60, 50, 2), ("b", -50, 50, 1)]
+
+
+def test_field_table_has_every_column(spark):
+    names = features.field_features()
+    data = [(f, p, float(p), 9, p % 3 == 0) for f in ("u", "v") for p in range(8)] + [("w", 1, 1.0, 9, True)]
+    px = spark.createDataFrame(data, "field_id string, pix int, x double, imgCount int, edge boolean").select("*", *[(F.col("x") + k).alias(n) for k, n in enumerate(names)])
+    out = features.field_table(px, F.col("edge"), F.col("x"))
+    assert len([c for c in out.columns if c.startswith("b_")]) == 29 and len([c for c in out.columns if c.startswith("i_")]) == 64
+    got = {r.field_id: r for r in out.collect()}
+    assert set(got) == {"u", "v"}  # a field of border pixels only has no row
+    r, k = got["u"], {n: i for i, n in enumerate(names)}
+    border, inner = [0.0, 3.0, 6.0], [1.0, 2.0, 4.0, 5.0, 7.0]
+    assert (r.b_Pixcount, r.imgcount_avg, r.FieldSize) == (3, 9, 3.5)
+    assert r.b_nir_drop_avg == pytest.approx(sum(border) / 3 + k["nirDrop1"]) and r.i_blue_max == pytest.approx(sorted(inner)[2] + k["blueMax"])
+    assert r.i_blue_spike_90 == pytest.approx(6.2 + k["blueSpike0"], abs=1e-4) and r.i_sr_stdv == pytest.approx(sum(inner) / 5 + k["srStdv"], abs=1e-4)
+
+
 def test_null_border_stays(spark):
     df = spark.createDataFrame([(1,), (0,), (None,)], "border int")
     assert rows.without(df, F.col("border")).count() == 2
@@ -136,6 +228,25 @@ def test_bbox_touching_counts_once(spark):
     assert sorted((r.id, r.b_id) for r in spatial.bbox_overlap(a, b, 1.0).collect()) == [(1, 7), (1, 8)]
 
 
+def test_boxes_of_any_width_equal_brute_force(spark):
+    rng = random.Random(6)
+    box = "id int, minLat double, maxLat double, minLon double, maxLon double"
+
+    def boxes(n):
+        out = []
+        for k in range(n):
+            w, h = rng.choice([0.0, 0.01, 0.4, 3.0, 50.0, 4000.0]) * rng.random(), rng.choice([0.01, 0.4, 3.0, 900.0]) * rng.random()
+            y, x = rng.uniform(-60, 60), rng.uniform(-60, 60)
+            out.append((k, y, y + h, x, x + w))
+        return out
+
+    a, b = boxes(70), boxes(70)
+    want = {(p[0], q[0]) for p in a for q in b if p[2] >= q[1] and q[2] >= p[1] and p[4] >= q[3] and q[4] >= p[3]}
+    odd = [(900, None, 1.0, 0.0, 1.0), (901, 0.0, float("inf"), 0.0, 1.0), (902, 5.0, 4.0, 0.0, 1.0)]
+    got = [(r.id, r.b_id) for r in spatial.bbox_overlap(spark.createDataFrame(a + odd, box), spark.createDataFrame(b, box), 0.5).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_utm_of_a_known_point(spark):
     e, n = spatial.utm(F.lit(30.0), F.lit(75.0))  # on the central meridian of zone 43
     r = spark.range(1).select(e.alias("e"), n.alias("n")).first()
@@ -177,6 +288,55 @@ def test_stream_equals_table(spark, tmp_path):
     assert key(spark.table("daily")) == key(daily_means(df))
 
 
+def two_classes(spark, n=240):
+    rng = random.Random(1)
+    return spark.createDataFrame([(k, k % 12, k % 2, k % 2 + rng.random() * 0.4, rng.random()) for k in range(n)], "id long, f long, label int, x double, y double")
+
+
+def test_out_of_bag_and_folds(spark):
+    df = two_classes(spark)
+    bag = model.out_of_bag(df, ["x", "y"], "id", bags=6, trees=30, depth=5).collect()
+    assert 200 < len(bag) <= 240 and sum((r.pred > 0.5) == (r.label == 1) for r in bag) > 0.95 * len(bag)
+    quick = {r.kind: r for r in model.quick_accuracy(df.where("id >= 40"), df.where("id < 40"), ["x", "y"], "id", trees=20, depth=5).collect()}
+    assert quick["test"].OA == 1.0 and quick["test"].TruePos + quick["test"].TrueNeg == 40 and quick["out of bag"].OA > 0.95
+    folds = model.fold_accuracy(df, ["x", "y"], "id", 3, trees=20, depth=5).collect()
+    assert sorted(r.HO for r in folds) == [0, 1, 2] and all(r.OA > 0.95 and r.TruePos + r.FalsePos + r.MissedPos + r.TrueNeg == 80 for r in folds)
+
+
+def test_one_pixel_of_each_field(spark):
+    scores, importances = model.single_pixel_forests(two_classes(spark), ["x", "y"], "f", "id", 3, share=0.25, trees=5, depth=3)
+    got = scores.collect()
+    assert sorted(r.rep for r in got) == [0, 1, 2] and all(r.TruePos + r.FalsePos + r.MissedPos + r.TrueNeg == 3 for r in got)
+    assert len(importances) == 3
+
+
+def test_selection_by_lists():
+    worth = {"a1": 1, "a2": 3, "b": 2, "c": 0, "d": -1}
+    rate = lambda names: sum(worth[n] for n in names)
+    chosen, best = model.select_by_lists(["a1", "d"], rate, switch=[["a1", "a2"]], add=["b", "c"], remove=["d", "b"])
+    assert set(chosen) == {"a2", "b", "c"} and best == 5
+
+
+def test_components_and_regression(spark):
+    import numpy as np
+
+    r = np.random.default_rng(0)
+    x = r.standard_normal((80, 4)) @ r.standard_normal((4, 4))
+    df = spark.createDataFrame([(k, *map(float, v)) for k, v in enumerate(x)], "id long, a double, b double, c double, d double")
+    fit = model.linear_model(df, ["b", "c", "d"], "a")
+    want = np.linalg.lstsq(np.c_[x[:, 1:], np.ones(80)], x[:, 0], rcond=None)[0]
+    assert np.allclose([*fit.coefficients, fit.intercept], want, atol=1e-6)
+    z = (x - x.mean(0)) / x.std(0, ddof=1)
+    got = np.array([v.pc for v in model.principal_components(df, ["a", "b", "c", "d"], 2).orderBy("id").collect()])
+    axes = np.linalg.svd(z, full_matrices=False)[2][:2]
+    assert np.allclose(np.abs(got), np.abs(z @ axes.T), atol=1e-6)
+
+
+def test_incomplete_rows_are_skipped(spark):
+    df = spark.createDataFrame([(1, 1.0, 2.0), (2, None, 2.0), (3, float("nan"), 1.0)], "id int, x double, y double")
+    assert [r.id for r in model.assemble(df, ["x", "y"]).collect()] == [1]
+
+
 def test_forest_separates(spark):
     rng = random.Random(1)
     df = spark.createDataFrame([(k, k % 10, k % 2, k % 2 + rng.random() * 0.4, rng.random()) for k in range(200)], "id long, f long, label int, x double, y double")

@@ -26,7 +26,12 @@ def test_ring_and_polygon(spark):
 def test_masks_and_clouds(spark):
     q = spark.createDataFrame([("i", u, u % 2, 0, int(u == 3), u % 3, float(u)) for u in range(6)], "image_id string, udm int, b1 int, b3 int, b6 int, b8 int, blue double")
     r = workflows.compare_clouds(q).first()
-    assert (r.percent_notclear_udm, r.percent_notclear_udm2, r.percent_cs_udm2) == (80.0, 60.0, 20.0) and r.percent_csorig_udm2 >= r.percent_cs_udm2
+    # five pixels hold data in the older mask, four in the newer one (b8 is 0, 1, 2, 0, 1, 2)
+    assert (r.percent_notclear_udm_1, r.percent_notclear_udm_2, r.percent_notclear_udm2) == (80.0, 50.0, 25.0)
+    assert (r.percent_cs_udm2, r.percent_csorig_udm2) == (25.0, 75.0)
+    meta = spark.createDataFrame([("i", 7.5), ("j", 1.0)], "image_id string, clouds_meta double")
+    both = {x.image_id: x for x in workflows.compare_clouds(q.withColumn("udm", F.lit(None).cast("int")), meta).collect()}
+    assert both["i"].percent_notclear_udm_1 is None and both["i"].clouds_meta == 7.5 and both["i"].percent_cs_udm2 == 25.0 and both["j"].percent_cs_udm2 is None
     seen, share = workflows.mask_images(q, "udm2")
     assert sorted(x.blue for x in seen.where("blue IS NOT NULL").collect()) == [1, 2, 4, 5] and share.first().percentMasked == 20.0
 
@@ -47,6 +52,19 @@ def test_verbs_from_observations_to_predictions(spark, tmp_path, capsys):
     assert spark.read.parquet(p("nb.parquet")).count() == 600
     cli.main(["split_file", "--table", p("px.parquet"), "--key", "pixel_id", "--nrows", "8", "--out", p("chunks")])
     assert len(list((tmp_path / "chunks").glob("chunk=*"))) == 4
+    assert spark.read.option("header", True).csv(p("chunks")).count() == 30
+    spark.createDataFrame([(str(k), "2019-10-06", "2019-10-10") for k in range(6)], "field_id string, preburn string, burn string").selectExpr("field_id", "to_date(preburn) AS preburn", "to_date(burn) AS burn").write.parquet(p("ev.parquet"))
+    cli.main(["series", "--obs", p("obs.parquet"), "--events", p("ev.parquet"), "--measure", "red", "--out", p("ts")])
+    long = spark.read.parquet(p("ts/long"))
+    assert long.count() == 6 * 101 and long.where("value IS NOT NULL").count() > 60
+    wide = spark.read.option("header", True).csv(p("ts/wide"))
+    assert wide.columns == ["rel_day", *[f"AVG_{k}" for k in range(6)]] and wide.count() == 101
+    (tmp_path / "add.csv").write_text("ndvi10\n")
+    (tmp_path / "few.csv").write_text("redAvg\nredMax\n")
+    cli.main(["select_variables", "--pixels", p("px.parquet"), "--labels", p("y.parquet"), "--variables", p("few.csv"), "--add", p("add.csv"), "--remove", p("few.csv"), "--reps", "1", "--out", p("sel")])
+    assert 1 <= spark.read.text(p("sel")).count() <= 3
+    cli.main(["accuracy", "--pixels", p("px.parquet"), "--labels", p("y.parquet"), "--variables", p("few.csv"), "--out", p("acc")])
+    assert {x.kind for x in spark.read.parquet(p("acc/quick")).collect()} <= {"test", "out of bag"} and spark.read.parquet(p("acc/folds")).count() == 3
     cli.main(["version"])
     assert capsys.readouterr().out.strip() == cli.VERSION
 
@@ -74,3 +92,25 @@ def test_every_field_is_held_out_and_every_feature_tried(spark, monkeypatch):
     monkeypatch.setattr(models, "split", lambda spark, d: (px, px))
     assert {x.feature for x in models.forward_select(spark, "").collect()} == {"f9", "f12", "f15"}
     assert {n[0] for n in tried if len(n) == 1} == set(models.FEATURES)
+
+
+def test_files_of_fields_and_rasters(spark):
+    files = spark.createDataFrame([("12_20191101_3B_x.tif",), ("13_20191102_3B_x.tif",)], "file_name string")
+    fields = spark.createDataFrame([(12, "u")], "unique_id int, village string")
+    [r] = workflows.image_fields(files, fields).collect()
+    assert (r.file_name, r.unique_id, r.village, str(r.obs_date)) == ("12_20191101_3B_x.tif", 12, "u", "2019-11-01")
+    cells = spark.createDataFrame([("i", x, y, None if x == y else float(x + y)) for x in range(3) for y in range(2)], "image string, x int, y int, v double")
+    [r] = workflows.raster_summary(cells, "image", "x", "y", "v").collect()
+    assert (r.cells, r.width, r.height, r.nodata, r.low, r.high, r.minX, r.maxY) == (6, 3, 2, 2, 1.0, 3.0, 0, 1)
+    with pytest.raises(ValueError):
+        workflows.series_build(cells, cells, "purple")
+
+
+def test_lone_sessions_only_may_do_without_a_shared_folder(spark):
+    from types import SimpleNamespace
+
+    from terrane.sources import io
+
+    far = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(master="spark://far:7077", getCheckpointDir=lambda: None))
+    with pytest.raises(ValueError):
+        io.shared_folder(far)

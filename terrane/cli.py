@@ -8,13 +8,15 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from .operators import features, model, rows, splits, workflows
-from .sources import io
+from .sources import io, raster, shapes
 
 VERSION = "0.1.0"
 
 #: Options of each verb: name, type, default (None: required).
 VERBS: dict[str, list[tuple[str, type, object]]] = {
     "version": [],
+    "read_images": [("images", str, None), ("bands", str, None), ("out", str, None)],
+    "read_shapes": [("shapes", str, None), ("out", str, None)],
     "clip_images": [("footprints", str, None), ("aoi", str, None), ("out", str, None)],
     "clip_to_poly": [("obs", str, None), ("wkt", str, None), ("out", str, None)],
     "split_file": [("table", str, None), ("key", str, None), ("nrows", int, 75), ("out", str, None)],
@@ -46,7 +48,11 @@ def run(spark: SparkSession, a: argparse.Namespace) -> None:
     load = lambda path: io.as_df(spark, path)
     save = lambda df, part="": df.write.mode("overwrite").parquet(a.out + part)
     names = lambda: [r.value for r in io.read_list(spark, a.variables).collect()]
-    if a.verb == "clip_images":
+    if a.verb == "read_images":
+        save(raster.read_geotiff(spark, a.images, a.bands.split(",")))
+    elif a.verb == "read_shapes":
+        save(shapes.read_shapefile(spark, a.shapes))
+    elif a.verb == "clip_images":
         save(workflows.clip_images(load(a.footprints), io.read_csv(spark, a.aoi, io.AOI)))
     elif a.verb == "clip_to_poly":
         save(workflows.clip_to_poly(load(a.obs), a.wkt))

@@ -19,7 +19,7 @@ def sql_feature(name: str, least: int = 4, whole_only: bool = False) -> str:
     c = f'"v_{m}"'
     p = lambda q: f"quantile_cont({c}, {int(q) / 100})"
     if s == "Rng":
-        e = f"{i(f'max({c})')} - {i(f'min({c})')}" if m in features.WHOLE else f"round(max({c}) - min({c}), 6)"
+        e = f"{i(f'max({c})')} - {i(f'min({c})')}" if m in features.WHOLE else f"max({c}) - min({c})" if whole_only else f"round(max({c}) - min({c}), 6)"
     else:
         e = {"Avg": f"avg({c})", "Max": f"max({c})", "Min": f"min({c})", "Stdv": f"stddev_samp({c})", "Med": f"median({c})"}.get(s) or p(s)
         e = i(e) if features.whole(name) else e if whole_only else f"round({e}, 6)"
@@ -129,19 +129,21 @@ def matrix_sql(names: list[str], digits: int | None = 6) -> str:
     return f"SELECT px.*, {', '.join(cols)} FROM ({pixel_sql(plain, unrounded=digits is None)}) px {' '.join(joins)}"
 
 
-@query(matrix_sql(FULL))
+#: Means and percentiles often end in a five where they are cut; the shift keeps engines, which round it either way, together.
+SHIFT = 0.0000131717
+FULL_SQL = f"""SELECT field_id, pix, "imgCount", {', '.join(f'"{n}"' if features.whole(n) else f'round("{n}" + {SHIFT}, 4) AS "{n}"' for n in FULL)} FROM ({matrix_sql(FULL, None)})"""
+
+
+@query(FULL_SQL)
 def pixel_features(spark, d):
     """Every name of the matrix: bands, indices, percentiles and sustained changes, in one shuffle."""
-    return features.pixel_features(band_obs(spark, d), features.known_features(FULL + ["redDopr0"]), KEYS, ORDER)
+    out = features.pixel_features(band_obs(spark, d), features.known_features(FULL + ["redDopr0"]), KEYS, ORDER, digits=None)
+    return out.withColumns({n: F.round(F.col(n) + SHIFT, 4) for n in FULL if not features.whole(n)})
 
 
 ROLL_STATS = {"avg": "avg({c})", "med": "median({c})", "std": "stddev_samp({c})", "min": "min({c})", "max": "max({c})", "10": "quantile_cont({c}, 0.1)", "25": "quantile_cont({c}, 0.25)", "75": "quantile_cont({c}, 0.75)", "90": "quantile_cont({c}, 0.9)"}
 
 
-#: Means and percentiles often end in a five where they are cut; the shift keeps engines, which round it either way, together.
-SHIFT = 0.0000131717
-
-
 def rollup_sql() -> str:
     parts = []
     for stats_, flag in ((features.border_stats(), "border"), (features.interior_stats(), "NOT border")):

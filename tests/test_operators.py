@@ -262,6 +262,15 @@ def test_utm_of_a_known_point(spark):
     assert r.e == pytest.approx(500000, abs=1e-3) and r.n == pytest.approx(3318785.35, abs=0.5)
 
 
+def test_utm_there_and_back(spark):
+    df = spark.createDataFrame([(30.25, 76.5), (-33.5, 73.1), (0.0, 75.0)], "lat double, lon double")
+    for south, part in ((False, df.where("lat >= 0")), (True, df.where("lat < 0"))):
+        e, n = spatial.utm(F.col("lat"), F.col("lon"), south=south)
+        lat, lon = spatial.from_utm(F.col("e"), F.col("n"), south=south)
+        for r in part.withColumns({"e": e, "n": n}).select("lat", "lon", "n", lat.alias("a"), lon.alias("b")).collect():
+            assert r.a == pytest.approx(r.lat, abs=1e-8) and r.b == pytest.approx(r.lon, abs=1e-8) and 0 <= r.n <= 10_000_000
+
+
 def test_resample_keeps_a_plane(spark):
     df = spark.createDataFrame([(r, c, float(r * 4 + c)) for r in range(4) for c in range(4)], "r int, c int, v double")
     got = {(x.new_row, x.new_col): x.v for x in spatial.resample(df, [], "r", "c", "v", 2.0).collect()}

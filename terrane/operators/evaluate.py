@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -38,6 +40,36 @@ def best_threshold(sweep: DataFrame) -> DataFrame:
     return sweep.withColumn("top", top).where("fit = top").groupBy("measure", "fit").agg(F.round(F.percentile("threshold", F.lit(0.5)), 4).alias("threshold"))
 
 
+def in_ranges(df: DataFrame, value: str, ranges: int) -> DataFrame:
+    """Adds __range, ascending with ``value`` (double, no nulls), about evenly filled."""
+    cuts = sorted(set(df.approxQuantile(value, [k / ranges for k in range(1, ranges)], 0.005)))
+    return Bucketizer(splits=[-float("inf"), *cuts, float("inf")], inputCol=value, outputCol="__range").transform(df) if cuts else df.withColumn("__range", F.lit(0.0))
+
+
+def percentiles(df: DataFrame, keys: list[str], value: str, points: dict[str, float], ranges: int = 64) -> DataFrame:
+    """keys, n and the exact percentiles ``points`` (name: share), linear between neighbours, of groups of any size.
+
+    For few groups with many distinct values, where an aggregate would hold them all: rows
+    are counted by value, the counts are summed within ranges of values and shifted by the
+    ranges before, and each percentile is read off the values that hold its place. Groups
+    without a value have no row.
+    """
+    rows = df.select(*keys, F.col(value).cast("double").alias("__v")).where("__v IS NOT NULL AND NOT isnan(__v)")
+    counts = in_ranges(materialised(rows.groupBy(*keys, "__v").agg(F.count(F.lit(1)).alias("__n")), "counts"), "__v", ranges)
+    sums = counts.groupBy(*keys, "__range").agg(F.sum("__n").alias("__m"))
+    whole, before = W.partitionBy(*keys), W.partitionBy(*keys).orderBy("__range").rowsBetween(W.unboundedPreceding, -1)
+    bases = sums.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("__range").alias("__r"), F.coalesce(F.sum("__m").over(before), F.lit(0)).alias("__base"), F.sum("__m").over(whole).alias("__total"))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys], F.col("__range") == F.col("__r"))
+    upto = F.sum("__n").over(W.partitionBy(*keys, "__range").orderBy("__v").rowsBetween(W.unboundedPreceding, W.currentRow))
+    placed = counts.withColumn("__upto", upto).join(bases, same).withColumn("__upto", F.col("__upto") + F.col("__base"))
+    held = lambda place: F.max(F.when((F.col("__upto") - F.col("__n") <= place) & (place < F.col("__upto")), F.col("__v")))
+    at = {name: F.round(F.lit(p) * (F.col("__total") - 1), 9) for name, p in points.items()}
+    ends = [c for name, x in at.items() for c in (held(F.floor(x)).alias(f"__{name}_lo"), held(F.ceil(x)).alias(f"__{name}_hi"))]
+    found = placed.groupBy(*keys).agg(F.max("__total").alias("__total"), *ends)
+    between = lambda name: F.col(f"__{name}_lo") + (at[name] - F.floor(at[name])) * (F.col(f"__{name}_hi") - F.col(f"__{name}_lo"))
+    return found.select(*keys, F.col("__total").alias("n"), *[between(name).alias(name) for name in points])
+
+
 def by_score(df: DataFrame, pred: str, label: str, ranges: int = 64) -> DataFrame:
     """score, pos, neg and below (negatives of smaller scores) by distinct score; null and NaN predictions are left out.
 
@@ -46,8 +78,7 @@ def by_score(df: DataFrame, pred: str, label: str, ranges: int = 64) -> DataFram
     """
     rows = df.select(F.col(pred).cast("double").alias("score"), F.col(label).alias("y")).where("score IS NOT NULL AND NOT isnan(score) AND y IS NOT NULL")
     by = materialised(rows.groupBy("score").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg")), "scores")
-    cuts = sorted(set(by.approxQuantile("score", [k / ranges for k in range(1, ranges)], 0.005)))
-    at = Bucketizer(splits=[-float("inf"), *cuts, float("inf")], inputCol="score", outputCol="__range").transform(by) if cuts else by.withColumn("__range", F.lit(0.0))
+    at = in_ranges(by, "score", ranges)
     sums = at.groupBy("__range").agg(F.sum("neg").alias("n"))
     base = sums.select("__range", F.coalesce(F.sum("n").over(W.orderBy("__range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__base"))
     local = F.coalesce(F.sum("neg").over(W.partitionBy("__range").orderBy("score").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ..operators import change, features
+from ..operators import change, evaluate, features
 from ..sources.adapters import BAND_OBS, ORDER, band_obs, table
 from .projections import INDEX_SQL
 from .registry import query
@@ -185,7 +185,10 @@ def band_mean_std_incl_mean(spark, d):
 
 @query("SELECT l_returnflag, median(l_quantity) AS med, round(var_samp(l_quantity), 6) AS var, count(DISTINCT l_suppkey) AS n FROM lineitem GROUP BY 1")
 def median_by_group(spark, d):
-    return table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.median("l_quantity").alias("med"), F.round(F.var_samp("l_quantity"), 6).alias("var"), F.countDistinct("l_suppkey").alias("n"))
+    li = table(spark, d, "lineitem")
+    med = evaluate.percentiles(li, ["l_returnflag"], "l_quantity", {"med": 0.5}).drop("n")
+    rest = li.groupBy("l_returnflag").agg(F.round(F.var_samp("l_quantity"), 6).alias("var"), F.countDistinct("l_suppkey").alias("n"))
+    return med.join(rest, "l_returnflag")
 
 
 @query("SELECT s_suppkey AS field_id, sum(l_linenumber)::BIGINT AS num_images, round(avg(l_discount), 6) AS mean, round(quantile_cont(l_discount, 0.25), 6) AS p25, round(quantile_cont(l_discount, 0.5), 6) AS p50, round(quantile_cont(l_discount, 0.75), 6) AS p75, round(quantile_cont(l_discount, 0.9), 6) AS p90 FROM lineitem JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1")
@@ -198,5 +201,5 @@ def field_quantiles(spark, d):
 @query(f"WITH {BAND_OBS}, u AS (SELECT field_id, 'blue' AS band, blue AS v FROM band_obs UNION ALL SELECT field_id, 'nir', nir FROM band_obs UNION ALL SELECT field_id, 'red', red FROM band_obs) SELECT band, field_id, round(quantile_cont(v, 0.25), 6) AS q25, round(quantile_cont(v, 0.5), 6) AS q50, round(quantile_cont(v, 0.75), 6) AS q75 FROM u GROUP BY ALL")
 def box_stats(spark, d):
     long = band_obs(spark, d).select("field_id", "blue", "nir", "red").unpivot(["field_id"], ["blue", "nir", "red"], "band", "v")
-    g = long.groupBy("band", "field_id").agg(F.percentile("v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("p"))
-    return g.select("band", "field_id", *[F.round(F.col("p")[k], 6).alias(n) for k, n in enumerate(("q25", "q50", "q75"))])
+    g = evaluate.percentiles(long, ["band", "field_id"], "v", {"q25": 0.25, "q50": 0.5, "q75": 0.75})
+    return g.select("band", "field_id", *[F.round(c, 6).alias(c) for c in ("q25", "q50", "q75")])

@@ -182,6 +182,18 @@ def test_listed_and_unknown(spark):
     assert sorted(map(tuple, rows.mask_unknown(obs, spark.createDataFrame([(1,), (1,)], "pix int"), ["pix"], ["v"]).collect()), key=str) == [(1, 5.0), (2, None), (2, None)]
 
 
+def test_percentiles_of_large_groups(spark):
+    rng = random.Random(12)
+    data = [(rng.choice(["a", "b", None]), rng.choice([rng.random(), float(rng.randint(0, 5)), None])) for _ in range(900)] + [("c", 2.5), ("d", None)]
+    points = {"p0": 0.0, "p10": 0.1, "p50": 0.5, "p75": 0.75, "p100": 1.0}
+    df = spark.createDataFrame(data, "g string, v double")
+    got = {r.g: r for r in evaluate.percentiles(df, ["g"], "v", points).collect()}
+    want = {r.g: r for r in df.where("v IS NOT NULL").groupBy("g").agg(F.count("v").alias("n"), *[F.percentile("v", F.lit(p)).alias(n) for n, p in points.items()]).collect()}
+    assert set(got) == set(want) and "d" not in got
+    for g, r in want.items():
+        assert got[g].n == r.n and all(got[g][n] == pytest.approx(r[n]) for n in points)
+
+
 def test_scores_by_rank_equal_pairs(spark):
     rng = random.Random(4)
     data = [(rng.choice([rng.random(), round(rng.random(), 1)]), int(rng.random() < 0.4)) for _ in range(600)] + [(None, 1), (float("nan"), 0), (0.5, None)]

@@ -422,6 +422,12 @@ class Counter:
         return maps.emitted[np.append(begins[1:], len(lo)) - 1]
 
 
+@functools.lru_cache(maxsize=1)
+def counter_of(path: str, packed: bytes) -> Counter:
+    """The compiled tokenizer of a worker process, with its bounded memos: made by its first task, used by all."""
+    return Counter(path, np.frombuffer(zlib.decompress(packed), np.uint8))
+
+
 def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > limit) for each row of ``docs``.
 
@@ -437,7 +443,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 2048, id_col: str
     packed = packed_classes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(tokenizer, np.frombuffer(zlib.decompress(packed), np.uint8))
+        counter = counter_of(tokenizer, packed)
         for b in batches:
             texts = [t or "" for t in b.column("text").to_pylist()]
             n = counter.counts(texts)

@@ -22,6 +22,7 @@ pieces of its length, by binary search: no piece is gathered anywhere.
 
 from __future__ import annotations
 
+import functools
 import json
 import re
 import zlib
@@ -224,11 +225,17 @@ class PieceEncoder:
         return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4")
 
 
+@functools.lru_cache(maxsize=1)
+def encoder_of(path: str) -> PieceEncoder:
+    """The encoder of a worker process: loaded by its first task, used by all."""
+    return PieceEncoder(path)
+
+
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, keep_ids: bool = False) -> DataFrame:
     schema = PIECES + (", ids binary" if keep_ids else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = PieceEncoder(tokenizer)
+        encoder = encoder_of(tokenizer)
         to = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary())][: 5 + keep_ids])
         for b in batches:
             rows = []

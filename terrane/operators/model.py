@@ -9,27 +9,47 @@ from multiprocessing.pool import ThreadPool
 
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import PCA, StandardScaler
+from pyspark.ml.feature import PCA, StandardScaler, VectorSlicer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.io import shared_folder
+from ..sources.io import materialised, shared_folder
 from . import splits
 from .evaluate import confusion
 from .rows import hash_rank
 
 #: Fits that run side by side; each is a distributed job of its own.
 AT_ONCE = 4
+#: Rows of a part of a table that many fits read: fewer parts than cores leave the cores to other fits. And the column of its features.
+PART_ROWS, GATHERED = 10_000, "__gathered"
 
 
 def assemble(df: DataFrame, features: list[str]) -> DataFrame:
     """Rows with all features, as a vector. One condition on an array: a condition for each of a hundred columns would stall the optimizer."""
+    if GATHERED in df.columns:
+        names = df.schema[GATHERED].metadata["names"]
+        cut = VectorSlicer(inputCol=GATHERED, outputCol="features", indices=[names.index(f) for f in features]).transform(df)
+        return cut.where(F.forall(vector_to_array("features"), lambda x: ~F.isnan(x))).drop(GATHERED)
     whole = df.withColumn("__values", F.array(*[F.col(c).cast("double") for c in features])).where(F.forall("__values", lambda x: x.isNotNull() & ~F.isnan(x)))
     return whole.withColumn("features", array_to_vector("__values")).drop("__values")
 
 
+def gathered(df: DataFrame, features: list[str]) -> DataFrame:
+    """All rows, their features in one vector of which ``assemble`` takes any part (null as NaN), written once and cached.
+
+    For tables that hundreds of fits read: neither the rows nor the code and the plan of
+    a fit are made anew for other features. In parts of about PART_ROWS rows, or those
+    it has if they are larger: a fit is a dozen stages, and where these have little to do
+    each part costs more than its rows.
+    """
+    values = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))) for c in features])
+    parts = max(1, -(-df.count() // PART_ROWS))
+    packed = df.select(*[c for c in df.columns if c not in features], array_to_vector(values).alias(GATHERED, metadata={"names": features}))
+    return materialised(packed.coalesce(parts), "gathered").coalesce(parts).persist()
+
+
 def fit_vectors(rows: DataFrame, label: str = "label", trees: int = 100, depth: int = 12, seed: int = 8, weight: str | None = None):
     rf = RandomForestClassifier(featuresCol="features", labelCol=label, numTrees=trees, maxDepth=depth, featureSubsetStrategy="sqrt", seed=seed)
     return (rf.setWeightCol(weight) if weight else rf).fit(rows)
@@ -149,7 +169,13 @@ def select_features(df: DataFrame, pool: list[str], rate: Callable[[list[str]],
     with ThreadPool(AT_ONCE) as side:
         while len(chosen) < most:
             left = [f for f in pool if f not in chosen]
-            tried = list(zip(side.map(lambda f: rate([*chosen, f]), left), left))  # noqa: B023
+            tried = []
+            for k in range(0, len(left), 4 * AT_ONCE):
+                some = left[k : k + 4 * AT_ONCE]
+                tried += zip(side.map(lambda f: rate([*chosen, f]), some), some)  # noqa: B023
+                # what fits have sent to executors goes only when the driver collects its garbage
+                if df is not None:
+                    df.sparkSession._jvm.System.gc()
             if not tried or max(tried)[0] < best or (chosen and max(tried)[0] == best):
                 break
             best, f = max(tried)

@@ -90,9 +90,11 @@ def select_variables(spark, d):
 
 @query(None)
 def forward_select(spark, d):
-    train, held = split(spark, d)
+    train, held = (M.gathered(x, FEATURES) for x in split(spark, d))
     rate = lambda names: M.accuracy(M.score(M.fit_forest(train, names, trees=5, depth=4), held, names))
     chosen, best = M.select_features(train, FEATURES, rate, most=len(FEATURES))
+    train.unpersist()
+    held.unpersist()
     return spark.createDataFrame([(n, best) for n in chosen], "feature string, accuracy double")
 
 

@@ -94,6 +94,31 @@ def test_every_field_is_held_out_and_every_feature_tried(spark, monkeypatch):
     assert {n[0] for n in tried if len(n) == 1} == set(models.FEATURES)
 
 
+def test_forward_select_splits_once_and_keeps_all_rows(spark, monkeypatch):
+    rows = [(k, k % 5, k % 2, *[float(k)] * 64) for k in range(100)]
+    px = spark.createDataFrame(rows, "pixel_id long, field_id long, label int, " + ", ".join(f"{f} double" for f in models.FEATURES)).repartition(16)
+    monkeypatch.setattr(models, "pixels", lambda spark, d: px)
+    read = []
+    seen = lambda df: read.append((df.storageLevel.useMemory, df.rdd.getNumPartitions(), df.count()))
+    monkeypatch.setattr(models.M, "fit_forest", lambda train, names, **_: seen(train))
+    monkeypatch.setattr(models.M, "score", lambda model, held, names: seen(held))
+    monkeypatch.setattr(models.M, "accuracy", lambda _: 0.0)
+    models.forward_select(spark, "")
+    assert set(read) == {(True, 1, 80), (True, 1, 20)}
+    monkeypatch.setattr(models.M, "PART_ROWS", 30)
+    assert (g := models.M.gathered(px, models.FEATURES)).rdd.getNumPartitions() == 4 and g.count() == 100
+
+
+def test_gathered_features_give_the_same_forest(spark):
+    rng = np.random.default_rng(3)
+    rows = [(k, int(v[1] + v[2] > 0), *[None if k % 9 == j else float("nan") if k % 11 == j else float(x) for j, x in enumerate(v)]) for k, v in enumerate(rng.standard_normal((90, 3)))]
+    px = spark.createDataFrame(rows, "pixel_id long, label int, a double, b double, c double").coalesce(1)
+    packed = models.M.gathered(px, ["a", "b", "c"])
+    for names in (["a"], ["c", "b"], ["b", "a", "c"]):
+        one, two = (sorted(models.M.score(models.M.fit_forest(t, names, trees=5, depth=4), t, names).select("pixel_id", "label", "pred").collect()) for t in (px, packed))
+        assert one == two and len(one) == sum(all(r[2 + "abc".index(n)] is not None and r[2 + "abc".index(n)] == r[2 + "abc".index(n)] for n in names) for r in rows)
+
+
 def test_files_of_fields_and_rasters(spark):
     files = spark.createDataFrame([("12_20191101_3B_x.tif",), ("13_20191102_3B_x.tif",)], "file_name string")
     fields = spark.createDataFrame([(12, "u")], "unique_id int, village string")

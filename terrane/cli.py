@@ -73,7 +73,7 @@ def run(spark: SparkSession, a: argparse.Namespace) -> None:
     elif a.verb == "series":
         long = workflows.series_build(load(a.obs), load(a.events), a.measure)
         save(long, "/long")
-        io.write_csv(workflows.wide_series(long).coalesce(1), a.out + "/wide")
+        io.write_series(long, a.out + "/wide")
     elif a.verb == "field_table":
         save(features.field_table(load(a.pixels), F.col("border") == 1, F.col("FieldSize")))
     else:

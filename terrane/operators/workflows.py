@@ -100,11 +100,6 @@ def series_build(obs: DataFrame, events: DataFrame, measure: str, field: str = "
     return series.spine(series.align(daily, events, field, date), field=field, extend=True)
 
 
-def wide_series(long: DataFrame, field: str = "field_id", prefix: str = "AVG_") -> DataFrame:
-    """A column for each field, a row for each day, in order: the form of the series files."""
-    return long.withColumn("__name", F.concat(F.lit(prefix), F.col(field).cast("string"))).groupBy("rel_day").pivot("__name").agg(F.first("value")).orderBy("rel_day")
-
-
 def pixel_calcs(obs: DataFrame, wanted: list[str], field: str = "field_id", pix: str = "pix", order: tuple[str, ...] = ("obs_date", "image_id"), min_obs: int = 4) -> DataFrame:
     """pixel_id, imgCount and the wanted features; unknown names are ignored."""
     out = features.pixel_features(obs, features.known_features(wanted), [field, pix], list(order), min_obs)

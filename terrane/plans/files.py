@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import rows as R
 from ..operators import series as S
-from ..operators import spatial, workflows
+from ..operators import spatial
 from ..sources import io, raster
 from ..sources.adapters import ALIGNED, table
 from .registry import query
@@ -43,9 +43,9 @@ def blacklist_scan(spark, d):
 
 @query(f"WITH {ALIGNED}, v AS (SELECT field_id, rel_day, arg_max(value, obs_date) AS value FROM aligned WHERE rel_day BETWEEN -50 AND 50 GROUP BY 1, 2) SELECT CAST(field_id AS VARCHAR) AS field_id, CAST(rel_day AS INTEGER) AS rel_day, value FROM v WHERE value IS NOT NULL")
 def series_scan(spark, d):
-    """A column for each field, a row for each day, as a file and back."""
+    """A column for each field, a row for each day, as files and back."""
     at = place(spark, "series")
-    io.write_csv(workflows.wide_series(S.spine(aligned(spark, d))).coalesce(1), at)
+    io.write_series(S.spine(aligned(spark, d)), at)
     return io.read_series(spark, at)
 
 

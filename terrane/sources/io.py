@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import csv
 import tempfile
 import uuid
+from collections.abc import Iterator
+from io import StringIO
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,11 +62,49 @@ def read_blacklist(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_series(spark: SparkSession, path: str, prefix: str = "AVG_") -> DataFrame:
-    """Wide series (days by fields) as field_id, rel_day, value; the order of the file does not matter."""
-    wide = spark.read.option("header", True).csv(path)
-    day, *fields = wide.columns
-    long = wide.unpivot([day], fields, "name", "text").where(F.col("text") != "NaN")
-    return long.select(F.regexp_replace("name", f"^{prefix}", "").alias("field_id"), F.col(day).cast("double").cast("int").alias("rel_day"), F.col("text").cast("double").alias("value"))
+    """Wide series (days by fields, each file with its own fields) as field_id, rel_day, value; the order of a file does not matter.
+
+    Files are read whole and taken apart as text, so they may have any number of columns.
+    """
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (text,) in (row for b in batches for row in zip(b.column(0).to_pylist())):
+            lines = csv.reader(StringIO(text, newline=""))
+            names = next(lines, [])[1:]
+            for day, *values in lines:
+                seen = [(n, v) for n, v in zip(names, values) if v not in ("", "NaN")]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in ([n for n, _ in seen], [day] * len(seen), [v for _, v in seen])], ["name", "day", "text"])
+
+    long = spark.read.text(path, wholetext=True).mapInArrow(cells, "name string, day string, text string")
+    return long.select(F.regexp_replace("name", f"^{prefix}", "").alias("field_id"), F.col("day").cast("double").cast("int").alias("rel_day"), F.col("text").cast("double").alias("value"))
+
+
+def write_series(long: DataFrame, path: str, field: str = "field_id", prefix: str = "AVG_", width: int = 1000) -> None:
+    """field, rel_day, value as wide series: a column for each field, a row for each day in order, NaN where there is no value.
+
+    One file for up to ``width`` fields; more are dealt to files by a hash of their id,
+    about ``width`` to a file, which holds the days that its fields have. A file is one task's text.
+    """
+    named = long.select(F.concat(F.lit(prefix), F.col(field).cast("string")).alias("name"), F.col("rel_day").cast("string").alias("day"), F.col("value").cast("string").alias("text"))
+    held = named.where("name IS NOT NULL AND day IS NOT NULL").groupBy("name").agg(F.collect_list("day").alias("days"), F.collect_list(F.coalesce("text", F.lit("NaN"))).alias("texts"))
+    held = materialised(held, "series")
+    files = max(1, -(-held.count() // width))
+
+    def one(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("name")
+        by_day: dict[int, list[str]] = {}
+        for k, (days, texts) in enumerate(zip(rows["days"], rows["texts"])):
+            for day, text in zip(days, texts):
+                by_day.setdefault(int(day), ["NaN"] * len(rows))[k] = text
+        out = StringIO(newline="")
+        lines = csv.writer(out, lineterminator="\n")
+        lines.writerow(["rel_day", *rows["name"]])
+        lines.writerows([day, *by_day[day]] for day in sorted(by_day))
+        return pd.DataFrame({"value": [out.getvalue().removesuffix("\n")]})
+
+    texts = held.withColumn("file", F.pmod(F.xxhash64("name"), F.lit(files))).groupBy("file").applyInPandas(one, "value string")
+    # a row is a whole file
+    texts.write.mode("overwrite").option("maxRecordsPerFile", 1).text(path)
 
 
 def xml_number(body: Column, tag: str) -> Column:

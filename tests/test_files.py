@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from terrane import cli
-from terrane.sources import raster, shapes
+from terrane.sources import io, raster, shapes
 
 
 def by_hand(cells, order="<", tile=None, compression=1, planar=1, predictor=1, nodata=None):
@@ -157,3 +157,19 @@ def test_shapes_as_tables(spark, tmp_path):
     assert got[2].wkt.startswith("MULTIPOLYGON (((0.0 0.0") and (got[2].minX, got[2].maxX) == (0.0, 14.0)
     assert got[3].wkt is None and got[3].attributes["unique_id"] == "0014"
     assert got[1].attributes == {"unique_id": "0012", "village": "u"} and got[2].attributes["village"] is None and got[1].stem == "f"
+
+
+def test_series_of_any_number_of_fields(spark, tmp_path):
+    long = spark.range(10_500).selectExpr("CAST(id AS STRING) AS field_id", "CAST(id % 3 - 1 AS INT) AS rel_day", "IF(id % 7 = 0, NULL, id / 3) AS value")
+    io.write_series(long, str(tmp_path / "s"))
+    got = {r.field_id: (r.rel_day, r.value) for r in io.read_series(spark, str(tmp_path / "s")).collect()}
+    assert got == {str(k): (k % 3 - 1, k / 3) for k in range(10_500) if k % 7}
+    files = list((tmp_path / "s").glob("part-*"))
+    assert len(files) == 11 and all([x.split(",")[0] for x in f.read_text().splitlines()] == ["rel_day", "-1", "0", "1"] for f in files)
+    odd = spark.createDataFrame([('a,"b', 2, 1.5), ("c", -1, None), ("c", 3, 1e-9)], "field_id string, rel_day int, value double")
+    io.write_series(odd, str(tmp_path / "t"))
+    [f] = (tmp_path / "t").glob("part-*")
+    assert f.read_text().splitlines() == ['rel_day,"AVG_a,""b",AVG_c', "-1,NaN,NaN", "2,1.5,NaN", "3,NaN,1.0E-9"]
+    assert sorted(map(tuple, io.read_series(spark, str(tmp_path / "t")).collect())) == [('a,"b', 2, 1.5), ("c", 3, 1e-9)]
+    io.write_series(odd.where("false"), str(tmp_path / "u"))
+    assert io.read_series(spark, str(tmp_path / "u")).count() == 0

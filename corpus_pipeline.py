@@ -9,6 +9,7 @@ null and empty texts, null and repeated ids and very long texts.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from terrane.llm import mixing, near_dup, packing, quality, registry, secrets
 from terrane.llm.common import Workspace, scratch
@@ -40,8 +41,8 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """All documents, in the order of the mixture: files and their rows follow its positions.
 
     Rows with a null source share the place of the sources without a weight; ties are
-    repeated rows, which stand side by side. The order is for readers of this stage's
-    files: packing, which comes after, is by length and does not keep it.
+    repeated rows, which stand side by side. Packing, which comes after, numbers its
+    sequences in this order.
     """
     mixed = mixing.mix(docs, registry.TARGETS, period=100, block=8)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -49,12 +50,16 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the documents and their places in sequences of 1024 tokens.
+    """The pieces of the documents and their places in sequences of 1024 tokens, numbered in the order of the mixture.
 
-    A null or empty text is one piece with the end token; long texts are cut; repeated
+    Lengths decide which pieces fit together; of equal lengths those earlier in the
+    mixture come first, and sequences follow their earliest pieces. The mixture is read
+    from the order of the files that the stage before wrote and of their rows. A null or empty text is one piece with the end token; long texts are cut; repeated
     rows and null ids are packed like others.
     """
-    return packing.pack(docs, registry.tokenizer("byte_bpe_50k.json"), 1024, 2)
+    at = docs.metadataColumn("_metadata")
+    part = F.coalesce(F.regexp_extract(at["file_name"], r"part-(\d+)", 1).try_cast("long"), F.lit(0))
+    return packing.pack(docs, registry.tokenizer("byte_bpe_50k.json"), 1024, 2, order=(part, at["row_index"]))
 
 
 STAGES = [

@@ -31,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Workspace, salted_row_number
@@ -40,6 +40,8 @@ from .token_counts import byte_letters
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Latin, Greek, Cyrillic, punctuation, kana, unified Han and Hangul.
 UNUSUAL = re.compile("[^\x00-\u024f\u0391-\u03a1\u03a3-\u03ff\u0400-\u045f\u2010-\u2027\u2030-\u203a\u20ac\u3041-\u3093\u30a1-\u30f6\u4e00-\u9fa5\uac00-\ud7a3]").search
+#: Most values that the first number of an order may have.
+ORDERED = 1 << 20
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -231,30 +233,31 @@ def encoder_of(path: str) -> PieceEncoder:
     return PieceEncoder(path)
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, keep_ids: bool = False) -> DataFrame:
-    schema = PIECES + (", ids binary" if keep_ids else "")
+def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, keep_ids: bool = False, order: tuple[Column, Column] | None = None) -> DataFrame:
+    schema = PIECES + (", ids binary" if keep_ids else "") + (", major long, minor long" if order else "")
+    ordered = bool(order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(tokenizer)
-        to = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary())][: 5 + keep_ids])
+        to = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary())][: 5 + keep_ids] + [("major", pa.int64()), ("minor", pa.int64())] * ordered)
         for b in batches:
             rows = []
-            for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
+            for doc, text, *at in zip(*[c.to_pylist() for c in b.columns]):
                 ids = np.append(encoder.ids(text or ""), end_id).astype("<u4").tobytes()
                 n = len(ids) // 4
                 first = n if n <= capacity else (n % capacity or capacity)
                 cuts = [0, *range(first, n + 1, capacity)]
                 for k, (lo, hi) in enumerate(zip(cuts, cuts[1:])):
                     part = ids[4 * lo : 4 * hi]
-                    rows.append((doc, k, lo, hi - lo, zlib.crc32(part)) + ((part,) if keep_ids else ()))
+                    rows.append((doc, k, lo, hi - lo, zlib.crc32(part)) + ((part,) if keep_ids else ()) + tuple(at))
             columns = list(zip(*rows)) or [()] * len(to)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, to)], schema=to)
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(c.cast("long").alias(n) for c, n in zip(order or (), ("major", "minor"))))
     return rows.mapInArrow(run, schema)
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2, keep_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2, keep_ids: bool = False, order: tuple[Column, Column] | None = None) -> DataFrame:
     """Packs every document into as few sequences of at most ``capacity`` tokens as the plan finds.
 
     docs: doc_id, text (null text: empty; null and repeated ids stay rows of their
@@ -265,9 +268,14 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2,
     gives an empty one; very long texts are cut like others. Ids are never read as
     numbers. Pieces of equal length are told apart by rank; ties in it are repeated
     rows. Sent to the driver: one row per length.
+
+    order: two whole numbers, none null, by which documents are in order, the first from
+    0 to ORDERED - 1 and with no more rows to a value than a task can sort. Sequences are then
+    numbered from 0 in the order of their earliest pieces, and of pieces of equal length
+    earlier ones go to the plan's earlier sequences. Which lengths share a sequence stays the plan's.
     """
     ws = Workspace(docs.sparkSession, "pack")
-    pieces = ws.save(token_pieces(docs, tokenizer, capacity, end_id, keep_ids), "pieces")
+    pieces = ws.save(token_pieces(docs, tokenizer, capacity, end_id, keep_ids, order), "pieces")
     counts = np.zeros(capacity + 1, np.int64)
     for length, n in pieces.groupBy("length").count().collect():
         counts[length] = n
@@ -284,7 +292,10 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2,
         sequence += n
     table = {k: np.array(v, np.int64).T.copy() for k, v in slots.items()}
 
-    ranked = salted_row_number(pieces, ["length"], [F.col(c) for c in ("doc_id", "piece", "start", "ids_crc32")], F.xxhash64("doc_id", "piece", "ids_crc32"), "rank")
+    if order:
+        ranked = salted_row_number(pieces, ["length"], [F.col(c) for c in ("minor", "piece", "doc_id", "ids_crc32")], F.col("major"), "rank", ORDERED)
+    else:
+        ranked = salted_row_number(pieces, ["length"], [F.col(c) for c in ("doc_id", "piece", "start", "ids_crc32")], F.xxhash64("doc_id", "piece", "ids_crc32"), "rank")
 
     @F.pandas_udf("sequence_id long, offset long")
     def place(length: pd.Series, rank: pd.Series) -> pd.DataFrame:
@@ -297,4 +308,11 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2,
         return pd.DataFrame({"sequence_id": seq, "offset": off})
 
     placed = ranked.withColumn("__p", place("length", "rank"))
-    return placed.select("doc_id", "piece", "start", "length", "ids_crc32", F.col("__p.sequence_id").alias("sequence_id"), F.col("__p.offset").alias("offset"), *(["ids"] if keep_ids else []))
+    own = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    end = ["ids"] if keep_ids else []
+    if not order:
+        return placed.select(*own, F.col("__p.sequence_id").alias("sequence_id"), F.col("__p.offset").alias("offset"), *end)
+    placed = ws.save(placed.select(*own, "major", "minor", F.col("__p.sequence_id").alias("planned"), F.col("__p.offset").alias("offset"), *end), "placed")
+    first = placed.groupBy("planned").agg(F.min(F.struct("major", "minor", "piece")).alias("f")).select("planned", "f.*")
+    numbered = salted_row_number(first, [], [F.col(c) for c in ("minor", "piece", "planned")], F.col("major"), "sequence_id", ORDERED).select("planned", "sequence_id")
+    return placed.join(numbered, "planned").select(*own, "sequence_id", "offset", *end)

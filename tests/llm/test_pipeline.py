@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 import corpus_pipeline
-from terrane.llm import mixing, quality, registry, secrets
+from terrane.llm import mixing, packing, quality, registry, secrets
 
 from . import data
 from .test_dedup import brute
@@ -60,6 +60,24 @@ def test_stages_against_plain_python(spark, tmp_path):
     assert sorted(map(str, corpus_pipeline.run(spark, folder).select(*key).collect())) == sorted(map(str, docs.select(*key).collect()))
 
 
+def test_sequences_follow_the_mixture(spark, tmp_path):
+    docs = spark.range(600).selectExpr("id AS doc_id", "concat_ws(' ', transform(sequence(0, cast(id % 7 * 90 + (id * 37) % 50 as int)), x -> concat('w', x * (id + 3)))) AS text", "'en' AS lang", "concat('src', id % 20) AS source")
+    mixed = corpus_pipeline.source_mixing(spark, docs, "")
+    mixed.write.parquet(f"{tmp_path}/mixed")
+    out = corpus_pipeline.best_fit_packing(spark, spark.read.parquet(f"{tmp_path}/mixed"), "").collect()
+    at = {r.doc_id: r.mix_position for r in mixing.mix(docs, registry.TARGETS, 100, 8).collect()}
+    first, by_length, held = {}, {}, {}
+    for r in out:
+        first[r.sequence_id] = min(first.get(r.sequence_id, (1 << 62, 0)), (at[r.doc_id], r.piece))
+        held.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert [first[k] for k in range(len(first))] == sorted(first.values()) and {r.doc_id for r in out} == set(range(600))
+    for parts in held.values():
+        ends = [o + n for o, n in sorted(parts)]
+        assert [o for o, _ in sorted(parts)] == [0, *ends[:-1]] and ends[-1] <= 1024
+    plain = packing.pack(docs, registry.tokenizer("byte_bpe_50k.json"), 1024, 2).collect()
+    assert len({r.sequence_id for r in plain}) == len(first) and {tuple(r)[:5] for r in plain} == {tuple(r)[:5] for r in out}
+
+
 def test_empty_documents(spark, tmp_path):
     data.empty(spark).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, f"file://{tmp_path}").count() == 0

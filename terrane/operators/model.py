@@ -170,8 +170,8 @@ def select_features(df: DataFrame, pool: list[str], rate: Callable[[list[str]],
         while len(chosen) < most:
             left = [f for f in pool if f not in chosen]
             tried = []
-            for k in range(0, len(left), 4 * AT_ONCE):
-                some = left[k : k + 4 * AT_ONCE]
+            for k in range(0, len(left), AT_ONCE):
+                some = left[k : k + AT_ONCE]
                 tried += zip(side.map(lambda f: rate([*chosen, f]), some), some)  # noqa: B023
                 # what fits have sent to executors goes only when the driver collects its garbage
                 if df is not None:
